@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bestfit_packing, byte_bpe, exact_dedup, topk_search
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_exact_top_k": topk_search.op8_exact_top_k,
+    "op9_best_fit_packing": bestfit_packing.op9_best_fit_packing,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_exact_top_k": topk_search.ORACLE_SQL,
 }
