@@ -28,7 +28,7 @@ from .batches import Memo, chunks
 from .scratch import parallelism, saved, ship_package, table
 
 #: Words whose ids a worker remembers.
-MEMO = 500_000
+MEMO = 240_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,23 +50,38 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.memo = Memo(MEMO)
+        self.stops = (b".", b",", b"!", b"?")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
+        words = [t.lower().split() for t in texts]  # the tokenizer lower-cases anyway
         distinct: set[bytes] = set()
         for w in words:
             distinct.update(w)
-        missing = self.memo.absent(distinct)
+        self._learn(self.memo.absent(distinct))
         known = self.memo.new
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
         out = [b"".join(map(known.__getitem__, w)) for w in words]
         self.memo.turn()
         return out
 
+    def _learn(self, missing: list[bytes]) -> None:
+        known = self.memo.new
+        ended = [w for w in missing if w[-1:] in self.stops and w[-2:-1].isalpha()]
+        if ended:  # a stop after an ASCII letter is a token of its own
+            stems = {w[:-1] for w in ended}
+            missing = list(set(missing).difference(ended) | set(self.memo.absent(stems | set(self.stops))))
+        for at in range(0, len(missing), 1024):
+            some = missing[at : at + 1024]
+            text = [w.decode("utf-8", "replace") for w in some]
+            start = np.cumsum([0, *(len(t) + 1 for t in text)])
+            found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            first = [a for a, _ in found.offsets]
+            cuts = (4 * np.searchsorted(first, start)).tolist()
+            for i, w in enumerate(some):
+                known[w] = ids[cuts[i] : cuts[i + 1]]
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
 _LOADED: dict[str, WordTokenizer] = {}
 
