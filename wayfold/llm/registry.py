@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, byte_bpe, exact_dedup, secret_scan, topk_search
+from . import bestfit_packing, byte_bpe, exact_dedup, secret_scan, topk_search, toxicity
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_top_k": topk_search.op8_exact_top_k,
     "op9_best_fit_packing": bestfit_packing.op9_best_fit_packing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
