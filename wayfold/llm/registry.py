@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, byte_bpe, exact_dedup, jaccard_join, secret_scan, topk_search, toxicity
+from . import bestfit_packing, byte_bpe, exact_dedup, jaccard_join, secret_scan, substring_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,

@@ -13,9 +13,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_split(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, text after text, and where each text's words begin and end."""
-    split = [t.split() for t in texts]
     edge = np.cumsum([0, *map(len, split)])
     words = np.empty(edge[-1], dtype=object)
     words[:] = [w for s in split for w in s]
@@ -25,6 +24,10 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(distinct, categorize=False)[code], edge
 
 
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_split([t.split() for t in texts])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output looks random."""
     x = (x ^ (x >> np.uint64(31))) * _ODD
