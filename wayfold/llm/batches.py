@@ -34,13 +34,13 @@ class Memo:
 
     def absent(self, keys: set) -> list:
         """Those of ``keys`` that must be computed; what is known becomes recent."""
-        missing = []
-        for k in keys.difference(self.new):
-            if k in self.old:
-                self.new[k] = self.old[k]
-            else:
-                missing.append(k)
-        return missing
+        missing = keys.difference(self.new)
+        if self.old and missing:
+            fresh = missing.difference(self.old)
+            again = missing - fresh
+            self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            missing = fresh
+        return list(missing)
 
     def turn(self) -> None:
         """To be called between chunks."""

@@ -15,6 +15,8 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,33 +30,42 @@ from .batches import Memo, chunks
 from .scratch import parallelism, saved, ship_package, table
 
 #: Words whose ids a worker remembers.
-MEMO = 240_000
+MEMO = 300_000
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of whole texts under a tokenizer whose tokens never cross ASCII white space.
+    """Ids of whole texts under a lower-casing word BPE whose tokens never cross ASCII white space.
 
     Each run between white space is tokenised by itself, and a run seen before is looked up.
-    Strings of special tokens count as ordinary text.
+    A run of letters is one word, which ends with a token marked as its end.  Strings of special
+    tokens count as ordinary text.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # The same merges for words of lower-case letters, without normalising and matching.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo = Memo(MEMO)
-        self.stops = (b".", b",", b"!", b"?")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.lower().split() for t in texts]  # the tokenizer lower-cases anyway
+        # The tokenizer lower-cases anyway, and a stop between a letter and white space is a word.
+        words = [STOP.sub(rb" \1", t.lower()).split() for t in texts]
         distinct: set[bytes] = set()
         for w in words:
             distinct.update(w)
@@ -66,22 +77,29 @@ class WordTokenizer:
 
     def _learn(self, missing: list[bytes]) -> None:
         known = self.memo.new
-        ended = [w for w in missing if w[-1:] in self.stops and w[-2:-1].isalpha()]
-        if ended:  # a stop after an ASCII letter is a token of its own
-            stems = {w[:-1] for w in ended}
-            missing = list(set(missing).difference(ended) | set(self.memo.absent(stems | set(self.stops))))
-        for at in range(0, len(missing), 1024):
-            some = missing[at : at + 1024]
+        plain = [w for w in missing if w.isalpha()]  # ASCII letters only
+        other = []
+        for w in set(missing).difference(plain):
+            t = w.decode("utf-8", "replace")
+            # Letters that neither lower-casing nor composing would change are one run, too.
+            (plain if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t) else other).append(w)
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some) + 1:
+                other += some
+                continue
+            known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        for at in range(0, len(other), 512):
+            some = other[at : at + 512]
             text = [w.decode("utf-8", "replace") for w in some]
             start = np.cumsum([0, *(len(t) + 1 for t in text)])
             found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+            cuts = (4 * np.searchsorted([i for i, _ in found.offsets], start)).tolist()
             ids = np.array(found.ids, dtype="<u4").tobytes()
-            first = [a for a, _ in found.offsets]
-            cuts = (4 * np.searchsorted(first, start)).tolist()
-            for i, w in enumerate(some):
-                known[w] = ids[cuts[i] : cuts[i + 1]]
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+            known.update(zip(some, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
 
 _LOADED: dict[str, WordTokenizer] = {}
 
