@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, byte_bpe, exact_dedup, jaccard_join, secret_scan, substring_dedup, topk_search, toxicity
+from . import bestfit_packing, byte_bpe, exact_dedup, jaccard_join, license_scan, quality_classifier, secret_scan, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": license_scan.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_exact_top_k": topk_search.ORACLE_SQL,
 }
