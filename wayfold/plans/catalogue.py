@@ -2,29 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from wayfold.plans import matching, tracks
 
-
-def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session ends where the gap to the next fix is over six hours."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "value")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.expr("timestampdiff(MICROSECOND, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts)")
-    new = F.when(gap.isNull() | (gap > 6 * 3600 * 1_000_000), 1).otherwise(0)
-    s = e.withColumn("new", new).withColumn("session_id", F.sum("new").over(w).cast("long"))
-    return s.groupBy("user_id", "session_id").agg(
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n_fixes"),
-        F.round(F.avg("value"), 6).alias("mean_value"))
-
-
-QUERIES = {"gap_sessions": gap_sessions}
-ORACLES = {
-    "gap_sessions": """
-WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS nw
-           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-     t AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_id FROM s)
-SELECT user_id, session_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_fixes, round(avg(value), 6) AS mean_value
-FROM t GROUP BY user_id, session_id""",
-}
+QUERIES = {**tracks.QUERIES, **matching.QUERIES}
+ORACLES = {**tracks.ORACLES, **matching.ORACLES}
