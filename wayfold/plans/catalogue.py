@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import matching, tracks
+from wayfold.plans import matching, texts, tracks
 
-QUERIES = {**tracks.QUERIES, **matching.QUERIES}
-ORACLES = {**tracks.ORACLES, **matching.ORACLES}
+QUERIES = {**tracks.QUERIES, **matching.QUERIES, **texts.QUERIES}
+ORACLES = {**tracks.ORACLES, **matching.ORACLES, **texts.ORACLES}
