@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path, saved, table
+from .scratch import fresh_path, saved, table, unused
 
 #: Space and U+0009 to U+000D, which do not count in a comparison.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -109,14 +109,15 @@ def decisions(docs: DataFrame, index_path: str | None = None, buckets: int = 64)
 
 
 def deduplicate(docs: DataFrame, index_path: str | None = None, buckets: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row of those that repeat a doc_id."""
-    from pyspark.sql import Window
-
-    kept = decisions(docs, index_path, buckets).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    joined = docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
-    size = F.length(F.coalesce(joined["text"], F.lit("")))
-    first = Window.partitionBy(joined["doc_id"]).orderBy(size.desc())
-    return joined.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    """The rows of ``docs`` that stay, with all their columns; one of those equal in doc_id and text."""
+    of, nth, kept_id, kept_digest = unused(docs, "__of", "__nth", "__kept_id", "__kept_digest")
+    kept = decisions(docs, index_path, buckets).where("kept")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest)).distinct()
+    named = docs.withColumn(of, F.unhex(F.sha2(normalised(docs["text"]), 256)))
+    same = named["doc_id"].cast("long").eqNullSafe(kept[kept_id]) & (named[of] == kept[kept_digest])
+    out = named.join(kept.hint("merge"), same, "left_semi")
+    longest = Window.partitionBy("doc_id", of).orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    return out.withColumn(nth, F.row_number().over(longest)).where(F.col(nth) == 1).drop(nth, of)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

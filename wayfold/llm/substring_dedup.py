@@ -19,7 +19,7 @@ small enough for one task; tree nodes WINDOW words deep or more are the repeats.
 Words are runs other than U+0020 and U+0009 to U+000D.  Defined results: a null text has no words;
 texts under WINDOW words lose nothing; a row without a doc_id neither loses words nor makes others
 lose any; rows that repeat a doc_id don't count against each other; an empty table gives an empty
-result; extra columns are ignored by :func:`repeats` and kept by :func:`deduplicate`.
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 def _restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids; a short list is broadcast, a long one shuffled."""
     n = ids.count()
-    ids = ids.select(F.col("doc_id").alias("__id"))
+    docs, ids = docs.select("doc_id", "text"), ids.select(F.col("doc_id").alias("__id"))
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge")
     return docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi")
 
@@ -326,7 +326,7 @@ def report(docs: DataFrame) -> DataFrame:
                         digest.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "name", "removed", "kept"])
 
-    changed = _touched(docs.select("doc_id", "text"), hits).select("text", "__doc", "__name", "__hits").mapInArrow(run, "doc_id long, name long, removed long, kept string")
+    changed = _touched(docs, hits).select("text", "__doc", "__name", "__hits").mapInArrow(run, "doc_id long, name long, removed long, kept string")
     changed = saved(changed.distinct(), "changed")
     out = rows.join(changed.hint("merge"), ["doc_id", "name"], "left")
     return out.select("doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", F.lower(F.hex("sha"))).alias("kept_sha256"))

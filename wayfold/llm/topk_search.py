@@ -13,7 +13,8 @@ at most k bins or k rows per query, whatever the number of ties.
 Defined results: vectors that are null, or hold a null or non-finite component, take no part;
 shorter vectors count as padded with zeros; ties go to the smaller id; rows that repeat an id
 are candidates of their own, but never of a query with that id; a query with fewer than k
-candidates gets all; null ids take no part.  Components turn into floor(scale * x).
+candidates gets all; null ids take no part.  Components turn into floor(scale * x); a score that
+a long can't hold is an error.
 """
 
 from __future__ import annotations
