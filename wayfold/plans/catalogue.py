@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import matching, texts, tracks
+from wayfold.plans import fused, matching, texts, tracks
 
-QUERIES = {**tracks.QUERIES, **matching.QUERIES, **texts.QUERIES}
-ORACLES = {**tracks.ORACLES, **matching.ORACLES, **texts.ORACLES}
+QUERIES = {**tracks.QUERIES, **matching.QUERIES, **texts.QUERIES, **fused.QUERIES}
+ORACLES = {**tracks.ORACLES, **matching.ORACLES, **texts.ORACLES, **fused.ORACLES}
