@@ -44,35 +44,39 @@ TEMPLATES = {
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits in lower case; an empty one may stand at either end."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def _shingled(rows: DataFrame) -> DataFrame:
-    """Adds ``shingles``, hashes of the runs of five words; drops rows that have none."""
-    rows = rows.withColumn("words", words(F.col("text"))).where(F.size("words") >= SHINGLE)
-    at = F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1))
-    return rows.withColumn("shingles", F.transform(at, lambda i: F.xxhash64(F.slice("words", i, SHINGLE)))).drop("words", "text")
+def _worded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("words", words(F.col("text"))).where(F.size("words") >= SHINGLE).drop("text")
+
+
+def _shingle(at: Column) -> Column:
+    """The hash of the five words from a place on (from 0), null where there are fewer."""
+    return F.when(at + SHINGLE <= F.size("words"), F.xxhash64(*[F.get("words", at + i) for i in range(SHINGLE)]))
+
+
+def _shingles() -> Column:
+    """Hashes of all shingles of ``words``."""
+    return F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), _shingle)
 
 
 def _bands(shingles: list[Column]) -> list[Column]:
-    """The minimum of each band's hash over the shingles; null ones don't count."""
-    hashes = lambda b: [F.when(s.isNotNull(), F.xxhash64(s, F.lit(b))) for s in shingles]
-    return [F.least(*hashes(b)) for b in range(BANDS)]
+    """The minimum of each band's hash over the shingles, none of which may be null."""
+    return [F.least(*[F.xxhash64(s, F.lit(b)) for s in shingles]) if len(shingles) > 1 else F.xxhash64(shingles[0], F.lit(b)) for b in range(BANDS)]
 
 
 def template_index(spark: SparkSession, templates: dict[str, str]) -> tuple[list[list[int]], DataFrame, DataFrame]:
     """Band values of all runs of template shingles: as lists by band, as (band, value, license), and
     (license, template): the distinct shingles."""
-    named = _shingled(spark.createDataFrame(list(templates.items()), "license string, text string"))
+    named = _worded(spark.createDataFrame(list(templates.items()), "license string, text string")).select("license", _shingles().alias("shingles"))
     runs = named.select("license", F.posexplode("shingles").alias("at", "first"), "shingles")
-    parts = [
-        runs.where(F.col("at") + n <= F.size("shingles")).select("license", *[F.get("shingles", F.col("at") + i).alias(f"s{i}") if i < n else F.lit(None).cast("long").alias(f"s{i}") for i in range(SPAN)])
-        for n in range(1, SPAN + 1)
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    values = every.select("license", *[v.alias(f"b{b}") for b, v in enumerate(_bands([F.col(f"s{i}") for i in range(SPAN)]))]).distinct().collect()
+    values = []
+    for n in range(1, SPAN + 1):
+        run = runs.where(F.col("at") + n <= F.size("shingles")).select("license", *[F.get("shingles", F.col("at") + i).alias(f"s{i}") for i in range(n)])
+        bands = _bands([F.col(f"s{i}") for i in range(n)])
+        values += run.select("license", *[v.alias(f"b{b}") for b, v in enumerate(bands)]).distinct().collect()
     by_band = [sorted({r[f"b{b}"] for r in values}) for b in range(BANDS)]
     pairs = sorted({(b, r[f"b{b}"], r["license"]) for r in values for b in range(BANDS)})
     index = spark.createDataFrame(pairs, "band int, value long, license string")
@@ -83,20 +87,25 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license and containment of every license that a document holds."""
     spark = docs.sparkSession
     by_band, index, named = template_index(spark, templates)
-    rows = _shingled(docs.select("doc_id", "text"))
-    starts = F.explode(F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(SPAN))).alias("at")
-    windows = rows.select("doc_id", "shingles", starts)
-    # Beyond the end get() gives null, which counts in no band.
-    span = windows.select("doc_id", "shingles", *[F.get("shingles", F.col("at") + i).alias(f"s{i}") for i in range(SPAN)])
+    rows = _worded(docs.select("doc_id", "text"))
+    starts = F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(SPAN))).alias("at")
+    windows = rows.select("doc_id", "words", starts)
+    # The first shingle is always there; what lies beyond the end repeats it, which changes no minimum.
+    first = F.coalesce(_shingle(F.col("at")), F.lit(0))
+    span = F.struct(first.alias("s0"), *[F.coalesce(_shingle(F.col("at") + i), first).alias(f"s{i}") for i in range(1, SPAN)])
+    # A generator keeps the filter above the hashes, so that they are computed once for all bands.
+    span = windows.select("doc_id", "words", F.inline(F.array(span)))
     bands = _bands([F.col(f"s{i}") for i in range(SPAN)])
     hit = bands[0].isin(by_band[0])
     for b in range(1, BANDS):
         hit = hit | bands[b].isin(by_band[b])
-    found = span.where(hit).select("doc_id", "shingles", F.posexplode(F.array(*bands)).alias("band", "value"))
-    # Windows of one document that retrieve the same template are verified once.
-    retrieved = found.join(F.broadcast(index), ["band", "value"]).join(F.broadcast(named), "license")
+    found = span.where(hit).select("doc_id", "words", F.posexplode(F.array(*bands)).alias("band", "value"))
+    retrieved = found.join(F.broadcast(index), ["band", "value"])
+    # Windows of a document that retrieve the same template are verified once.
+    retrieved = retrieved.groupBy("doc_id", "license", F.xxhash64("words").alias("__text")).agg(F.first("words").alias("words"))
+    shingled = retrieved.select("doc_id", "license", _shingles().alias("shingles")).join(F.broadcast(named), "license")
     share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
-    verified = retrieved.withColumn("containment", F.round(share, 6)).where(F.col("containment") >= CONTAINMENT)
+    verified = shingled.withColumn("containment", F.round(share, 6)).where(F.col("containment") >= CONTAINMENT)
     return verified.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 
