@@ -215,10 +215,28 @@ def compact_axis(df: DataFrame, day: str, ts: str) -> DataFrame:
     return df.join(ranks, day).withColumn("axis", F.col("__rank") - 0.45 + 0.9 * of_day).drop("__rank")
 
 
+def table_rank(df: DataFrame, order: Names, name: str, buckets: int = 256) -> DataFrame:
+    """The row's number (from 1) in the whole table, without taking it through one task.
+
+    The first column of the order, a number, is cut into buckets at its approximate quantiles; rows
+    are numbered within their bucket and the counts of the buckets before are added.
+    """
+    cuts = sorted(set(df.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 0.001)))
+    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(order[0]))), F.lit(-1))
+    rows = df.withColumn("__bucket", bucket)
+    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__count"))  # a row for each bucket
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__bucket", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"), F.sum("__count").over(Window.partitionBy()).alias("__n"))
+    rows = rows.join(F.broadcast(offsets), "__bucket")
+    return rows.withColumn(name, F.row_number().over(over(["__bucket"], order)) + F.col("__before")).drop("__bucket", "__before")
+
+
 def systematic_sample(df: DataFrame, order: Names, most: int, keys: Names = ()) -> DataFrame:
     """At most ``most`` rows of each sequence, evenly spaced, first and last among them."""
-    part = Window.partitionBy(*keys)
-    rows = df.withColumn("__n", F.count(F.lit(1)).over(part)).withColumn("__i", F.row_number().over(over(keys, order)))
+    if keys:
+        rows = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("__i", F.row_number().over(over(keys, order)))
+    else:
+        rows = table_rank(df, order, "__i")
     # Row i is taken if it is the rounded place of some step k: 1 + k * (n - 1) / (m - 1).
     gap = (F.col("__n") - 1) / F.lit(float(most - 1))
     k = F.floor((F.col("__i") - 1) / gap)
