@@ -41,8 +41,9 @@ from .scratch import saved, ship_package, table
 SAMPLE = 10_000
 #: Learnt terms are word beginnings of these lengths, and whole words.
 STEMS = (4, 5, 6, 7)
-#: Terms in the lexicon, and toxic documents that a term must be in.
-MOST_TERMS, LEAST_SUPPORT = 2_000, 4
+#: Terms that may be learnt, how many of the strongest whole words may be misspelt, and toxic texts that a
+#: term must be in, counting only those with fewer than EXPLAINED stronger terms.
+MOST_TERMS, LOOSE, LEAST_SUPPORT, EXPLAINED = 2_000, 40, 4, 3
 #: Words on each side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Hits that add to the evidence of a document.
@@ -57,22 +58,37 @@ QUOTES = "\"'“”‘’«»„`"
 WORD = re.compile(r"\w+(?:['’]\w+)*")
 
 
+def _root(terms: list[tuple[int, str, bool]]) -> dict:
+    """(number, term, whether a beginning) as nested dicts."""
+    root: dict = {}
+    for n, term, beginning in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[1 if beginning else 0] = n
+    return root
+
+
 class Trie:
     """Terms as nested dicts; 0 marks a whole word, 1 a word beginning, with the term's number."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.root: dict = {}
-        for n, (term, beginning) in enumerate(terms):
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[1 if beginning else 0] = n
+    def __init__(self, terms: list[tuple[str, bool]], loose: frozenset[str]):
+        named = [(n, t, b) for n, (t, b) in enumerate(terms)]
+        self.root = _root(named)
+        loose = [(n, t, b) for n, t, b in named if not b and len(t) >= 5 and t in loose]
+        self.loose = _root(loose)
+        # One edit leaves the first or the second half of a term as it was.
+        self.heads = {t[: len(t) // 2] for _, t, _ in loose}
+        self.tails = {t[len(t) // 2 :] for _, t, _ in loose}
+        self.heads2, self.tails2 = {h[:2] for h in self.heads}, {t[-2:] for t in self.tails}
+        self.head_lengths, self.tail_lengths = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        self.letters = {"".join(sorted(t)) for _, t, _ in loose}
 
     def matches(self, word: str) -> list[tuple[int, int]]:
         """(term, distance) of the terms that the word is, starts with, or misspells by one edit.
 
         Words under five letters and word beginnings are matched exactly; a misspelt word keeps
-        its first letter.
+        its first letter; two neighbours swapped are one edit.
         """
         out = []
         node = self.root
@@ -84,21 +100,31 @@ class Trie:
                 out.append((node[1], 0))
             if i + 1 == len(word) and 0 in node:
                 out.append((node[0], 0))
-        if not out and len(word) >= 5 and (first := self.root.get(word[0])) is not None:
-            self._within(first, word[1:], out)
+        if not out and len(word) >= 4 and self._may_misspell(word):
+            self._within(word, out)
         return out
 
-    @staticmethod
-    def _within(start: dict, rest: str, out: list[tuple[int, int]], bound: int = 1) -> None:
-        """The product of the trie and the automaton of ``rest``: rows of distances, dead ones pruned."""
+    def _may_misspell(self, word: str) -> bool:
+        if word[:2] in self.heads2 and any(word[:k] in self.heads for k in self.head_lengths):
+            return True
+        if word[-2:] in self.tails2 and any(word[-k:] in self.tails for k in self.tail_lengths):
+            return True
+        return "".join(sorted(word)) in self.letters
+
+    def _within(self, word: str, out: list[tuple[int, int]], bound: int = 1) -> None:
+        """The product of the trie and the automaton of the word: rows of distances, dead ones pruned."""
+        start = self.loose.get(word[0])
+        if start is None:
+            return
+        rest = word[1:]
         n = len(rest)
-        stack = [(start, list(range(n + 1)), None, None, 1)]
+        stack = [(start, list(range(n + 1)), None, None)]
         while stack:
-            node, row, before, last, depth = stack.pop()
-            if depth >= 5 and 0 in node and row[n] <= bound:
+            node, row, before, last = stack.pop()
+            if 0 in node and row[n] <= bound:
                 out.append((node[0], max(row[n], 1)))
             for c, child in node.items():
-                if c == 0 or c == 1:
+                if c == 0:
                     continue
                 new = [row[0] + 1]
                 for j in range(1, n + 1):
@@ -107,12 +133,15 @@ class Trie:
                         cost = min(cost, before[j - 2] + 1)  # neighbours swapped
                     new.append(cost)
                 if min(new) <= bound:
-                    stack.append((child, new, row, c, depth + 1))
+                    stack.append((child, new, row, c))
 
 
 @dataclass
 class Model:
+    """Terms (and whether each is a word beginning), those that may be misspelt, weights and calibration."""
+
     terms: list[tuple[str, bool]]
+    loose: frozenset[str] = frozenset(SEED)
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = -2.5
@@ -124,28 +153,29 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.trie, self.memo = model, Trie(model.terms), Memo(MEMO)
+        self.model, self.trie, self.memo = model, Trie(model.terms, model.loose), Memo(MEMO)
 
     def hits(self, texts: list[str]) -> list[list[tuple[tuple[int, int], float]]]:
         """For each text its hits: (term, distance) and what the context makes of it."""
-        split = [[w.lower() for w in t.split()] for t in texts]
-        distinct: set[str] = set()
-        for words in split:
-            distinct.update(words)
+        split = [t.lower().split() for t in texts]
+        own = [set(words) for words in split]
+        distinct: set[str] = set().union(*own)
         for w in self.memo.absent(distinct):
-            found = set()
-            for part in WORD.findall(w):
-                found.update(self.trie.matches(part))
-            self.memo.new[w] = tuple(sorted(found))
+            found: list[tuple[int, int]] = []
+            for part in (w,) if w.isalpha() else WORD.findall(w):
+                found += self.trie.matches(part)
+            self.memo.new[w] = tuple(sorted(set(found)))
         known = self.memo.new
+        toxic = {w for w in distinct if known[w]}
         out = []
-        for words in split:
-            own = []
-            for i, w in enumerate(words):
-                if found := known[w]:
-                    c = context(words, i)
-                    own += [(x, c) for x in found]
-            out.append(own)
+        for words, seen in zip(split, own, strict=True):
+            hit = []
+            if not toxic.isdisjoint(seen):
+                for i, w in enumerate(words):
+                    if w in toxic:
+                        c = context(words, i)
+                        hit += [(x, c) for x in known[w]]
+            out.append(hit)
         self.memo.turn()
         return out
 
@@ -249,31 +279,58 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     tested = counts.count()
     fine = counts.where((F.col("toxic") >= LEAST_SUPPORT) & (F.col("clean") <= 0.003 * n_clean + 0.04 * F.col("toxic")))
     best = fine.orderBy((F.col("toxic") - 3 * F.col("clean")).desc(), F.length("feature"), "feature").limit(4 * MOST_TERMS).collect()
-    chosen: set[str] = set()
+    names: list[str] = []
     for r in best:
-        name = r["feature"]
-        if len(chosen) >= MOST_TERMS:
-            break
-        if any(f"^{name.lstrip('^')[:k]}" in chosen for k in STEMS if len(name.lstrip("^")) > k or (not name.startswith("^") and len(name) >= k)):
+        bare = r["feature"].lstrip("^")
+        if any(f"^{bare[:k]}" in names for k in STEMS if len(bare) >= k and f"^{bare[:k]}" != r["feature"]):
             continue  # a shorter beginning says it
         if _is_term(r["toxic"], r["clean"], n_toxic, n_clean, tested):
-            chosen.add(name)
-    whole = {r["feature"]: r["toxic"] for r in best if not r["feature"].startswith("^")}
-    for name in sorted(chosen):
-        if name.startswith("^"):
-            stem = name[1:]
-            own = [w for w, n in whole.items() if w.startswith(stem)]
-            # A beginning that one word accounts for is that word, which can then be misspelt.
-            if len(own) == 1:
-                terms.append((own[0], False))
-            else:
-                terms.append((stem, True))
+            names.append(r["feature"])
+    chosen = _explaining(names, sample)[:MOST_TERMS]
+    whole = [r["feature"] for r in best if not r["feature"].startswith("^")]
+    strong = []
+    for name in chosen:
+        own = [w for w in whole if w.startswith(name[1:])] if name.startswith("^") else [name]
+        # A beginning that one word accounts for is that word, which can then be misspelt.
+        if len(own) == 1:
+            terms.append((own[0], False))
+            strong.append(own[0])
         else:
-            terms.append((name, False))
-    model = Model(list(dict.fromkeys(terms)))
+            terms.append((name[1:], True))
+    model = Model(list(dict.fromkeys(terms)), frozenset(SEED) | frozenset(strong[:LOOSE]))
     return _calibrated(model, sample, n_toxic, n_clean)
 
 
+def _explaining(names: list[str], sample: DataFrame) -> list[str]:
+    """Those of ``names``, strongest first, that LEAST_SUPPORT toxic texts, and one in a hundred, need for an
+    explanation.
+
+    A text with EXPLAINED stronger terms needs no more, so words that copies of one text share
+    aren't taken for terms.
+    """
+    place = {x: i for i, x in enumerate(names)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"own": [sorted(place[x] for x in features(t) if x in place) for t in b["text"]]})
+
+    # A short list for each distinct toxic text of the sample.
+    texts = sample.where("toxic <> 0").select("text").distinct()
+    own = [r["own"] for r in texts.mapInPandas(run, "own array<int>").collect()]
+    needed_by: list[list[int]] = [[] for _ in names]
+    for t, x in enumerate(own):
+        for i in x:
+            needed_by[i].append(t)
+    explained, chosen = [0] * len(own), []
+    support = max(LEAST_SUPPORT, len(own) // 100)
+    for i, name in enumerate(names):
+        if sum(explained[t] < EXPLAINED for t in needed_by[i]) >= support:
+            chosen.append(name)
+            for t in needed_by[i]:
+                explained[t] += 1
+    return chosen
+
+
 def _calibrated(model: Model, sample: DataFrame, n_toxic: int, n_clean: int) -> Model:
     """Weights of terms by distance, then a logistic curve from evidence to probability."""
 
