@@ -2,9 +2,10 @@
 
 Documents with the same shingle set are one set.  Under a global order of shingles two sets
 with Jaccard similarity t or more share one of the first ``n - ceil(t * n) + 1`` shingles of
-each, the prefix; sets that meet under a shingle are candidates if their sizes allow.  The order
-puts the shingles that head many prefixes last, so that passages which many documents share
-seldom lead to a candidate.  That order is only a matter of speed: any order finds all links.
+each, the prefix; sets that meet under a shingle are candidates if their sizes, and what is left of
+each set from there on, allow.  The order is by hash, but popular shingles come last, by their
+counts, so that passages which many documents share seldom lead to a candidate.  That order is
+only a matter of speed: any order finds all links.
 
 * Sets with equal prefixes and sizes meet under every shingle of the prefix; they are collapsed
   into one group, groups are paired and filtered by size, and pairs of groups and of members
@@ -13,7 +14,8 @@ seldom lead to a candidate.  That order is only a matter of speed: any order fin
 * More than MEETING groups under one shingle are a crowd, which is not paired out.  Its sets are
   compared with a leader, verified, and joined into components, in ROUNDS rounds with other
   leaders.  Only sets that are then still outside the largest component of a crowd are compared
-  with all others of the crowd that are not yet in their component.  Nothing is skipped: two sets in one component need
+  with all others of the crowd that are not yet in their component and that parities of hash
+  buckets don't tell apart.  Nothing is skipped: two sets in one component need
   no further comparison, any others get one.
 
 Defined results: a null text, or one without words, has no shingles and links to nothing; a text
@@ -34,18 +36,22 @@ from pyspark.sql import functions as F
 
 from .batches import Memo, chunks
 from .components import components
-from .scratch import saved, ship_package, table
+from .scratch import saved, ship_package, table, unused
 from .words import grams, hashed, mixed
 
 #: Words in a shingle, and the similarity in percent that links two sets.
 SHINGLE, PERCENT = 5, 80
-#: A shingle that heads more prefixes goes to the end of the order; the most frequent FLAGS of them.
-POPULAR, FLAGS = 40, 65_536
+#: A shingle of more sets goes to the end of the order, if it is one of the FLAGS most frequent.
+POPULAR, FLAGS = 40, 1_000_000
+#: Popular shingles are looked for in sets that have one among the first 1/SCOUT of their prefix.
+SCOUT = 4
 #: Groups under a shingle that are paired out.
 MEETING = 64
 ROUNDS = 2
 #: Hash buckets of the bound.
 BUCKETS = 256
+#: 64-bit words of the parities that tell sets in crowds apart.
+PARITY = 8
 #: Ids that are broadcast; a longer list is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -75,26 +81,30 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(d, np.arange(len(texts) + 1))
 
 
-class Flags:
-    """Membership in the popular shingles, by a table of low bits and a search."""
+class Popular:
+    """Popular shingles, ascending, and the place of each in the order by count."""
 
-    def __init__(self, flags: np.ndarray):
-        self.flags = flags
+    def __init__(self, shingles: np.ndarray, place: np.ndarray):
+        self.shingles, self.place = shingles, place
         self.low = np.zeros(1 << 20, dtype=bool)
-        self.low[(flags & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.low[(shingles & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = self.low[(h & np.uint64(0xFFFFF)).astype(np.int64)]
-        at = np.flatnonzero(out)
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each shingle, -1 for those that aren't popular."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        at = np.flatnonzero(self.low[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         if len(at):
-            place = np.minimum(np.searchsorted(self.flags, h[at]), len(self.flags) - 1)
-            out[at] = self.flags[place] == h[at]
+            near = np.minimum(np.searchsorted(self.shingles, h[at]), len(self.shingles) - 1)
+            out[at] = np.where(self.shingles[near] == h[at], self.place[near], -1)
         return out
 
 
-def _prefix(h: np.ndarray, popular: np.ndarray, p: int) -> np.ndarray:
+def _prefix(h: np.ndarray, place: np.ndarray, p: int) -> np.ndarray:
+    """The first p shingles of a set: those that aren't popular by hash, then popular ones by count."""
+    popular = place >= 0
     if popular[:p].any():
-        h = np.concatenate([h[~popular][:p], h[popular][:p]])
+        rare = h[~popular][:p]
+        h = np.concatenate([rare, h[popular][np.argsort(place[popular], kind="stable")][: p - len(rare)]])
     return h[:p]
 
 
@@ -108,21 +118,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _prefix_tokens(docs: DataFrame) -> DataFrame:
-    """The prefixes' shingles in plain hash order; a set once a task, as far as it remembers."""
+def _tokens(docs: DataFrame, scouted: np.ndarray | None) -> DataFrame:
+    """Shingles of sets: the first of each prefix, or all of the sets that have a scouted one there.
+
+    A set counts once a task, as far as the task remembers.
+    """
+    shared = None if scouted is None else docs.sparkSession.sparkContext.broadcast(scouted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Memo(200_000)
+        known = None if shared is None else Popular(shared.value, np.zeros(len(shared.value), dtype=np.int64))
         for batch in batches:
             for part in chunks(batch):
                 h, edge = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+                hit = None if known is None else known.places(h) >= 0
                 out = []
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    p = h[a : a + prefix_length(b - a)] if b > a else h[:0]
-                    key = (p.tobytes()[:64], b - a)
-                    if b > a and seen.absent({key}):
+                    few = max(3, prefix_length(b - a) // SCOUT)
+                    if b == a or (hit is not None and not hit[a : min(b, a + few)].any()):
+                        continue
+                    key = xxhash.xxh3_128_digest(h[a:b].tobytes())
+                    if seen.absent({key}):
                         seen.new[key] = True
-                        out.append(p)
+                        out.append(h[a : min(b, a + few) if hit is None else b])
                 seen.turn()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(out)))], ["token"])
@@ -130,121 +148,145 @@ def _prefix_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long")
 
 
-def popular_shingles(docs: DataFrame) -> np.ndarray:
-    """At most FLAGS shingles, the most frequent of those that head over POPULAR prefixes."""
-    counts = _prefix_tokens(docs).groupBy("token").count().where(F.col("count") > POPULAR)
-    top = counts.orderBy(F.col("count").desc(), "token").limit(FLAGS).collect()
-    return np.sort(np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64))
+def _frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most FLAGS shingles of a count over POPULAR, the most frequent, and their counts."""
+    counts = tokens.groupBy("token").count().where(F.col("count") > POPULAR)
+    top = counts.orderBy(F.col("count").desc(), "token").limit(FLAGS).toPandas()
+    token = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], top["count"].to_numpy(dtype=np.int64)[order]
+
 
+def popular_shingles(docs: DataFrame) -> Popular | None:
+    scouted, _ = _frequent(_tokens(docs, None))
+    if not len(scouted):
+        return None
+    shingles, count = _frequent(_tokens(docs, scouted))
+    if not len(shingles):
+        return None
+    place = np.empty(len(shingles), dtype=np.int64)
+    place[np.lexsort((shingles, count))] = np.arange(len(shingles))
+    return Popular(shingles, place)
 
-def _sets(docs: DataFrame, flags: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's id (two longs), bucket counts, and prefix (null where a task gave it before)."""
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+
+def _sets(docs: DataFrame, popular: Popular | None) -> DataFrame:
+    """doc_id, key (a hash of the text), n, the set's id (two longs), bucket counts, parities, and prefix
+    (null where a task gave it before)."""
+    shared = docs.sparkSession.sparkContext.broadcast(popular)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flagged, seen = Flags(shared.value), Memo(200_000)
+        known, seen = shared.value, Memo(200_000)
         for batch in batches:
             for part in chunks(batch):
                 h, edge = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
                 n = np.diff(edge)
-                popular = flagged(h) if len(shared.value) else np.zeros(len(h), dtype=bool)
+                place = known.places(h) if known is not None else np.full(len(h), -1)
                 bucket = np.repeat(np.arange(len(n)), n) * BUCKETS + (h & np.uint64(BUCKETS - 1)).astype(np.int64)
                 counts = np.minimum(np.bincount(bucket, minlength=len(n) * BUCKETS), 255).astype(np.uint8).reshape(len(n), BUCKETS)
+                bit = np.repeat(np.arange(len(n)), n) * (64 * PARITY) + ((h >> np.uint64(8)) % np.uint64(64 * PARITY)).astype(np.int64)
+                odd = np.packbits((np.bincount(bit, minlength=len(n) * 64 * PARITY) & 1).astype(np.uint8)).view(np.int64).reshape(len(n), PARITY)
                 id1, id2, sketch, prefix = [], [], [], []
                 for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-                    own = h[a:b]
-                    digest = _ids(own.tobytes())
+                    digest = _ids(h[a:b].tobytes())
                     id1.append(digest[0])
                     id2.append(digest[1])
                     sketch.append(counts[i].tobytes() if b > a else None)
                     if b > a and seen.absent({digest}):
                         seen.new[digest] = True
-                        prefix.append(_signed(_prefix(own, popular[a:b], prefix_length(b - a))))
+                        prefix.append(_signed(_prefix(h[a:b], place[a:b], prefix_length(b - a))))
                     else:
                         prefix.append(None)
                 seen.turn()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(id1, pa.int64()), pa.array(id2, pa.int64()),
-                     pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "id1", "id2", "sketch", "prefix"])
+                    [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(id1, pa.int64()), pa.array(id2, pa.int64()),
+                     pa.array(sketch, pa.binary()), pa.array(list(odd), pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "n", "id1", "id2", "sketch", "parity", "prefix"])
+
+    schema = "doc_id long, key long, n long, id1 long, id2 long, sketch binary, parity array<long>, prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
-    schema = "doc_id long, n long, id1 long, id2 long, sketch binary, prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
+def _compatible(n_a, n_b, left_a=None, left_b=None):
+    """Whether sizes, and what is left of each set from the shingle they meet under, allow the similarity.
 
-def _compatible(a, b):
-    """Whether sizes allow the similarity."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
+    If it is the first they share, what they share lies in what is left; if it isn't, they also
+    meet under the first.
+    """
+    fine = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+    if left_a is not None:
+        fine = fine & (F.least(left_a, left_b) * (100 + PERCENT) >= (n_a + n_b) * PERCENT)
+    return fine
+
+
+def _near_enough(a: str, b: str, n_a, n_b):
+    """Whether the parities allow the similarity: a bit that differs is a shingle that only one set has."""
+    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    return apart * (100 + PERCENT) <= (n_a + n_b) * (100 - PERCENT)
 
 
 def _meetings(entries: DataFrame) -> DataFrame:
-    """Pairs of groups that meet under a shingle, and the groups under shingles with too many.
+    """Pairs of groups that meet under a shingle (x, y), and the groups under shingles with too many
+    (x: the shingle, y: the group, left: what is left of it).
 
-    Reads (token, n, gid) sorted; holds no more than a batch and MEETING rows.
+    Reads (token, n, gid, left) sorted; holds no more than a batch and MEETING rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.array([], dtype=np.int64)
-        held = [empty, empty, empty]
+        held = [empty, empty, empty, empty]
         hot: int | None = None  # the shingle at hand, once known to have too many
 
-        def told(token, n, gid) -> pa.RecordBatch | None:
+        def rows(a, b, token, gid, left) -> pa.RecordBatch:
+            is_hot = np.append(np.zeros(len(a), dtype=bool), np.ones(len(token), dtype=bool))
+            left = np.append(np.zeros(len(a), dtype=np.int64), left)
+            return pa.RecordBatch.from_arrays([pa.array(is_hot), pa.array(np.append(a, token)), pa.array(np.append(b, gid)), pa.array(left)], ["hot", "x", "y", "left"])
+
+        def told(token, n, gid, left) -> Iterator[pa.RecordBatch]:
             """Rows of complete shingles."""
             if not len(token):
-                return None
+                return
             new = np.append(True, token[1:] != token[:-1])
             size = np.diff(np.append(np.flatnonzero(new), len(token)))
             many = np.repeat(size > MEETING, size)
-            rest_t, rest_n, rest_g = token[~many], n[~many], gid[~many]
-            a, b, at = [], [], np.arange(len(rest_t))
+            t, m, g, rest = token[~many], n[~many], gid[~many], left[~many]
+            a, b, at = [empty], [empty], np.arange(len(t))
             for k in range(1, MEETING):
-                at = at[at + k < len(rest_t)]
-                at = at[rest_t[at] == rest_t[at + k]]
+                at = at[at + k < len(t)]
+                at = at[t[at] == t[at + k]]
                 if not len(at):
                     break
-                fine = at[rest_n[at] * 100 >= rest_n[at + k] * PERCENT]
-                a.append(rest_g[fine])
-                b.append(rest_g[fine + k])
-            a = np.concatenate(a) if a else empty
-            b = np.concatenate(b) if b else empty
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-            return rows(pairs[:, 0], pairs[:, 1], token[many], gid[many], n[many])
-
-        def rows(a, b, token, gid, n) -> pa.RecordBatch:
-            is_hot = np.append(np.zeros(len(a), dtype=bool), np.ones(len(token), dtype=bool))
-            zero = np.zeros(len(a), dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(is_hot), pa.array(np.append(a, token)), pa.array(np.append(b, gid)), pa.array(np.append(zero, n))],
-                ["hot", "x", "y", "n"])
+                fine = (m[at] * 100 >= m[at + k] * PERCENT) & (np.minimum(rest[at], rest[at + k]) * (100 + PERCENT) >= (m[at] + m[at + k]) * PERCENT)
+                a.append(g[at[fine]])
+                b.append(g[at[fine] + k])
+            pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
+            if len(pairs):
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            if len(pairs) or many.any():
+                yield rows(pairs[:, 0], pairs[:, 1], token[many], gid[many], left[many])
 
         for batch in batches:
-            token, n, gid = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in zip(held, ("token", "n", "gid"), strict=True))
+            token, n, gid, left = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in zip(held, ("token", "n", "gid", "left"), strict=True))
             keep = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]))[: len(token)]
-            token, n, gid = token[keep], n[keep], gid[keep]
+            token, n, gid, left = token[keep], n[keep], gid[keep], left[keep]
             if hot is not None and len(token):
                 same = int(np.searchsorted(token != hot, True)) if token[0] == hot else 0
                 if same:
-                    yield rows(empty, empty, token[:same], gid[:same], n[:same])
-                    token, n, gid = token[same:], n[same:], gid[same:]
+                    yield rows(empty, empty, token[:same], gid[:same], left[:same])
+                    token, n, gid, left = token[same:], n[same:], gid[same:], left[same:]
                 if len(token):
                     hot = None
             if not len(token):
-                held = [empty, empty, empty]
+                held = [empty, empty, empty, empty]
                 continue
             cut = len(token) - int(np.searchsorted(token[::-1] != token[-1], True))
-            last = len(token) - cut  # rows of the last shingle
-            if last > MEETING:
+            if len(token) - cut > MEETING:
                 hot, cut = int(token[-1]), len(token)
-            out = told(token[:cut], n[:cut], gid[:cut])
-            if out is not None and out.num_rows:
-                yield out
-            held = [token[cut:], n[cut:], gid[cut:]]
-        out = told(*held)
-        if out is not None and out.num_rows:
-            yield out
+            yield from told(token[:cut], n[:cut], gid[:cut], left[:cut])
+            held = [token[cut:], n[cut:], gid[cut:], left[cut:]]
+        yield from told(*held)
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "n", "gid")
-    return ordered.select("token", "n", "gid").mapInArrow(run, "hot boolean, x long, y long, n long")
+    return ordered.select("token", "n", "gid", "left").mapInArrow(run, "hot boolean, x long, y long, left long")
 
 
 def _within_bound(pairs: DataFrame) -> DataFrame:
@@ -278,7 +320,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids; a short list is broadcast, a long one shuffled."""
     n = ids.count()
-    ids = ids.select(F.col(ids.columns[0]).alias("__id"))
+    docs, ids = docs.select("doc_id", "text"), ids.select(F.col(ids.columns[0]).alias("__id"))
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge")
     return docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi")
 
@@ -317,28 +359,32 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _crowded_links(docs: DataFrame, crowded: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those among sets that meet in crowds (crowd, id1, n)."""
+    """``links`` and those among sets that meet in crowds (crowd, id1, n, left, parity)."""
     for seed in range(ROUNDS + 1):
         label = components(links).withColumnRenamed("node", "id1")
         named = crowded.join(label.hint("merge"), "id1", "left")
-        named = saved(named.select("crowd", "id1", "n", F.coalesce("component", "id1").alias("part")), "named")
+        named = saved(named.select("crowd", "id1", "n", "left", "parity", F.coalesce("component", "id1").alias("part")), "named")
         sizes = named.groupBy("crowd", "part").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("crowd").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
         main = saved(main.where("parts > 1").select("crowd", F.col("top.part").alias("main")), "main")
         if main.isEmpty():
             break
         marked = saved(named.join(main.hint("merge"), "crowd"), "marked")
-        rest = saved(marked.where("part <> main").select("crowd", F.col("id1").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a")), "rest")
+        rest = marked.where("part <> main").select("crowd", F.col("id1").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("parity").alias("parity_a"), F.col("part").alias("part_a"))
+        rest = saved(rest, "rest")
+        as_b = ["crowd", F.col("id1").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("parity").alias("parity_b")]
         if seed < ROUNDS:
-            # A leader for each crowd, from its largest component.
-            lead = F.min(F.struct(F.xxhash64("id1", F.lit(seed)).alias("h"), F.col("id1"), F.col("n")))
-            other = marked.where("part = main").groupBy("crowd").agg(lead.alias("lead"))
-            other = saved(other.select("crowd", F.col("lead.id1").alias("b"), F.col("lead.n").alias("n_b")), "leaders")
-            wanted = F.lit(True)
+            # A leader for each crowd, from its largest component: first a set of which most is left, so
+            # one with few shingles of its own, then any.
+            by = -F.col("left") if seed == 0 else F.xxhash64("id1", F.lit(seed))
+            lead = F.min(F.struct(by.alias("by"), F.col("id1"), F.col("n"), F.col("left"), F.col("parity"))).alias("lead")
+            other = marked.where("part = main").groupBy("crowd").agg(lead).select("crowd", "lead.id1", "lead.n", "lead.left", "lead.parity")
+            other, wanted = other.select(*as_b), F.lit(True)
         else:
-            other = saved(marked.select("crowd", F.col("id1").alias("b"), F.col("n").alias("n_b"), "part", "main"), "every")
+            other = marked.select(*as_b, "part", "main")
             wanted = (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("b")))
-        pairs = rest.join(other.hint("merge"), "crowd").where(_compatible(F.col("n_a"), F.col("n_b")) & wanted)
+        pairs = rest.join(saved(other, "other").hint("merge"), "crowd")
+        pairs = pairs.where(_compatible(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b")) & wanted & _near_enough("parity_a", "parity_b", F.col("n_a"), F.col("n_b")))
         found = _verified(docs, _with_sets(saved(_ordered_pairs(pairs), "met"), sets))
         links = saved(links.unionByName(found).distinct(), "links")
     return links
@@ -353,11 +399,12 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ship_package(docs.sparkSession)
     rows = saved(_sets(docs, popular_shingles(docs)), "sets")
     fine = rows.where("n > 0 AND doc_id IS NOT NULL")
-    sets = fine.groupBy("id1", "id2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = fine.groupBy("id1", "id2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     sets = saved(sets, "distinct")
     # Sets with equal prefixes and sizes are one group, named by a hash of both.
     heads = rows.where("prefix IS NOT NULL").select("id1", "n", "prefix", F.xxhash64("prefix", "n").alias("gid"))
-    met = saved(_meetings(heads.select(F.explode("prefix").alias("token"), "n", "gid")), "met")
+    entries = heads.select(F.posexplode("prefix").alias("pos", "token"), "n", "gid").select("token", "n", "gid", (F.col("n") - F.col("pos")).alias("left"))
+    met = saved(_meetings(entries), "met")
     pairs = met.where("NOT hot").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     members = saved(heads.select("gid", "id1", "n").distinct(), "members")
     sizes = saved(members.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
@@ -371,38 +418,51 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = _verified(docs, _with_sets(saved(_ordered_pairs(few), "pairs"), sets))
     # Crowds: what meets under a crowded shingle, within a group, or in two groups too large to pair out.
     crowd = F.xxhash64("a", "b").alias("crowd")
+    whole = F.lit(None).cast("long").alias("left")
     groups = (
-        met.where("hot").select(F.col("x").alias("crowd"), F.col("y").alias("gid"))
-        .union(sizes.where("size > 1").select(F.col("gid").alias("crowd"), "gid"))
-        .union(many.select(crowd, F.col("a").alias("gid")))
-        .union(many.select(crowd, F.col("b").alias("gid")))
+        met.where("hot").select(F.col("x").alias("crowd"), F.col("y").alias("gid"), "left")
+        .union(sizes.where("size > 1").select(F.col("gid").alias("crowd"), "gid", whole))
+        .union(many.select(crowd, F.col("a").alias("gid"), whole))
+        .union(many.select(crowd, F.col("b").alias("gid"), whole))
     )
-    crowded = saved(groups.join(members.hint("merge"), "gid").select("crowd", "id1", "n").distinct(), "crowded")
+    crowded = groups.join(members.hint("merge"), "gid").select("crowd", "id1", "n", F.coalesce("left", "n").alias("left"))
+    crowded = saved(crowded.distinct().join(sets.select("id1", "parity").hint("merge"), "id1"), "crowded")
     if not crowded.isEmpty():
         links = _crowded_links(docs, crowded, sets, links)
     return rows, sets, links
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles and component_id of every row."""
     rows, sets, links = links_of(docs)
     label = components(links).withColumnRenamed("node", "id1")
     named = saved(sets.select("id1", "id2", "rep").join(label.hint("merge"), "id1", "left"), "labelled")
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(saved(least, "least").hint("merge"), "component", "left")
     named = saved(named.select("id1", "id2", F.coalesce("least", "rep").alias("component_id")), "named")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "id1", "id2").join(named.hint("merge"), ["id1", "id2"], "left")
+    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "id1", "id2").join(named.hint("merge"), ["id1", "id2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "key", "n_shingles", own.alias("component_id"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _classes(docs).drop("key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are their component's smallest doc_id, with all columns."""
-    kept = saved(classes(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    ids = kept.select(F.col("doc_id").alias("__id"))
-    out = docs.join(ids.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(ids["__id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc())
-    return out.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    """The rows of ``docs`` that are their component's smallest doc_id, with all columns.
+
+    Of rows that repeat both doc_id and text one stays; rows without a doc_id all do.
+    """
+    of, nth, kept_id, kept_key = unused(docs, "__of", "__nth", "__kept_id", "__kept_key")
+    kept = _classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)).distinct()
+    kept = saved(kept, "kept")
+    named = docs.withColumn(of, F.xxhash64("text"))
+    same = (named["doc_id"].cast("long") == kept[kept_id]) & (named[of] == kept[kept_key])
+    first = Window.partitionBy("doc_id", of).orderBy(F.lit(0))
+    out = named.join(kept.hint("merge"), same, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    return out.unionByName(named.where("doc_id IS NULL")).drop(of)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,3 +493,16 @@ def brute_force(rows: list[tuple]) -> list[tuple]:
     for x, (i, _) in enumerate(own):
         least[find(x)] = min(least.get(find(x), i), i)
     return [(i, len(s), least[find(x)]) for x, (i, s) in enumerate(own)]
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i : i + {SHINGLE - 1}], ' ') FOR i IN range(1, len(w) - {SHINGLE - 2})]) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * k >= {PERCENT} * (n + m - k)),
+r(node, top) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.node)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(top) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, g
+"""
