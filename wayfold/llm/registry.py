@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op2_license_scan": license_scan.ORACLE_SQL,
+    "op3_jaccard_join": jaccard_join.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_exact_top_k": topk_search.ORACLE_SQL,
 }

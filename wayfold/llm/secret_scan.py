@@ -153,5 +153,3 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-#: n_assign follows the pattern as RE2 reads it; positions are left to the tests.
-ORACLE_SQL = None
