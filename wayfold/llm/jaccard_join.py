@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .batches import Memo, chunks
 from .components import components
-from .scratch import saved, ship_package, table, unused
+from .scratch import release, saved, ship_package, table, unused
 from .words import grams, hashed, mixed
 
 #: Words in a shingle, and the similarity in percent that links two sets.
@@ -47,6 +47,7 @@ POPULAR, FLAGS = 40, 1_000_000
 SCOUT = 4
 #: Groups under a shingle that are paired out.
 MEETING = 64
+#: Rounds of leaders before what is left of a crowd is compared.
 ROUNDS = 2
 #: Hash buckets of the bound.
 BUCKETS = 256
@@ -351,7 +352,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     for side in "ab":
         s = shingles.select(F.col("id1").alias(side), F.col("shingles").alias(f"s_{side}"))
         out = out.join(s.hint("merge"), side)
-    return saved(out.mapInArrow(similar, "a long, b long").distinct(), "links")
+    links = saved(out.mapInArrow(similar, "a long, b long").distinct(), "links")
+    release(shingles, pairs)
+    return links
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -386,7 +389,8 @@ def _crowded_links(docs: DataFrame, crowded: DataFrame, sets: DataFrame, links:
         pairs = rest.join(saved(other, "other").hint("merge"), "crowd")
         pairs = pairs.where(_compatible(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b")) & wanted & _near_enough("parity_a", "parity_b", F.col("n_a"), F.col("n_b")))
         found = _verified(docs, _with_sets(saved(_ordered_pairs(pairs), "met"), sets))
-        links = saved(links.unionByName(found).distinct(), "links")
+        older, links = links, saved(links.unionByName(found).distinct(), "links")
+        release(older, found, named, main, marked, rest)
     return links
 
 
@@ -429,6 +433,7 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     crowded = saved(crowded.distinct().join(sets.select("id1", "parity").hint("merge"), "id1"), "crowded")
     if not crowded.isEmpty():
         links = _crowded_links(docs, crowded, sets, links)
+    release(met, pairs, members, sizes, crowded)
     return rows, sets, links
 
 

@@ -42,7 +42,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wayfold_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`saved` wrote, once all that was made of them is written itself."""
+    for t in tables:
+        path = getattr(t, "_wayfold_path", None)
+        if path is not None:
+            hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop.getParent(), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
