@@ -31,6 +31,8 @@ from .scratch import parallelism, saved, ship_package, table
 
 #: Words whose ids a worker remembers.
 MEMO = 300_000
+#: Bytes of text tokenised at once; more of it has fewer distinct words a byte.
+AT_ONCE = 3 << 20
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -118,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=AT_ONCE):
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 cols: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
