@@ -49,7 +49,7 @@ WINDOW = 6
 #: Hits that add to the evidence of a document.
 BEST = 4
 THRESHOLD = 0.7
-MEMO = 300_000
+MEMO = 150_000
 
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "vermin")
 QUOTING = frozenset("said says saying quote quoted quotes quoting wrote writes word words term called reported claims according definition slur insult".split())
