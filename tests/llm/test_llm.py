@@ -249,6 +249,24 @@ def test_automaton_matches_distances():
         assert set(trie.matches(w)) == want, w
 
 
+def test_automaton_covers_the_whole_lexicon():
+    rng, made = random.Random(3), set()
+    while len(made) < 400:
+        made.add("".join(rng.choice("abcdeorst") for _ in range(rng.randint(4, 8))))
+    terms = [(w, n % 2 == 0) for n, w in enumerate(sorted(made))]
+    trie = toxicity.Scorer(toxicity.Model(terms)).trie
+    for _ in range(300):
+        w = list(rng.choice(terms)[0]) + rng.choices("abcdeorst", k=rng.choice((0, 0, 2)))
+        i = rng.randrange(1, len(w))
+        w[i : i + rng.randint(0, 2)] = rng.sample("abcdorst", rng.randint(0, 2))
+        w = "".join(w)
+        want = {(n, 0) for n, (t, b) in enumerate(terms) if (w.startswith(t) if b else w == t)}
+        if not want and len(w) >= 4:
+            heads = lambda t: [w[:k] for k in range(len(t) - 1, len(t) + 2) if k <= len(w)]
+            want = {(n, 1) for n, (t, b) in enumerate(terms) if w[0] == t[0] and (any(distance(x, t) == 1 for x in heads(t)) if b else len(t) >= 5 and distance(w, t) == 1)}
+        assert set(trie.matches(w)) == want, w
+
+
 def test_toxic_terms_are_learnt(spark):
     rng = random.Random(1)
     rows, labels = [], []

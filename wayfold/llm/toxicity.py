@@ -3,8 +3,8 @@
 The lexicon is a trie of words and word beginnings.  A seed of common insults is joined by
 terms learnt from labelled documents: word beginnings and whole words that toxic documents
 hold and clean ones don't.  A word of a text is run through the trie with a Levenshtein
-automaton (a row of edit distances as its state, states dead beyond the bound pruned), so
-one walk finds all terms within an edit.  Each hit weighs by the log odds that its term, at its
+automaton of one edit (its states are places in the word, before and after the edit), so one walk
+finds all terms within an edit.  Each hit weighs by the log odds that its term, at its
 distance, had in the labelled documents; a window of words around the hit lowers the weight
 where it reads as a quotation and raises it where it addresses someone.  The sum of the best
 hits is calibrated to a probability on the same labelled documents.
@@ -41,9 +41,9 @@ from .scratch import saved, ship_package, table
 SAMPLE = 10_000
 #: Learnt terms are word beginnings of these lengths, and whole words.
 STEMS = (4, 5, 6, 7)
-#: Terms that may be learnt, how many of the strongest whole words may be misspelt, and toxic texts that a
-#: term must be in, counting only those with fewer than EXPLAINED stronger terms.
-MOST_TERMS, LOOSE, LEAST_SUPPORT, EXPLAINED = 2_000, 40, 4, 3
+#: Terms that may be learnt, and toxic texts that a term must be in, counting only those with fewer than
+#: EXPLAINED stronger terms.
+MOST_TERMS, LEAST_SUPPORT, EXPLAINED = 2_000, 4, 3
 #: Words on each side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Hits that add to the evidence of a document.
@@ -72,23 +72,18 @@ def _root(terms: list[tuple[int, str, bool]]) -> dict:
 class Trie:
     """Terms as nested dicts; 0 marks a whole word, 1 a word beginning, with the term's number."""
 
-    def __init__(self, terms: list[tuple[str, bool]], loose: frozenset[str]):
+    def __init__(self, terms: list[tuple[str, bool]], loose: frozenset[str] | None = None):
+        """All terms may be misspelt, or those in ``loose``."""
         named = [(n, t, b) for n, (t, b) in enumerate(terms)]
         self.root = _root(named)
-        loose = [(n, t, b) for n, t, b in named if not b and len(t) >= 5 and t in loose]
-        self.loose = _root(loose)
-        # One edit leaves the first or the second half of a term as it was.
-        self.heads = {t[: len(t) // 2] for _, t, _ in loose}
-        self.tails = {t[len(t) // 2 :] for _, t, _ in loose}
-        self.heads2, self.tails2 = {h[:2] for h in self.heads}, {t[-2:] for t in self.tails}
-        self.head_lengths, self.tail_lengths = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
-        self.letters = {"".join(sorted(t)) for _, t, _ in loose}
+        self.loose = _root([(n, t, b) for n, t, b in named if (b or len(t) >= 5) and (loose is None or t in loose)])
 
     def matches(self, word: str) -> list[tuple[int, int]]:
         """(term, distance) of the terms that the word is, starts with, or misspells by one edit.
 
-        Words under five letters and word beginnings are matched exactly; a misspelt word keeps
-        its first letter; two neighbours swapped are one edit.
+        Words under four letters, and terms under five that are whole words, are matched exactly;
+        a misspelt word keeps its first letter; two neighbours swapped are one edit; a beginning
+        is misspelt if a beginning of the word is one edit from it.
         """
         out = []
         node = self.root
@@ -100,48 +95,55 @@ class Trie:
                 out.append((node[1], 0))
             if i + 1 == len(word) and 0 in node:
                 out.append((node[0], 0))
-        if not out and len(word) >= 4 and self._may_misspell(word):
-            self._within(word, out)
+        if not out and len(word) >= 4:
+            out += self._within(word)
         return out
 
-    def _may_misspell(self, word: str) -> bool:
-        if word[:2] in self.heads2 and any(word[:k] in self.heads for k in self.head_lengths):
-            return True
-        if word[-2:] in self.tails2 and any(word[-k:] in self.tails for k in self.tail_lengths):
-            return True
-        return "".join(sorted(word)) in self.letters
-
-    def _within(self, word: str, out: list[tuple[int, int]], bound: int = 1) -> None:
-        """The product of the trie and the automaton of the word: rows of distances, dead ones pruned."""
-        start = self.loose.get(word[0])
-        if start is None:
-            return
-        rest = word[1:]
-        n = len(rest)
-        stack = [(start, list(range(n + 1)), None, None)]
-        while stack:
-            node, row, before, last = stack.pop()
-            if 0 in node and row[n] <= bound:
-                out.append((node[0], max(row[n], 1)))
-            for c, child in node.items():
-                if c == 0:
+    def _within(self, word: str) -> set[tuple[int, int]]:
+        """The product of the trie and the word's automaton of one edit.
+
+        A state is a place in the word and the edits made.  Without an edit there is one path;
+        from each of its nodes every edit leads to a state from which the rest must be as it is.
+        """
+        out: set[tuple[int, int]] = set()
+        node, n = self.loose.get(word[0]), len(word)
+        for i in range(1, n + 1):
+            if node is None:
+                break
+            c = word[i] if i < n else None
+            for k, child in node.items():
+                if k == 0 or k == 1:
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    cost = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (rest[j - 1] != c))
-                    if before is not None and j > 1 and rest[j - 1] == last and rest[j - 2] == c:
-                        cost = min(cost, before[j - 2] + 1)  # neighbours swapped
-                    new.append(cost)
-                if min(new) <= bound:
-                    stack.append((child, new, row, c))
+                self._rest(child, word, i, out)  # a letter left out
+                if c is not None and k != c:
+                    self._rest(child, word, i + 1, out)  # another letter
+            if c is None:
+                break
+            self._rest(node, word, i + 1, out)  # a letter too many
+            if i + 1 < n and (child := node.get(word[i + 1])) is not None and (child := child.get(c)) is not None:
+                self._rest(child, word, i + 2, out)  # neighbours swapped
+            node = node.get(c)
+        return out
+
+    @staticmethod
+    def _rest(node: dict, word: str, i: int, out: set[tuple[int, int]]) -> None:
+        """Follows the word from a place on, without a further edit."""
+        while node is not None:
+            if 1 in node:
+                out.add((node[1], 1))
+            if i == len(word):
+                if 0 in node:
+                    out.add((node[0], 1))
+                return
+            node = node.get(word[i])
+            i += 1
 
 
 @dataclass
 class Model:
-    """Terms (and whether each is a word beginning), those that may be misspelt, weights and calibration."""
+    """Terms (and whether each is a word beginning), weights and calibration."""
 
     terms: list[tuple[str, bool]]
-    loose: frozenset[str] = frozenset(SEED)
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = -2.5
@@ -153,7 +155,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.trie, self.memo = model, Trie(model.terms, model.loose), Memo(MEMO)
+        self.model, self.trie, self.memo = model, Trie(model.terms), Memo(MEMO)
 
     def hits(self, texts: list[str]) -> list[list[tuple[tuple[int, int], float]]]:
         """For each text its hits: (term, distance) and what the context makes of it."""
@@ -288,16 +290,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             names.append(r["feature"])
     chosen = _explaining(names, sample)[:MOST_TERMS]
     whole = [r["feature"] for r in best if not r["feature"].startswith("^")]
-    strong = []
     for name in chosen:
         own = [w for w in whole if w.startswith(name[1:])] if name.startswith("^") else [name]
         # A beginning that one word accounts for is that word, which can then be misspelt.
         if len(own) == 1:
             terms.append((own[0], False))
-            strong.append(own[0])
         else:
             terms.append((name[1:], True))
-    model = Model(list(dict.fromkeys(terms)), frozenset(SEED) | frozenset(strong[:LOOSE]))
+    model = Model(list(dict.fromkeys(terms)))
     return _calibrated(model, sample, n_toxic, n_clean)
 
 
