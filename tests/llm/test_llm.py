@@ -111,6 +111,16 @@ def test_licenses_survive_odd_text(spark):
     assert license_scan.scan(docs(spark, [])).collect() == []
 
 
+def test_templates_that_end_in_punctuation(spark):
+    names = ("Apache-2.0 header", "GPL header", "MPL-2.0")
+    rows = [(i, f"Before it. {license_scan.TEMPLATES[n]} And text after it.") for i, n in enumerate(names)]
+    gpl = license_scan.TEMPLATES["GPL header"].split()
+    rows.append((3, " ".join(gpl[: -(38 - 31)]) + " something else"))
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 3} == {(i, n): 1.0 for i, n in enumerate(names)}
+    assert got[3, "GPL header"] >= 0.8
+
+
 def test_licenses_use_no_python(spark):
     plan = license_scan.scan(docs(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

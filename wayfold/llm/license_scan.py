@@ -44,8 +44,8 @@ TEMPLATES = {
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits in lower case; an empty one may stand at either end."""
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """Runs of letters and digits in lower case."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")  # one stands at an end that is a separator
 
 
 def _worded(rows: DataFrame) -> DataFrame:
