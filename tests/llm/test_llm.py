@@ -295,6 +295,12 @@ def test_toxic_terms_are_learnt(spark):
     assert kept.columns == docs(spark, []).columns and 445 <= kept.count() <= 455
 
 
+def test_rare_terms_of_many_toxic_texts_are_learnt(spark):
+    rows = [(1, f"zorgan text{i}") for i in range(1000)] + [(1, f"blirfen word{i}") for i in range(6)] + [(1, "vuxtor copy")] * 9
+    sample = spark.createDataFrame(rows, "toxic int, text string")
+    assert toxicity._explaining(["zorgan", "blirfen", "vuxtor"], sample) == ["zorgan", "blirfen"]
+
+
 def test_toxicity_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = [(1, None), (2, ""), (None, "you idiot, pathetic moron, you scum"), (3, 'he said the word "idiot" in a quote'), (4, "x" * 100_000), (2, "")]

@@ -302,8 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _explaining(names: list[str], sample: DataFrame) -> list[str]:
-    """Those of ``names``, strongest first, that LEAST_SUPPORT toxic texts, and one in a hundred, need for an
-    explanation.
+    """Those of ``names``, strongest first, that LEAST_SUPPORT toxic texts need for an explanation.
 
     A text with EXPLAINED stronger terms needs no more, so words that copies of one text share
     aren't taken for terms.
@@ -322,9 +321,8 @@ def _explaining(names: list[str], sample: DataFrame) -> list[str]:
         for i in x:
             needed_by[i].append(t)
     explained, chosen = [0] * len(own), []
-    support = max(LEAST_SUPPORT, len(own) // 100)
     for i, name in enumerate(names):
-        if sum(explained[t] < EXPLAINED for t in needed_by[i]) >= support:
+        if sum(explained[t] < EXPLAINED for t in needed_by[i]) >= LEAST_SUPPORT:
             chosen.append(name)
             for t in needed_by[i]:
                 explained[t] += 1
