@@ -230,6 +230,21 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, []), RANKS).collect() == []
 
 
+def found_random(spark, texts):
+    rows = secret_scan.scan(docs(spark, list(enumerate(texts))), RANKS).orderBy("doc_id").collect()
+    cut = [[x.split(":") for x in r["spans"].split(",") if x.startswith("random")] for r in rows]
+    return [[t[int(s) : int(e)] for _, s, e in x] for t, x in zip(texts, cut, strict=True)]
+
+
+def test_random_strings_beside_words(spark):
+    key, slashed = "k9Jq3ZxT7bVw2LmR8sYp", "k9Jq3ZxT/7bVw2LmR8s+Yp4NcD/6fGhZ"
+    heads = ("authorization_header_value=", "my_project_service_account_", "docs/deployment/production/credentials/")
+    cases = [(h + x, x) for h in heads for x in (key, slashed)] + [(f"{'0af9' * 8}_{key}", key)]
+    uuid = "docs/deployment/123e4567-e89b-12d3-a456-426614174000/production/credentials"
+    *got, none = found_random(spark, [t for t, _ in cases] + [uuid])
+    assert all(len(x) == 1 and x[0].endswith(end) for x, (_, end) in zip(got, cases, strict=True)) and not none, (got, none)
+
+
 # 7
 
 

@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and random strings found by their token efficiency.
 
 Prose and identifiers take few tokens of a byte-level vocabulary for their length; random
-strings take many.  A run of token characters that holds letters and digits, and whose
-characters per token fall below a limit, is reported as random unless it is a known
-digest length in hex, a UUID, a number or part of a span that the patterns already found.
+strings take many.  A run of token characters that holds letters and digits, or a stretch of its parts, whose
+characters per token fall below a limit, is reported as random unless it is of a known
+digest length in hex or a UUID; what the patterns already found is left out of the runs.
 
 Defined results: a null or empty text has no spans; positions are code points, ends
 exclusive; spans of one kind never overlap; rows that repeat a doc_id give a row each; an
@@ -13,6 +13,7 @@ empty table gives an empty result; :func:`redact` keeps every column.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
+PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9+]+")
+LEAST_RANDOM = 20
 #: Characters a token below which a string counts as random.
 RATIO = 1.9
 
@@ -60,15 +63,56 @@ def is_known(run: str) -> bool:
     return bool(UUID.fullmatch(run)) or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run)
 
 
+def outside(start: int, end: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans of ``found``, in order, leave of a stretch."""
+    for s, _, e in found:
+        if s < end and start < e:
+            yield start, s
+            start = e
+    yield start, end
+
+
+def random_parts(run: str, n_tokens) -> list[tuple[int, int]]:
+    """Where a run is random: all of it, or stretches of its parts that together are.
+
+    Parts lie between = / _ and -.  Each counts its tokens' characters at RATIO less its own; the
+    stretches are the maximal ones by that sum, so that words beside a random string don't hide it.
+    """
+    if len(run) < LEAST_RANDOM or is_known(run):
+        return []
+    if len(run) < RATIO * n_tokens(run):
+        return [(0, len(run))]
+    parts = []
+    for m in PART.finditer(run):
+        gain = -math.inf if UUID.fullmatch(m[0]) else RATIO * n_tokens(m[0]) - len(m[0])
+        parts.append((m.start(), m.end(), gain))
+    # Ruzzo and Tompa: start, end, sum before and sum after of each stretch.
+    best: list[tuple[int, int, float, float]] = []
+    total = 0.0
+    for s, e, gain in parts:
+        if gain == -math.inf:
+            total = min([total, *(x[2] for x in best)]) - 1.0  # nothing reaches over it
+            continue
+        before, total = total, total + gain
+        if gain <= 0:
+            continue
+        new = (s, e, before, total)
+        while True:
+            k = next((k for k in range(len(best) - 1, -1, -1) if best[k][2] < new[2]), None)
+            if k is None or best[k][3] >= new[3]:
+                best.append(new)
+                break
+            new = (best[k][0], new[1], best[k][2], new[3])
+            del best[k:]
+    return [(s, e) for s, e, _, _ in best if e - s >= LEAST_RANDOM and not is_known(run[s:e])]
+
+
 def random_spans(text: str, found: list[tuple[int, int, int]], n_tokens) -> list[tuple[int, int, int]]:
-    """Strings with fewer than RATIO characters a token that touch no span of ``found``."""
+    """Strings with fewer than RATIO characters a token, outside the spans of ``found``."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if is_known(run) or any(s < m.end() and m.start() < e for s, _, e in found):
-            continue
-        if len(run) < RATIO * n_tokens(run):
-            out.append((m.start(), 3, m.end()))
+        for start, end in outside(m.start(), m.end(), found):
+            out += [(start + s, 3, start + e) for s, e in random_parts(text[start:end], n_tokens)]
     return out
 
 
