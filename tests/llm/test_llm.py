@@ -245,6 +245,12 @@ def test_random_strings_beside_words(spark):
     assert all(len(x) == 1 and x[0].endswith(end) for x, (_, end) in zip(got, cases, strict=True)) and not none, (got, none)
 
 
+def test_random_strings_of_letters(spark):
+    key = "kJqZxTbVwLmRsYpNcDfGh"
+    texts = [key, key.lower(), "aVariableNameInCamelCaseForExample", "identifiers_and_names_in_snake_case"]
+    assert found_random(spark, texts) == [[key], [key.lower()], [], []]
+
+
 # 7
 
 

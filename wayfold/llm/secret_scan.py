@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and random strings found by their token efficiency.
 
 Prose and identifiers take few tokens of a byte-level vocabulary for their length; random
-strings take many.  A run of token characters that holds letters and digits, or a stretch of its parts, whose
+strings take many.  A run of token characters that holds letters, or a stretch of its parts, whose
 characters per token fall below a limit, is reported as random unless it is of a known
 digest length in hex or a UUID; what the patterns already found is left out of the runs.
 
@@ -57,10 +57,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """A digest, an identifier or a number, which random strings are not reported for."""
+    """A digest, a UUID or a string without letters, which random strings are not reported for."""
     if HEX_ONLY.fullmatch(run):
         return len(run) in DIGEST_LENGTHS or run.isdigit()
-    return bool(UUID.fullmatch(run)) or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run)
+    return bool(UUID.fullmatch(run)) or not any(c.isalpha() for c in run)
 
 
 def outside(start: int, end: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
