@@ -178,6 +178,14 @@ def test_em_finds_the_good_labeller():
     assert 0.74 < share[1] < 0.86 and table[1, 0, 1] > 0.9 and table[1, 2, 1] < 0.7
 
 
+def test_labellers_that_only_say_bad_count_at_every_size():
+    clean, faults = "22221212212", ("02221212212", "22221012212", "22221210212")
+    mix = {clean: 90, faults[0]: 3, faults[1]: 3, faults[2]: 4}
+    q = [quality_classifier.posteriors([clean, *faults], quality_classifier.estimate({k: n * m for k, n in mix.items()})) for m in (1, 10, 100_000)]
+    assert abs(q[0] - q[1]).max() < 1e-6 and abs(q[0] - q[2]).max() < 1e-6
+    assert max(q[0][1:]) < q[0][0] - 0.1, q[0]
+
+
 # 5
 
 

@@ -2,8 +2,8 @@
 
 Heuristic labellers look at each text and vote good, bad or abstain.  Nobody knows how good
 they are; expectation-maximisation over the counts of vote patterns in the whole corpus
-estimates how often each labeller votes what for good and for bad documents, and the share of
-good ones.  The posterior of each document's votes is its weak label.  A logistic scorer over
+estimates how often each labeller votes what, or abstains, for good and for bad documents, and the
+share of good ones.  The posterior of each document's votes is its weak label.  A logistic scorer over
 hashed features learns the weak labels from a bounded sample (SAMPLE documents, the first by a
 hash of their ids) and then scores every document whole; a document is kept if it scores KEEP or
 more.
@@ -31,7 +31,8 @@ from .scratch import ship_package, table
 
 SAMPLE, DIMENSIONS, KEEP = 20_000, 1 << 14, 0.5
 EPOCHS, RATE, RIDGE = 6, 0.3, 1e-5
-PRIOR = 20.0
+#: Weight, as a share of the corpus, of the belief that a vote is nine times as likely where it is right.
+PRIOR = 0.2
 MEMO = 200_000
 
 LETTER, UPPER, DIGIT, SPACE, SYMBOL = range(5)
@@ -87,25 +88,31 @@ def votes(m: dict[str, float]) -> str:
 
 
 def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """The classes' shares, and for class, labeller and vote its probability among votes, by EM over counts.
+    """The classes' shares, and for class, labeller and vote (abstaining too) its probability, by EM over counts.
 
-    Abstaining says nothing.  Starts from the votes' majority, and takes each labeller as right
-    four times in five with the weight of PRIOR documents, so that class 1 is what they call good.
+    A labeller that can only say bad tells by how often it does so in each class.  Starts from the
+    votes' majority, and takes each vote as nine times as likely where it is right, with the weight of a share PRIOR
+    of the corpus, so that class 1 is what they call good and a corpus of any size with the same
+    shares of patterns gives the same estimates.
     """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], dtype=float)
+    n /= n.sum()
     v = np.array([[int(c) for c in k] for k in keys])
     good, bad = (v == 1).sum(axis=1), (v == 0).sum(axis=1)
     q = (good + 2.0) / (good + 2.0 * bad + 2.5)
+    cast = np.stack([(n[:, None] * (v == x)).sum(axis=0) for x in (0, 1, 2)], axis=1) + 1e-6
     share, table_ = np.array([0.2, 0.8]), np.ones((2, v.shape[1], 3))
-    right = PRIOR * np.array([[0.8, 0.2], [0.2, 0.8]])
     for _ in range(rounds):
         before = q
-        for y, w in enumerate((n * (1 - q), n * q)):
-            share[y] = w.sum() + 1
-            voted = np.stack([(w[:, None] * (v == x)).sum(axis=0) + right[y, x] for x in (0, 1)], axis=1)
-            table_[y, :, :2] = voted / voted.sum(axis=1, keepdims=True)
+        weights = (n * (1 - q), n * q)
+        share = np.array([w.sum() for w in weights]) + 1e-3
         share /= share.sum()
+        odds = share[:, None] * np.array([[0.9, 0.1, 0.5], [0.1, 0.9, 0.5]])
+        odds /= odds.sum(axis=0)
+        for y, w in enumerate(weights):
+            table_[y] = np.stack([(w[:, None] * (v == x)).sum(axis=0) for x in (0, 1, 2)], axis=1) + PRIOR * cast * odds[y]
+            table_[y] /= table_[y].sum(axis=1, keepdims=True)
         q = _posterior(v, share, table_)
         if np.abs(q - before).max() < 1e-6:
             break
