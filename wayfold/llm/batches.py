@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -46,3 +49,27 @@ class Memo:
         """To be called between chunks."""
         if len(self.new) > self.half:
             self.old, self.new = self.new, {}
+
+
+#: The model a worker holds; there is one at a time, as workers outlive queries.
+_HELD: dict[Any, Any] = {}
+
+
+def model(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives for ``key``, kept until a task of this worker needs another model, or none."""
+    if key not in _HELD:
+        settle()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def settle() -> None:
+    """Give back what earlier tasks of this worker left behind."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import Memo, chunks
+from .batches import Memo, chunks, model
 from .scratch import parallelism, saved, ship_package, table
 
 #: Words whose ids a worker remembers.
@@ -103,13 +103,8 @@ class WordTokenizer:
             known.update(zip(some, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    return model(("words", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0) -> DataFrame:

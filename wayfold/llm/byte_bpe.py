@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Memo, chunks
+from .batches import Memo, chunks, model
 from .scratch import ship_package, table
 
 #: Runs whose ids a worker remembers.
@@ -190,13 +190,8 @@ class ByteBpe:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def _bpe(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    return model(("byte BPE", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

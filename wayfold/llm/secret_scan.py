@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import chunks
+from .batches import chunks, model
 from .byte_bpe import read_ranks
 from .scratch import ship_package, table
 
@@ -116,17 +116,16 @@ def random_spans(text: str, found: list[tuple[int, int, int]], n_tokens) -> list
     return out
 
 
-_LOADED: dict[str, object] = {}
-
-
 def _counter(ranks_path: str):
     """Number of tokens of a string."""
-    if ranks_path not in _LOADED:
+
+    def made():
         import tiktoken
 
         coder = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        _LOADED[ranks_path] = lambda x: len(coder.encode_ordinary(x))
-    return _LOADED[ranks_path]
+        return lambda x: len(coder.encode_ordinary(x))
+
+    return model(("token counts", ranks_path), made)
 
 
 def _spans_of(text: str | None, n_tokens) -> tuple[list, list]:

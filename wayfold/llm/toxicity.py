@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Memo, chunks
+from .batches import Memo, chunks, settle
 from .scratch import saved, ship_package, table
 
 #: Labelled documents of each class that may be learnt from.
@@ -384,6 +384,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in chunks(batch):
@@ -403,6 +404,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in chunks(batch):
