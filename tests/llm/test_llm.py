@@ -137,6 +137,38 @@ def test_near_copies_match_brute_force(spark, corpus, monkeypatch, meeting, popu
     assert sorted(map(tuple, got.collect())) == sorted(jaccard_join.brute_force(corpus))
 
 
+def test_crowds_of_thousands(spark, monkeypatch):
+    """A passage with few own words: links of some, near misses of others, in crowds of one block and of many."""
+    monkeypatch.setattr(jaccard_join, "HOT", 1000)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(2400):
+        own = [f"u{rng.randint(0, 10**9)}" for _ in range(rng.choice((1, 3, 6, 8, 8, 9, 9, 10, 10, 12)))]
+        x = list(passage)
+        if i % 3 == 0:
+            x[rng.randrange(60)] = f"v{rng.randint(0, 50)}"
+        rows.append((i, " ".join(own + x)))
+    want = sorted(jaccard_join.brute_force(rows[:900]))
+    assert sorted(map(tuple, jaccard_join.classes(docs(spark, rows[:900])).collect())) == want
+    monkeypatch.setattr(jaccard_join, "ASKING", 50)
+    monkeypatch.setattr(jaccard_join, "ASKED", 70)
+    monkeypatch.setattr(jaccard_join, "NEAREST", 2)
+    assert sorted(map(tuple, jaccard_join.classes(docs(spark, rows[:900])).collect())) == want
+    monkeypatch.undo()
+    assert sorted(map(tuple, jaccard_join.classes(docs(spark, rows)).collect())) == sorted(jaccard_join.brute_force(rows))
+
+
+def test_near_copies_of_empty_tables_and_long_texts(spark):
+    assert jaccard_join.classes(docs(spark, [])).collect() == []
+    assert jaccard_join.one_of_each(docs(spark, [])).collect() == []
+    rng = random.Random(9)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long[:-9]])), (3, None), (None, " ".join(long))]
+    got = jaccard_join.classes(docs(spark, rows))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str) == [(1, 1), (2, 1), (3, 3), (None, None)]
+
+
 def test_one_of_each_component(spark, corpus):
     want = {c for _, n, c in jaccard_join.brute_force(corpus)}
     got = jaccard_join.one_of_each(docs(spark, [*corpus, (None, corpus[0][1]), (None, None)]))

@@ -13,10 +13,15 @@ only a matter of speed: any order finds all links.
 * A pair of sets is first bounded by counts of shingles per hash bucket, then verified exactly.
 * More than MEETING groups under one shingle are a crowd, which is not paired out.  Its sets are
   compared with a leader, verified, and joined into components, in ROUNDS rounds with other
-  leaders.  Only sets that are then still outside the largest component of a crowd are compared
-  with all others of the crowd that are not yet in their component and that parities of hash
-  buckets don't tell apart.  Nothing is skipped: two sets in one component need
-  no further comparison, any others get one.
+  leaders.  Sets that are then still outside the largest component of a crowd ask, block by block,
+  for the nearest others that are not in their component and that parities of hash buckets don't tell
+  apart: NEAREST of them, then the next ones, until none is left.  A round makes a bounded number of
+  rows for each set and block, and joins components as it goes.  Nothing is skipped: two sets in one
+  component need no further comparison, any others get one.
+* Groups under the hottest shingles (over HOT sets have them) are a crowd at once, so that no task
+  sorts them.
+* Sets are told apart by 128 bits of their shingles' hashes, and numbered; a group's name is a hash of
+  64 bits, and groups or crowds that share a name only meet more often than they need to.
 
 Defined results: a null text, or one without words, has no shingles and links to nothing; a text
 of fewer words than a shingle is one shingle; rows that repeat a doc_id give a row each, linked
@@ -29,12 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import Memo, chunks
+from .batches import Memo, chunks, settle
 from .components import components
 from .scratch import release, saved, ship_package, table, unused
 from .words import grams, hashed, mixed
@@ -47,8 +54,14 @@ POPULAR, FLAGS = 40, 1_000_000
 SCOUT = 4
 #: Groups under a shingle that are paired out.
 MEETING = 64
+#: A shingle that so many sets have gives a crowd without being sorted.
+HOT = 4096
 #: Rounds of leaders before what is left of a crowd is compared.
 ROUNDS = 2
+#: Nearest others that a set asks for at first, in a block of a crowd; later rounds go so many times further.
+NEAREST = 8
+#: Sets in a block of those that ask, and of those that are asked.
+ASKING, ASKED = 1024, 8192
 #: Hash buckets of the bound.
 BUCKETS = 256
 #: 64-bit words of the parities that tell sets in crowds apart.
@@ -83,10 +96,10 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Popular:
-    """Popular shingles, ascending, and the place of each in the order by count."""
+    """Popular shingles, ascending, the place of each in the order by count, and the hottest of them."""
 
-    def __init__(self, shingles: np.ndarray, place: np.ndarray):
-        self.shingles, self.place = shingles, place
+    def __init__(self, shingles: np.ndarray, place: np.ndarray, hottest: np.ndarray | None = None):
+        self.shingles, self.place, self.hottest = shingles, place, hottest
         self.low = np.zeros(1 << 20, dtype=bool)
         self.low[(shingles & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -110,7 +123,7 @@ def _prefix(h: np.ndarray, place: np.ndarray, p: int) -> np.ndarray:
 
 
 def _ids(own: bytes) -> tuple[int, int]:
-    """The id of a set: 128 bits as two longs, the first of which names it among sets of its size."""
+    """The id of a set: 128 bits as two longs."""
     digest = xxhash.xxh3_128_digest(own)
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
@@ -119,14 +132,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _tokens(docs: DataFrame, scouted: np.ndarray | None) -> DataFrame:
+def _tokens(docs: DataFrame, shared: Broadcast | None) -> DataFrame:
     """Shingles of sets: the first of each prefix, or all of the sets that have a scouted one there.
 
     A set counts once a task, as far as the task remembers.
     """
-    shared = None if scouted is None else docs.sparkSession.sparkContext.broadcast(scouted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         seen = Memo(200_000)
         known = None if shared is None else Popular(shared.value, np.zeros(len(shared.value), dtype=np.int64))
         for batch in batches:
@@ -162,20 +175,23 @@ def popular_shingles(docs: DataFrame) -> Popular | None:
     scouted, _ = _frequent(_tokens(docs, None))
     if not len(scouted):
         return None
-    shingles, count = _frequent(_tokens(docs, scouted))
+    shared = docs.sparkSession.sparkContext.broadcast(scouted)  # FLAGS shingles at most
+    shingles, count = _frequent(_tokens(docs, shared))
+    shared.destroy()
     if not len(shingles):
         return None
     place = np.empty(len(shingles), dtype=np.int64)
     place[np.lexsort((shingles, count))] = np.arange(len(shingles))
-    return Popular(shingles, place)
+    return Popular(shingles, place, _signed(shingles[count > HOT]))
 
 
 def _sets(docs: DataFrame, popular: Popular | None) -> DataFrame:
     """doc_id, key (a hash of the text), n, the set's id (two longs), bucket counts, parities, and prefix
-    (null where a task gave it before)."""
-    shared = docs.sparkSession.sparkContext.broadcast(popular)
+    (null where a task gave it before, or the row has no doc_id)."""
+    shared = docs.sparkSession.sparkContext.broadcast(popular)  # FLAGS shingles at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         known, seen = shared.value, Memo(200_000)
         for batch in batches:
             for part in chunks(batch):
@@ -187,12 +203,13 @@ def _sets(docs: DataFrame, popular: Popular | None) -> DataFrame:
                 bit = np.repeat(np.arange(len(n)), n) * (64 * PARITY) + ((h >> np.uint64(8)) % np.uint64(64 * PARITY)).astype(np.int64)
                 odd = np.packbits((np.bincount(bit, minlength=len(n) * 64 * PARITY) & 1).astype(np.uint8)).view(np.int64).reshape(len(n), PARITY)
                 id1, id2, sketch, prefix = [], [], [], []
+                ids = part.column("doc_id").to_pylist()
                 for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                     digest = _ids(h[a:b].tobytes())
                     id1.append(digest[0])
                     id2.append(digest[1])
                     sketch.append(counts[i].tobytes() if b > a else None)
-                    if b > a and seen.absent({digest}):
+                    if b > a and ids[i] is not None and seen.absent({digest}):
                         seen.new[digest] = True
                         prefix.append(_signed(_prefix(h[a:b], place[a:b], prefix_length(b - a))))
                     else:
@@ -204,7 +221,9 @@ def _sets(docs: DataFrame, popular: Popular | None) -> DataFrame:
                     ["doc_id", "key", "n", "id1", "id2", "sketch", "parity", "prefix"])
 
     schema = "doc_id long, key long, n long, id1 long, id2 long, sketch binary, parity array<long>, prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
+    out = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema), "sets")
+    shared.destroy()
+    return out
 
 
 def _compatible(n_a, n_b, left_a=None, left_b=None):
@@ -267,7 +286,7 @@ def _meetings(entries: DataFrame) -> DataFrame:
 
         for batch in batches:
             token, n, gid, left = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in zip(held, ("token", "n", "gid", "left"), strict=True))
-            keep = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]))[: len(token)]
+            keep = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]) | (n[1:] != n[:-1]) | (left[1:] != left[:-1]))[: len(token)]
             token, n, gid, left = token[keep], n[keep], gid[keep], left[keep]
             if hot is not None and len(token):
                 same = int(np.searchsorted(token != hot, True)) if token[0] == hot else 0
@@ -286,7 +305,7 @@ def _meetings(entries: DataFrame) -> DataFrame:
             held = [token[cut:], n[cut:], gid[cut:], left[cut:]]
         yield from told(*held)
 
-    ordered = entries.repartition("token").sortWithinPartitions("token", "n", "gid")
+    ordered = entries.repartition("token").sortWithinPartitions("token", "n", "gid", "left")
     return ordered.select("token", "n", "gid", "left").mapInArrow(run, "hot boolean, x long, y long, left long")
 
 
@@ -310,12 +329,12 @@ def _within_bound(pairs: DataFrame) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets (a, b) whose bucket counts allow the similarity, with their representatives."""
+    """Pairs of sets (a, b) whose bucket counts allow the similarity, with their ids and representatives."""
     for side in "ab":
-        s = sets.select(F.col("id1").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-        pairs = pairs.join(s.hint("merge"), side)
+        named = [F.col(c).alias(f"{c}_{side}") for c in ("rep", "id1", "id2", "n", "sketch")]
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), *named).hint("merge"), side)
     pairs = pairs.where(_compatible(F.col("n_a"), F.col("n_b")))
-    return saved(_within_bound(pairs).select("a", "b", "rep_a", "rep_b"), "bounded")
+    return saved(_within_bound(pairs).drop("n_a", "n_b"), "bounded")
 
 
 def _restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -328,14 +347,18 @@ def _restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b of the pairs whose shingle sets are similar enough, exactly."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     ids = pairs.select(F.col("rep_a").alias("id")).union(pairs.select("rep_b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in chunks(batch):
                 h, edge = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
                 own = [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([_ids(x)[0] for x in own], pa.int64()), pa.array(own, pa.binary())], ["id1", "shingles"])
+                names = [_ids(x) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(own, pa.binary())], ["id1", "id2", "shingles"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,11 +370,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     # Where rows repeat an id with other texts, more sets come along than were asked for.
-    shingles = saved(_restrict(docs, ids).select("text").mapInArrow(sets, "id1 long, shingles binary"), "shingles")
-    out = pairs.select("a", "b")
+    shingles = saved(_restrict(docs, ids).select("text").mapInArrow(sets, "id1 long, id2 long, shingles binary"), "shingles")
+    out = pairs.select("a", "b", "id1_a", "id2_a", "id1_b", "id2_b")
     for side in "ab":
-        s = shingles.select(F.col("id1").alias(side), F.col("shingles").alias(f"s_{side}"))
-        out = out.join(s.hint("merge"), side)
+        own = [f"id1_{side}", f"id2_{side}"]
+        s = shingles.select(F.col("id1").alias(own[0]), F.col("id2").alias(own[1]), F.col("shingles").alias(f"s_{side}"))
+        out = out.join(s.hint("merge"), own).drop(*own)
     links = saved(out.mapInArrow(similar, "a long, b long").distinct(), "links")
     release(shingles, pairs)
     return links
@@ -362,75 +386,150 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _crowded_links(docs: DataFrame, crowded: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those among sets that meet in crowds (crowd, id1, n, left, parity)."""
-    for seed in range(ROUNDS + 1):
-        label = components(links).withColumnRenamed("node", "id1")
-        named = crowded.join(label.hint("merge"), "id1", "left")
-        named = saved(named.select("crowd", "id1", "n", "left", "parity", F.coalesce("component", "id1").alias("part")), "named")
-        sizes = named.groupBy("crowd", "part").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("crowd").agg(F.max(F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
-        main = saved(main.where("parts > 1").select("crowd", F.col("top.part").alias("main")), "main")
-        if main.isEmpty():
+    """``links`` and those among sets that meet in crowds (crowd, sid, n, left, parity)."""
+    for seed in range(ROUNDS):
+        marked = _outside(crowded, links)
+        if marked is None:
+            return links
+        rest = marked.where("part <> main").select("crowd", *(F.col(c).alias(f"{o}_a") for c, o in (("sid", "id"), ("n", "n"), ("left", "left"), ("parity", "parity"))))
+        # A leader for each crowd, from its largest component: first a set of which most is left, so
+        # one with few shingles of its own, then any.
+        by = -F.col("left") if seed == 0 else F.xxhash64("sid", F.lit(seed))
+        lead = F.min(F.struct(by.alias("by"), "sid", "n", "left", "parity")).alias("lead")
+        other = marked.where("part = main").groupBy("crowd").agg(lead)
+        other = saved(other.select("crowd", F.col("lead.sid").alias("id_b"), F.col("lead.n").alias("n_b"), F.col("lead.left").alias("left_b"), F.col("lead.parity").alias("parity_b")), "leaders")
+        fine = _compatible(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b")) & _near_enough("parity_a", "parity_b", F.col("n_a"), F.col("n_b"))
+        met = rest.join(other.hint("merge"), "crowd").where(fine).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        links = _more_links(docs, met, sets, links)
+        release(marked, other)
+    first, low, high = _outside(crowded, links), 0, NEAREST
+    marked = None if first is None else first.withColumn("now", F.col("part"))
+    while marked is not None:
+        met = saved(_nearest(marked, low, high), "nearest")
+        links = _more_links(docs, met.where("b IS NOT NULL").select("a", "b"), sets, links)
+        further = not met.where("b IS NULL").isEmpty()
+        release(met)
+        if not further:
             break
-        marked = saved(named.join(main.hint("merge"), "crowd"), "marked")
-        rest = marked.where("part <> main").select("crowd", F.col("id1").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("parity").alias("parity_a"), F.col("part").alias("part_a"))
-        rest = saved(rest, "rest")
-        as_b = ["crowd", F.col("id1").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("parity").alias("parity_b")]
-        if seed < ROUNDS:
-            # A leader for each crowd, from its largest component: first a set of which most is left, so
-            # one with few shingles of its own, then any.
-            by = -F.col("left") if seed == 0 else F.xxhash64("id1", F.lit(seed))
-            lead = F.min(F.struct(by.alias("by"), F.col("id1"), F.col("n"), F.col("left"), F.col("parity"))).alias("lead")
-            other = marked.where("part = main").groupBy("crowd").agg(lead).select("crowd", "lead.id1", "lead.n", "lead.left", "lead.parity")
-            other, wanted = other.select(*as_b), F.lit(True)
-        else:
-            other = marked.select(*as_b, "part", "main")
-            wanted = (F.col("part_a") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("b")))
-        pairs = rest.join(saved(other, "other").hint("merge"), "crowd")
-        pairs = pairs.where(_compatible(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b")) & wanted & _near_enough("parity_a", "parity_b", F.col("n_a"), F.col("n_b")))
-        found = _verified(docs, _with_sets(saved(_ordered_pairs(pairs), "met"), sets))
-        older, links = links, saved(links.unionByName(found).distinct(), "links")
-        release(older, found, named, main, marked, rest)
+        low, high = high, high * NEAREST
+        label = components(links).select(F.col("node").alias("sid"), F.col("component").alias("now"))
+        marked = saved(first.join(label.hint("merge"), "sid", "left").withColumn("now", F.coalesce("now", "sid")), "marked")
     return links
 
 
+def _more_links(docs: DataFrame, met: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and those of the pairs that are similar enough."""
+    met = saved(_ordered_pairs(met), "met")
+    found = _verified(docs, _with_sets(met, sets))
+    out = saved(links.unionByName(found).distinct(), "links")
+    release(links, found, met)
+    return out
+
+
+def _outside(crowded: DataFrame, links: DataFrame) -> DataFrame | None:
+    """The rows of crowds of several components with their component (part) and the crowd's largest (main)."""
+    label = components(links).withColumnRenamed("node", "sid")
+    named = crowded.join(label.hint("merge"), "sid", "left")
+    named = saved(named.select("crowd", "sid", "n", "left", "parity", F.coalesce("component", "sid").alias("part")), "named")
+    sizes = named.groupBy("crowd", "part").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("crowd").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    main = saved(main.where("parts > 1").select("crowd", F.col("top.part").alias("main"), "size", (F.col("size") - F.col("top.size")).alias("rest")), "main")
+    out = None if main.isEmpty() else saved(named.join(main.hint("merge"), "crowd"), "marked")
+    release(named, main)
+    return out
+
+
+def _nearest(marked: DataFrame, low: int, high: int) -> DataFrame:
+    """a, b: others that sets outside the largest component of a crowd are compared with.
+
+    Those are ranked by how many parities differ, in each block of the crowd; the ranks from ``low`` to
+    before ``high`` are given, but for others that are in the same component by now.  A null b
+    tells that there are further ones.  The ranking doesn't change between calls.
+    """
+
+    def run(asking: pa.Table, asked: pa.Table) -> pa.Table:
+        found, told = [np.array([], dtype=np.int64)] * 2, []
+        if asking.num_rows and asked.num_rows:
+            column = lambda t, c: t.column(c).to_numpy()
+            matrix = lambda t: t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITY)
+            own = [column(asking, c).tolist() for c in ("sid", "n", "left", "part", "now")]
+            sid, n, left, part, now, main = (column(asked, c) for c in ("sid", "n", "left", "part", "now", "main"))
+            parity, central, a_of, b_of = matrix(asked), part == main, [], []
+            for bits, x, m, rest, p, here in zip(matrix(asking), *own, strict=True):
+                fine = (part != p) & (central | (sid > x)) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT)
+                at = np.flatnonzero(fine & (np.minimum(left, rest) * (100 + PERCENT) >= (n + m) * PERCENT))
+                apart = np.bitwise_count(parity[at] ^ bits).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + PERCENT) <= (n[at] + m) * (100 - PERCENT)
+                at, apart = at[near], apart[near]
+                if len(at) > low:
+                    at = at[np.lexsort((sid[at], apart))]
+                    other = at[low:high][now[at[low:high]] != here]
+                    a_of.append(np.full(len(other), x))
+                    b_of.append(sid[other])
+                    if (now[at[high:]] != here).any():
+                        told.append(x)
+            if a_of:
+                found = [np.concatenate(a_of), np.concatenate(b_of)]
+        a = np.concatenate([found[0], np.array(told, dtype=np.int64)])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([*found[1].tolist(), *[None] * len(told)], pa.int64())})
+
+    block = lambda seed, rows, size: F.pmod(F.xxhash64("sid", F.lit(seed)), F.ceil(F.col(rows) / size)).cast("int")
+    blocks = lambda rows, size: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(rows) / size) - 1).cast("int")))
+    columns = ("crowd", "sid", "n", "left", "parity", "part", "now", "main")
+    asking = marked.where("part <> main").select(*columns, block(1, "rest", ASKING).alias("i"), blocks("size", ASKED).alias("j"))
+    asked = marked.select(*columns, block(2, "size", ASKED).alias("j"), blocks("rest", ASKING).alias("i"))
+    key = ("crowd", "i", "j")
+    return asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "a long, b long")
+
+
 def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sets, links): a row for each document, each distinct set, and each link between sets.
 
     The links hold a forest of every component at least, and all links but for those between sets
     of one component that meet in crowds only.
     """
-    ship_package(docs.sparkSession)
-    rows = saved(_sets(docs, popular_shingles(docs)), "sets")
+    spark = docs.sparkSession
+    ship_package(spark)
+    popular = popular_shingles(docs)
+    rows = _sets(docs, popular)
     fine = rows.where("n > 0 AND doc_id IS NOT NULL")
     sets = fine.groupBy("id1", "id2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
-    sets = saved(sets, "distinct")
+    sets = saved(sets.withColumn("sid", F.monotonically_increasing_id()), "distinct")
     # Sets with equal prefixes and sizes are one group, named by a hash of both.
-    heads = rows.where("prefix IS NOT NULL").select("id1", "n", "prefix", F.xxhash64("prefix", "n").alias("gid"))
+    heads = rows.where("prefix IS NOT NULL").select("id1", "id2", "n", "prefix", F.xxhash64("prefix", "n").alias("gid"))
     entries = heads.select(F.posexplode("prefix").alias("pos", "token"), "n", "gid").select("token", "n", "gid", (F.col("n") - F.col("pos")).alias("left"))
+    hot = None
+    if popular is not None and len(popular.hottest):
+        hottest = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": popular.hottest})))  # FLAGS shingles at most
+        hot = entries.join(hottest, "token", "left_semi").select(F.col("token").alias("x"), F.col("gid").alias("y"), "left").distinct()
+        entries = entries.join(hottest, "token", "left_anti")
     met = saved(_meetings(entries), "met")
     pairs = met.where("NOT hot").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    members = saved(heads.select("gid", "id1", "n").distinct(), "members")
+    known = sets.select("id1", "id2", "sid").hint("merge")
+    members = saved(heads.select("gid", "id1", "id2", "n").distinct().join(known, ["id1", "id2"]).select("gid", "sid", "n"), "members")
     sizes = saved(members.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
     for side in "ab":
         pairs = pairs.join(sizes.select(F.col("gid").alias(side), F.col("size").alias(f"size_{side}")).hint("merge"), side)
     pairs = saved(pairs, "group_pairs")
     few, many = pairs.where(f"size_a * size_b <= {MEETING}"), pairs.where(f"size_a * size_b > {MEETING}")
     for side in "ab":
-        m = members.select(F.col("gid").alias(side), F.col("id1").alias("member"))
+        m = members.select(F.col("gid").alias(side), F.col("sid").alias("member"))
         few = few.join(m.hint("merge"), side).withColumn(side, F.col("member")).drop("member")
     links = _verified(docs, _with_sets(saved(_ordered_pairs(few), "pairs"), sets))
     # Crowds: what meets under a crowded shingle, within a group, or in two groups too large to pair out.
     crowd = F.xxhash64("a", "b").alias("crowd")
     whole = F.lit(None).cast("long").alias("left")
+    crowds = met.where("hot").select("x", "y", "left")
+    if hot is not None:
+        crowds = crowds.union(hot)
     groups = (
-        met.where("hot").select(F.col("x").alias("crowd"), F.col("y").alias("gid"), "left")
+        crowds.select(F.col("x").alias("crowd"), F.col("y").alias("gid"), "left")
         .union(sizes.where("size > 1").select(F.col("gid").alias("crowd"), "gid", whole))
         .union(many.select(crowd, F.col("a").alias("gid"), whole))
         .union(many.select(crowd, F.col("b").alias("gid"), whole))
     )
-    crowded = groups.join(members.hint("merge"), "gid").select("crowd", "id1", "n", F.coalesce("left", "n").alias("left"))
-    crowded = saved(crowded.distinct().join(sets.select("id1", "parity").hint("merge"), "id1"), "crowded")
+    crowded = groups.join(members.hint("merge"), "gid").select("crowd", "sid", "n", F.coalesce("left", "n").alias("left"))
+    crowded = saved(crowded.distinct().join(sets.select("sid", "parity").hint("merge"), "sid"), "crowded")
     if not crowded.isEmpty():
         links = _crowded_links(docs, crowded, sets, links)
     release(met, pairs, members, sizes, crowded)
@@ -440,8 +539,8 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles and component_id of every row."""
     rows, sets, links = links_of(docs)
-    label = components(links).withColumnRenamed("node", "id1")
-    named = saved(sets.select("id1", "id2", "rep").join(label.hint("merge"), "id1", "left"), "labelled")
+    label = components(links).withColumnRenamed("node", "sid")
+    named = saved(sets.select("sid", "id1", "id2", "rep").join(label.hint("merge"), "sid", "left"), "labelled")
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(saved(least, "least").hint("merge"), "component", "left")
     named = saved(named.select("id1", "id2", F.coalesce("least", "rep").alias("component_id")), "named")
@@ -465,7 +564,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = saved(kept, "kept")
     named = docs.withColumn(of, F.xxhash64("text"))
     same = (named["doc_id"].cast("long") == kept[kept_id]) & (named[of] == kept[kept_key])
-    first = Window.partitionBy("doc_id", of).orderBy(F.lit(0))
+    # Which of them is told by all their columns, so that a task that runs again keeps the same row.
+    first = Window.partitionBy("doc_id", of).orderBy(F.xxhash64(*docs.columns), F.hash(*docs.columns))
     out = named.join(kept.hint("merge"), same, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return out.unionByName(named.where("doc_id IS NULL")).drop(of)
 
