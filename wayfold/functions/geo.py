@@ -80,3 +80,41 @@ def box_distance(lat, lon, south, west, north, east) -> Column:
     """F32: metres from a point to the nearest point of a box."""
     lat, lon = _lit(lat), _lit(lon)
     return haversine(lat, lon, clamp(lat, south, north), clamp(lon, west, east))
+
+
+def from_web_mercator(x, y) -> tuple[Column, Column]:
+    """F34, back: latitude and longitude of EPSG:3857."""
+    r = 6378137.0
+    return F.degrees(2 * F.atan(F.exp(_lit(y) / r)) - math.pi / 2), F.degrees(_lit(x) / r)
+
+
+def from_utm(x, y, zone: int = 33) -> tuple[Column, Column]:
+    """F34, back: latitude and longitude of WGS 84 / UTM (north), by the Krueger series of third order."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    mean = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = _lit(y) / (k0 * mean), (_lit(x) - 500000.0) / (k0 * mean)
+    north, east = xi, eta
+    for j, c in enumerate(beta, 1):
+        north = north - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(north) / F.cosh(east))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.degrees(lat), F.lit(float(6 * zone - 183)) + F.degrees(F.atan2(F.sinh(east), F.cos(north)))
+
+
+#: Reference systems that coordinates may be in, and what makes them latitude and longitude.
+SYSTEMS = {32633: lambda x, y: from_utm(x, y, 33), 25833: lambda x, y: from_utm(x, y, 33), 32632: lambda x, y: from_utm(x, y, 32), 25832: lambda x, y: from_utm(x, y, 32), 3857: from_web_mercator}
+
+
+def tile_zoom(south, west, north, east, pixels: float, bias: int = 0) -> Column:
+    """the zoom of map tiles at which a box takes ``pixels``, of 1 to 19; null for a box of no size."""
+    (x0, y0), (x1, y1) = web_mercator(south, west), web_mercator(north, east)
+    span = F.greatest(x1 - x0, y1 - y0)
+    per_pixel = 156543.03392804097 * F.cos(F.radians((_lit(south) + _lit(north)) / 2))
+    zoom = F.floor(F.log2(per_pixel * float(pixels) / span)) + bias
+    return F.when((span > 0) & (per_pixel > 0), F.least(F.lit(19), F.greatest(F.lit(1), zoom.cast("int"))))

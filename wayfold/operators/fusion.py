@@ -34,7 +34,8 @@ def matched_passes(track: DataFrame, stations: DataFrame, hourly: DataFrame, key
     near = near.withColumn("station_hour", F.date_trunc("hour", ts).cast("timestamp_ntz")).join(hourly, ["station_id", "station_hour"], "left")
     own = [*keys, "station_id"]
     if gap_s is not None:
-        return S.gap_sessions(near, own, ts, order, gap_s, "pass_id")
+        rows = S.gap_sessions(near, own, ts, order, gap_s, "pass_id")
+        return rows.withColumn("pass_row_index", F.row_number().over(S.over([*own, "pass_id"], order)).cast("long"))
     return S.day_pass_ids(near.withColumn("day", F.to_date(ts)), own, "day", order).drop("day")
 
 
@@ -80,22 +81,6 @@ def interpolated(anchors: DataFrame, keys: Names, t: str, chainage: str, speed:
     return rows.select(*keys, "grid_t", (F.col(chainage) + F.signum(run) * moved).alias("chainage_m"))
 
 
-def clipped_spans(intervals: DataFrame, spans: DataFrame, keys: Names, start: str, end: str) -> DataFrame:
-    """parts of relative spans (start_rel, end_rel) that lie in an interval of a route, in order."""
-    met = intervals.join(spans, list(keys))
-    a, b = F.greatest(F.col(start), F.col("start_rel")), F.least(F.col(end), F.col("end_rel"))
-    return met.withColumn("from_rel", a).withColumn("to_rel", b).where("to_rel > from_rel")
-
-
-def scheduled(spans: DataFrame, keys: Names, order: str, length_m: Column, mode_speed: Column, duration_s: Column) -> DataFrame:
-    """Seconds that each span takes, scaled so that all take the duration, and when it starts."""
-    rows = spans.withColumn("__need", length_m / mode_speed)
-    total = F.sum("__need").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("takes_s", F.when(total > 0, F.col("__need") * duration_s / total).otherwise(0.0))
-    before = S.over(keys, [order]).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("starts_s", F.coalesce(F.sum("takes_s").over(before), F.lit(0.0))).drop("__need")
-
-
 def oriented(lines: DataFrame, wanted: DataFrame, keys: Names, margin: float = 1e-6) -> DataFrame:
     """Whether a line (lat1, lon1, lat2, lon2) runs forward from a start to an end, and how far off it is."""
     met = wanted.join(lines, list(keys))

@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.sources.shared import release, saved
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_steps: int = 50) -> DataFrame:
-    """(source, node, distance) over undirected edges (src, dst, weight_m).
 
-    A round extends the paths that the last one improved by an edge and keeps the best of each
-    pair; it ends when none improves.  Lineage is cut each round by checkpoint().
-    """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, distance) over undirected edges (src, dst, weight_m) of weights that aren't negative.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
-    both = edges.select("src", "dst", "weight_m").union(edges.select("dst", "src", "weight_m")).groupBy("src", "dst").agg(F.min("weight_m").alias("weight_m")).checkpoint()
-    best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")).checkpoint()
-    front = best
-    for _ in range(most_steps):
-        reached = front.join(both, front["node"] == both["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight_m")).alias("distance"))
-        reached = reached.groupBy("source", "node").agg(F.min("distance").alias("found"))
-        better = reached.join(best, ["source", "node"], "left").where(F.col("distance").isNull() | (F.col("found") < F.col("distance")))
-        front = better.select("source", "node", F.col("found").alias("distance")).checkpoint()
-        if front.isEmpty():
-            break
-        best = best.union(front).groupBy("source", "node").agg(F.min("distance").alias("distance")).checkpoint()
-    return best
+    A round extends the paths that the last one improved by an edge and keeps the best of each pair; it
+    ends when none improves, after as many rounds as the longest of the shortest paths has edges.  Each
+    round's table is written to the shared folder, so lineage stays short.
+    """
+    both = edges.select("src", "dst", "weight_m").union(edges.select("dst", "src", "weight_m")).where("weight_m >= 0")
+    both = saved(both.groupBy("src", "dst").agg(F.min("weight_m").alias("weight_m")), "edges")
+    state = saved(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct(), "paths")
+    while not state.where("fresh").isEmpty():
+        front = state.where("fresh").join(both, F.col("node") == F.col("src"))
+        reached = front.select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight_m")).alias("distance"), F.lit(None).cast("double").alias("old"))
+        known = state.select("source", "node", "distance", F.col("distance").alias("old"))
+        best = known.union(reached).groupBy("source", "node").agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
+        older, state = state, saved(best.select("source", "node", "distance", (F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("fresh")), "paths")
+        release(older)
+    release(both)
+    return state.drop("fresh")

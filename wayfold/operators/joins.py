@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.geo import DEGREE_M, haversine, project_on_segment
+from wayfold.functions.geo import DEGREE_M, EARTH_RADIUS_M, haversine, project_on_segment
 from wayfold.operators.sequences import best_row, micros
 
 Names = Sequence[str]
@@ -53,18 +53,28 @@ def _buckets(first: Column, last: Column, width: int) -> Column:
     return F.explode(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>")))
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Names, ts: str, start: str, end: str, bucket_s: int = 86_400) -> DataFrame:
-    """Every pair of a point and an interval of its key that holds it, ends included."""
-    width = bucket_s * 1_000_000
+def fitting_width(intervals: DataFrame, start: str, end: str, least_s: int = 60) -> int:
+    """Microseconds of a bucket that nine of ten intervals fit into, so that an interval touches two or three."""
+    length = micros(F.col(end)) - micros(F.col(start))
+    found = intervals.where(length >= 0).agg(F.percentile_approx(length, 0.9, 100)).first()[0]
+    return max(least_s * 1_000_000, int(found or 0))
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Names, ts: str, start: str, end: str, bucket_s: int | None = None) -> DataFrame:
+    """Every pair of a point and an interval of its key that holds it, ends included.
+
+    They meet in buckets of time, by default as wide as most intervals are long.
+    """
+    width = bucket_s * 1_000_000 if bucket_s else fitting_width(intervals, start, end)
     p = points.withColumn("__bucket", F.floor(micros(F.col(ts)) / width).cast("long"))
     i = intervals.withColumn("__bucket", _buckets(micros(F.col(start)), micros(F.col(end)), width))
     return p.join(i, [*keys, "__bucket"]).where(F.col(ts).between(F.col(start), F.col(end))).drop("__bucket")
 
 
-def overlaps(a: DataFrame, b: DataFrame, keys: Names, a_ends: tuple[str, str], b_ends: tuple[str, str], bucket_s: int = 86_400) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, keys: Names, a_ends: tuple[str, str], b_ends: tuple[str, str], bucket_s: int | None = None) -> DataFrame:
     """Pairs of intervals of one key that touch, each once, with overlap_s."""
-    width = bucket_s * 1_000_000
     (a0, a1), (b0, b1) = a_ends, b_ends
+    width = bucket_s * 1_000_000 if bucket_s else max(fitting_width(a, a0, a1), fitting_width(b, b0, b1))
     left = a.withColumn("__bucket", _buckets(micros(F.col(a0)), micros(F.col(a1)), width))
     right = b.withColumn("__bucket", _buckets(micros(F.col(b0)), micros(F.col(b1)), width))
     met = left.join(right, [*keys, "__bucket"]).where((F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1)))
@@ -73,14 +83,14 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Names, a_ends: tuple[str, str], b
     return met.withColumn("overlap_s", (micros(F.least(a1, b1)) - micros(F.greatest(a0, b0))) / 1e6)
 
 
-def best_overlap(segments: DataFrame, spans: DataFrame, keys: Names, segment_id: str, ends: tuple[str, str], span_ends: tuple[str, str], span_id: str, bucket_s: int = 86_400) -> DataFrame:
+def best_overlap(segments: DataFrame, spans: DataFrame, keys: Names, segment_id: str, ends: tuple[str, str], span_ends: tuple[str, str], span_id: str, bucket_s: int | None = None) -> DataFrame:
     """The span that overlaps a segment longest (over 0 s); ties: the shorter, then the earlier."""
     met = overlaps(segments, spans, keys, ends, span_ends, bucket_s).where("overlap_s > 0")
     length = micros(F.col(span_ends[1])) - micros(F.col(span_ends[0]))
     return best_row(met, [*keys, segment_id], [F.col("overlap_s").desc(), length, span_ends[0], span_ends[1], span_id])
 
 
-def wrappers(df: DataFrame, keys: Names, row_id: str, start: str, end: str, least: int = 2, bucket_s: int = 86_400) -> DataFrame:
+def wrappers(df: DataFrame, keys: Names, row_id: str, start: str, end: str, least: int = 2, bucket_s: int | None = None) -> DataFrame:
     """Ids of intervals that strictly hold ``least`` others or more, with their number."""
     outer = df.select(*keys, F.col(row_id).alias("__outer"), F.col(start).alias("__s"), F.col(end).alias("__e"))
     inner = df.select(*keys, F.col(row_id).alias("__inner"), F.col(start).alias("__s2"), F.col(end).alias("__e2"))
@@ -91,21 +101,30 @@ def wrappers(df: DataFrame, keys: Names, row_id: str, start: str, end: str, leas
 
 
 def radius_join(points: DataFrame, stations: DataFrame, lat: str, lon: str, s_lat: str, s_lon: str, radius_m: str, most_m: float) -> DataFrame:
-    """Every pair of a point and a station within the station's radius (``most_m`` at most), with distance_m.
+    """Every pair of a point and a station within the station's radius, with distance_m.
 
-    Points and stations meet in cells whose sides are at least ``most_m``: a station goes to its
-    own cell and its neighbours, so the join is an equi-join whatever the number of stations.
-    Longitude cells follow the widest need at the station's latitude.
+    Points and stations meet in cells: a station goes to all cells that the box around its circle touches, so the join
+    is an equi-join whatever the number of stations.  Cells are ``most_m`` high; a larger radius takes more of them and
+    loses nothing.  Within a band of latitudes all cells are equally wide, and a whole number of them goes around, so that
+    those on both sides of the antimeridian are neighbours; a band that a circle around a pole reaches is taken whole.
     """
     size = most_m / DEGREE_M
     band = lambda c: F.floor(F.col(c) / size).cast("long")
-    # Within a band of latitudes, a degree of longitude is shortest at the band's end nearer a pole.
-    shrink = lambda b: F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(b * size), F.abs((b + 1) * size))))))
+    # A degree of longitude is shortest at the band's end nearer a pole.
+    shrink = lambda b: F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(b * size), F.abs((b + 1) * size)))))
+    around = lambda b: F.greatest(F.lit(1), F.floor(360 * shrink(b) / size)).cast("long")
+    turned = lambda c: F.pmod(c + 180.0, F.lit(360.0))
     p = points.withColumn("__row", band(lat))
-    p = p.withColumn("__cell", F.floor(F.col(lon) / (F.lit(size) / shrink(F.col("__row")))).cast("long"))
-    s = stations.withColumn("__row", F.explode(F.sequence(band(s_lat) - 1, band(s_lat) + 1)))
-    own = F.floor(F.col(s_lon) / (F.lit(size) / shrink(F.col("__row")))).cast("long")
-    s = s.withColumn("__cell", F.explode(F.sequence(own - 1, own + 1)))
+    p = p.withColumn("__cell", F.least(F.floor(turned(F.col(lon)) / 360 * around(F.col("__row"))).cast("long"), around(F.col("__row")) - 1))
+    # The angle that the radius takes, a little more; and how far east or west the circle goes.
+    angle = F.col(radius_m) / EARTH_RADIUS_M * 1.000001 + 1e-9
+    up = F.degrees(angle)
+    wide = F.when(F.abs(F.col(s_lat)) + up >= 89.9, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(angle, F.lit(1.5))) / F.cos(F.radians(s_lat))))))
+    rows = F.sequence(F.floor(F.greatest(F.lit(-90.0), F.col(s_lat) - up) / size).cast("long"), F.floor(F.least(F.lit(90.0), F.col(s_lat) + up) / size).cast("long"))
+    s = stations.where(F.col(radius_m) >= 0).withColumn("__wide", wide).withColumn("__row", F.explode(rows)).withColumn("__n", around(F.col("__row")))
+    edge = lambda d: F.floor((F.col(s_lon) + 180.0 + d * F.col("__wide")) / 360 * F.col("__n")).cast("long")
+    first, last = edge(-1), F.least(edge(1), edge(-1) + F.col("__n") - 1)
+    s = s.withColumn("__cell", F.explode(F.sequence(first, last))).withColumn("__cell", F.pmod("__cell", "__n")).drop("__wide", "__n")
     met = p.join(s, ["__row", "__cell"]).drop("__row", "__cell")
     met = met.withColumn("distance_m", haversine(F.col(lat), F.col(lon), F.col(s_lat), F.col(s_lon)))
     return met.where(F.col("distance_m") <= F.col(radius_m))
@@ -133,11 +152,16 @@ def project_on_lines(points: DataFrame, line_edges: DataFrame, keys: Names, poin
 
     The first edge wins ties.
     """
-    met = points.join(line_edges, list(keys))
-    at = project_on_segment(F.col(x), F.col(y), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    met = met.withColumn("distance_m", at["distance"]).withColumn("chainage_m", F.col("cum_m") + at["offset"])
-    best = F.min(F.struct("distance_m", "edge", "chainage_m")).alias("best")
-    return met.groupBy(*keys, point_id).agg(best).select(*keys, point_id, "best.distance_m", "best.chainage_m", "best.edge")
+    whole = F.array_sort(F.collect_list(F.struct("edge", "cum_m", "ax", "ay", "bx", "by")))
+    lines = line_edges.groupBy(*keys).agg(whole.alias("__edges"))
+
+    def on(e: Column) -> Column:
+        at = project_on_segment(F.col(x), F.col(y), e["ax"], e["ay"], e["bx"], e["by"])
+        return F.struct(at["distance"].alias("distance_m"), e["edge"].alias("edge"), (e["cum_m"] + at["offset"]).alias("chainage_m"))
+
+    # A line is a value, so a point meets it once, and only the nearest edge leaves the expression.
+    met = points.join(lines, list(keys)).withColumn("__best", F.array_min(F.transform("__edges", on)))
+    return met.select(*keys, point_id, "__best.distance_m", "__best.chainage_m", "__best.edge")
 
 
 def at_chainage(line_edges: DataFrame, wanted: DataFrame, keys: Names, chainage: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import haversine
+from wayfold.sources.shared import saved
 
 Names = Sequence[str]
 
@@ -174,12 +175,14 @@ def greedy_thin(df: DataFrame, keys: Names, t: str, fields: Names, far: callable
     under which sequences have a size that one task holds.
     """
     row = F.struct(F.col(t).alias("t"), *[F.col(f) for f in fields])
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.array().cast(f"array<{df.select(row.alias('r')).schema['r'].dataType.simpleString()}>"),
-        lambda acc, r: F.when((F.size(acc) == 0) | (r["t"] - F.element_at(acc, -1)["t"] >= seconds) | far(F.element_at(acc, -1), r), F.concat(acc, F.array(r))).otherwise(acc),
-    )
-    return df.groupBy(*keys).agg(kept.alias("__kept")).select(*keys, F.explode("__kept").alias("__r")).select(*keys, "__r.*")
+    kind = df.select(row.alias("r")).schema["r"].dataType.simpleString()
+    # The places of kept rows; a place is cheap to append, and the last kept row is looked up by it.
+    rows = F.array_sort(F.collect_list(row))
+    last = lambda acc, all_: F.get(all_, F.element_at(acc, -1))
+    whole = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__rows", F.col("__rows").cast(f"array<{kind}>"))
+    new = lambda acc, i: (F.size(acc) == 0) | (F.get("__rows", i)["t"] - last(acc, F.col("__rows"))["t"] >= seconds) | far(last(acc, F.col("__rows")), F.get("__rows", i))
+    kept = F.aggregate(F.sequence(F.lit(0), F.size("__rows") - 1), F.array().cast("array<int>"), lambda acc, i: F.when(new(acc, i), F.concat(acc, F.array(i))).otherwise(acc))
+    return whole.withColumn("__kept", kept).select(*keys, F.explode(F.transform("__kept", lambda i: F.get("__rows", i))).alias("__r")).select(*keys, "__r.*")
 
 
 def drop_detection(df: DataFrame, keys: Names, order: Names, value: str, least_drop: float, threshold: float) -> DataFrame:
@@ -215,30 +218,42 @@ def compact_axis(df: DataFrame, day: str, ts: str) -> DataFrame:
     return df.join(ranks, day).withColumn("axis", F.col("__rank") - 0.45 + 0.9 * of_day).drop("__rank")
 
 
-def table_rank(df: DataFrame, order: Names, name: str, buckets: int = 256) -> DataFrame:
-    """The row's number (from 1) in the whole table, without taking it through one task.
+def table_rank(df: DataFrame, order: Names, name: str) -> DataFrame:
+    """The row's number (from 1) in the whole table (and __n, the table's rows), without taking it through one task.
 
-    The first column of the order, a number, is cut into buckets at its approximate quantiles; rows
-    are numbered within their bucket and the counts of the buckets before are added.
+    Rows are dealt out by ranges of all columns of the order, which must be total, sorted within a range, and written to
+    the shared folder; a row's number is its place there and the rows of the ranges before.
     """
-    cuts = sorted(set(df.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 0.001)))
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(order[0]))), F.lit(-1))
-    rows = df.withColumn("__bucket", bucket)
-    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__count"))  # a row for each bucket
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"), F.sum("__count").over(Window.partitionBy()).alias("__n"))
-    rows = rows.join(F.broadcast(offsets), "__bucket")
-    return rows.withColumn(name, F.row_number().over(over(["__bucket"], order)) + F.col("__before")).drop("__bucket", "__before")
+    place = F.monotonically_increasing_id()  # the range, and the place in it
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = saved(dealt.withColumn("__range", F.shiftright(place, 33)).withColumn("__at", place.bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__count"))  # a row for each range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__range", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"), F.sum("__count").over(Window.partitionBy()).alias("__n"))
+    rows = rows.join(F.broadcast(offsets), "__range")  # as many rows as partitions
+    return rows.withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
 
 
 def systematic_sample(df: DataFrame, order: Names, most: int, keys: Names = ()) -> DataFrame:
-    """At most ``most`` rows of each sequence, evenly spaced, first and last among them."""
+    """At most ``most`` rows of each sequence, evenly spaced, first and last among them.
+
+    Without keys the whole table is one sequence: only the columns of its order are ranked, and the rows taken are
+    found by them (at most ``most``, which are broadcast).
+    """
     if keys:
         rows = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("__i", F.row_number().over(over(keys, order)))
     else:
-        rows = table_rank(df, order, "__i")
+        rows = table_rank(df.select(*order), order, "__i")
     # Row i is taken if it is the rounded place of some step k: 1 + k * (n - 1) / (m - 1).
     gap = (F.col("__n") - 1) / F.lit(float(most - 1))
     k = F.floor((F.col("__i") - 1) / gap)
     hit = (F.rint(1 + k * gap) == F.col("__i")) | (F.rint(1 + (k + 1) * gap) == F.col("__i"))
-    return rows.where((F.col("__n") <= most) | hit).drop("__n", "__i")
+    taken = rows.where((F.col("__n") <= most) | hit).drop("__n", "__i")
+    if keys:
+        return taken
+    # Where rows tie in the order, as many are taken as hit ranks, the first by all their columns.
+    named = taken.groupBy(*[F.col(c).alias(f"__{c}") for c in order]).agg(F.count(F.lit(1)).alias("__wanted"))
+    same = [df[c].eqNullSafe(named[f"__{c}"]) for c in order]
+    met = df.join(F.broadcast(named), same)  # at most ``most`` rows
+    tie = Window.partitionBy(*order).orderBy(F.xxhash64(*df.columns), F.hash(*df.columns))
+    return met.withColumn("__nth", F.row_number().over(tie)).where("__nth <= __wanted").select(*df.columns)

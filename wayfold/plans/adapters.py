@@ -37,7 +37,7 @@ PL = SIG + ", pl AS (SELECT log_id, pos, 52.4 + 0.001 * v * pos AS lat, 13.3 + 0
 
 
 def plane(spark, d) -> DataFrame:
-    """Polylines of thirty logs in metres: log_id, pos, x, y, v."""
+    """Signals as polylines in metres: log_id, pos, x, y, v."""
     return sig(spark, d).select("log_id", "pos", (100.0 * F.col("pos")).alias("x"), (250.0 * F.col("v")).alias("y"), "v")
 
 

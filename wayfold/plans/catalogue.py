@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.plans import fused, matching, texts, tracks
+from wayfold.plans import fused, matching, networks, routes, scans, texts, tracks
 
-QUERIES = {**tracks.QUERIES, **matching.QUERIES, **texts.QUERIES, **fused.QUERIES}
-ORACLES = {**tracks.ORACLES, **matching.ORACLES, **texts.ORACLES, **fused.ORACLES}
+PARTS = (tracks, matching, texts, fused, routes, networks, scans)
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in PARTS for k, v in p.ORACLES.items()}

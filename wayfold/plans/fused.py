@@ -30,7 +30,7 @@ def query(sql: str | None):
  k AS (SELECT sig.* FROM sig JOIN c USING (log_id) WHERE pos >= s AND (e <= s OR pos < e)), m AS (SELECT *, min(pos) OVER (PARTITION BY log_id) AS f FROM k)
  SELECT log_id, pos, round(v, 6) AS v FROM m WHERE (pos - f) * 5 <= 200""")
 def crop_pipeline(spark, d):
-    """C11, S2, P1, P13, W2 to W5."""
+    """C11, P1, P13, W2 to W5."""
     s = sig(spark, d).withColumn("ts", F.timestamp_seconds(F.col("pos") * 5))
     return X.cropped_logs(s, ["log_id"], "pos", "ts", "v", 30, 3, 200.0, zone=0.5).select("log_id", "pos", F.round("v", 6).alias("v"))
 
@@ -76,31 +76,17 @@ def _anchors(spark, d):
  m AS (SELECT *, least(t2 - t, abs(c2 - c) / 5.5::DOUBLE * 1.2::DOUBLE) AS moving FROM g), f AS (SELECT *, CASE WHEN moving <= 0 THEN CASE WHEN grid_t - t >= t2 - t THEN 1.0 ELSE 0.0 END ELSE (grid_t - t - (t2 - t - moving) / 2) / moving END AS share FROM m)
  SELECT log_id, grid_t, round(c + sign(c2 - c) * abs(c2 - c) * greatest(0, least(1, share)), 4) AS chainage_m FROM f""")
 def interpolated_track(spark, d):
-    """Chainage each hour between anchors, in minutes."""
+    """Chainage each hour between anchors, in minutes, without stops."""
     out = X.interpolated(_anchors(spark, d), ["log_id"], "t", "c", F.lit(5.5), 60)
     return out.select("log_id", "grid_t", F.round("chainage_m", 4).alias("chainage_m"))
 
 
-@query("""WITH sp(m, seq, mode, a, b) AS (VALUES (0, 1, 'walk', 0.0, 0.2), (0, 2, 'bus', 0.2, 0.7), (0, 3, 'walk', 0.7, 1.0), (1, 1, 'bike', 0.0, 1.0)), o AS (SELECT o_orderkey, o_orderkey % 2 AS m, (o_orderkey % 10) / 20.0 AS s, 0.5 + (o_orderkey % 7) / 14.0 AS e FROM orders),
- c AS (SELECT o_orderkey, seq, mode, greatest(s, a) AS f, least(e, b) AS t FROM o JOIN sp USING (m) WHERE least(e, b) > greatest(s, a)), n AS (SELECT *, (t - f) * 1000 / CASE mode WHEN 'walk' THEN 1.4 WHEN 'bus' THEN 7.5 ELSE 5.5 END AS need FROM c),
- k AS (SELECT *, need * 600 / sum(need) OVER (PARTITION BY o_orderkey) AS takes FROM n) SELECT o_orderkey, CAST(seq AS BIGINT) AS seq, mode, round(CAST(takes AS DOUBLE), 4) AS takes_s, round(CAST(coalesce(sum(takes) OVER (PARTITION BY o_orderkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE), 4) AS starts_s FROM k""".replace("/ 20.0 AS s", "/ 20.0::DOUBLE AS s").replace("/ 14.0 AS e", "/ 14.0::DOUBLE AS e").replace("0.5 + (", "0.5::DOUBLE + ("))
-def mode_schedule(spark, d):
-    """F8 to F10, S15."""
-    profile = [(0, 1, "walk", 0.0, 0.2, 1.4), (0, 2, "bus", 0.2, 0.7, 7.5), (0, 3, "walk", 0.7, 1.0, 1.4), (1, 1, "bike", 0.0, 1.0, 5.5)]
-    spans = spark.createDataFrame(profile, "m long, seq long, mode string, start_rel double, end_rel double, speed double")
-    k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select("o_orderkey", (k % 2).alias("m"), ((k % 10) / 20.0).alias("s"), (0.5 + (k % 7) / 14.0).alias("e"))
-    c = X.clipped_spans(o, spans, ["m"], "s", "e")
-    out = X.scheduled(c, ["o_orderkey"], "seq", (F.col("to_rel") - F.col("from_rel")) * 1000, F.col("speed"), F.lit(600.0))
-    return out.select("o_orderkey", "seq", "mode", F.round("takes_s", 4).alias("takes_s"), F.round("starts_s", 4).alias("starts_s"))
-
-
 @query(f"""WITH RECURSIVE {TRK}, o AS (SELECT log_id, CAST(k AS DOUBLE) AS x, row_number() OVER (PARTITION BY log_id ORDER BY k) AS i FROM trk),
  r AS (SELECT log_id, i, CAST(0 AS BIGINT) AS cluster, x AS total, CAST(1 AS BIGINT) AS n FROM o WHERE i = 1 UNION ALL
  SELECT o.log_id, o.i, CASE WHEN abs(o.x - r.total / r.n) <= 3 THEN r.cluster ELSE r.cluster + 1 END, CASE WHEN abs(o.x - r.total / r.n) <= 3 THEN r.total + o.x ELSE o.x END, CASE WHEN abs(o.x - r.total / r.n) <= 3 THEN r.n + 1 ELSE 1 END FROM r JOIN o ON o.log_id = r.log_id AND o.i = r.i + 1)
  SELECT log_id, cluster, round(max(total) / max(n), 6) AS center, max(n) AS n FROM r GROUP BY ALL HAVING max(n) >= 2""")
 def greedy_clusters(spark, d):
-    """W32, C10."""
+    """W32."""
     return X.greedy_clusters(trk(spark, d), ["log_id"], "k", 3.0).select("log_id", "cluster", F.round("center", 6).alias("center"), "n")
 
 
@@ -116,14 +102,15 @@ def offset_path(spark, d):
 def palette(spark, d):
     """F38, A8."""
     t = trk(spark, d)
-    r = t.groupBy("mode").agg(F.min("v").alias("lo"), F.percentile("v", F.lit(0.9)).alias("hi"))
-    return t.join(r, "mode").select("fix_id", X.palette_index(F.col("v"), F.col("lo"), F.col("hi")).alias("color"))
+    low = t.groupBy("mode").agg(F.min("v").alias("lo"))
+    r = A.quantiles(t, ["mode"], "v", [0.9]).select("mode", F.get("q", F.lit(0)).alias("hi")).join(low, "mode")
+    return t.join(F.broadcast(r), "mode").select("fix_id", X.palette_index(F.col("v"), F.col("lo"), F.col("hi")).alias("color"))
 
 
 @query(f"""WITH {TRK}, a AS (SELECT log_id, count(CASE WHEN k % 2 = 0 THEN 1 END) AS rows_parsed, count(CASE WHEN k % 2 = 0 AND extract(day FROM ts) <= 15 THEN 1 END) AS rows_in_window, count(CASE WHEN k % 2 = 0 AND extract(day FROM ts) <= 15 AND v <= 50 THEN 1 END) AS rows_accepted FROM trk GROUP BY log_id)
  SELECT *, CASE WHEN rows_parsed = 0 THEN 'empty' WHEN rows_in_window = 0 THEN 'outside_window' WHEN rows_accepted < 8 THEN 'too_few_fixes' ELSE 'loaded' END AS status FROM a""")
 def file_status(spark, d):
-    """C6, C7, P7 to P9."""
+    """The status of each log."""
     t = trk(spark, d).withColumn("c", F.col("k") % 2 == 0).withColumn("w", F.dayofmonth("ts") <= 15).withColumn("a", F.col("v") <= 50)
     return X.file_status(t, ["log_id"], "c", "w", "a", 8)
 
@@ -132,7 +119,7 @@ def file_status(spark, d):
  w AS (SELECT *, CASE WHEN log_id % 2 = 0 THEN lat1 ELSE lat2 END + 0.001 AS s_lat, CASE WHEN log_id % 2 = 0 THEN lon1 ELSE lon2 END AS s_lon, CASE WHEN log_id % 2 = 0 THEN lat2 ELSE lat1 END AS e_lat, CASE WHEN log_id % 2 = 0 THEN lon2 ELSE lon1 END AS e_lon FROM ends),
  h AS (SELECT log_id, {hav('s_lat', 's_lon', 'lat1', 'lon1')} + {hav('e_lat', 'e_lon', 'lat2', 'lon2')} AS al, {hav('s_lat', 's_lon', 'lat2', 'lon2')} + {hav('e_lat', 'e_lon', 'lat1', 'lon1')} AS ag FROM w) SELECT log_id, ag + 1e-6 < al AS reversed, round(least(al, ag), 3) AS score FROM h""")
 def oriented_lines(spark, d):
-    """J17, J18, F42."""
+    """J17."""
     e = _edges(spark, d).groupBy("log_id").agg((52.4 + F.min("ay") / 111320.0).alias("lat1"), (13.3 + F.min("ax") / 68000.0).alias("lon1"), (52.4 + F.max("by") / 111320.0).alias("lat2"), (13.3 + F.max("bx") / 68000.0).alias("lon2"))
     even = F.col("log_id") % 2 == 0
     pick = lambda a, b: F.when(even, F.col(a)).otherwise(F.col(b))
@@ -147,7 +134,7 @@ HEAT = f"""{PLANE}, sm AS (SELECT log_id, pos, x, y, quantile_cont(v, 0.5) OVER
  c AS (SELECT log_id, value, CASE WHEN x < xend OR (x = xend AND y <= yend) THEN x ELSE xend END AS x, CASE WHEN x < xend OR (x = xend AND y <= yend) THEN y ELSE yend END AS y, CASE WHEN x < xend OR (x = xend AND y <= yend) THEN xend ELSE x END AS xend, CASE WHEN x < xend OR (x = xend AND y <= yend) THEN yend ELSE y END AS yend FROM r WHERE x <> xend OR y <> yend)
  SELECT x + 0.0 AS x, y + 0.0 AS y, xend + 0.0 AS xend, yend + 0.0 AS yend, count(*) AS n_obs, count(DISTINCT log_id) AS n_routes, round(avg(value), 6) AS value_mean FROM c GROUP BY 1, 2, 3, 4""")
 def heatmap_pipeline(spark, d):
-    """C13, W13, W16, A5."""
+    """Smoothing, segments and edges; W13, W16, A5."""
     p = S.rolling_median(plane(spark, d), ["log_id"], "pos", "v", name="sv")
     out = A.merged_edges(S.pairs(p, ["log_id"], "pos", "x", "y", "sv"), "log_id", 180.0)
     return out.select(*[(F.col(c) + 0.0).alias(c) for c in ("x", "y", "xend", "yend")], "n_obs", "n_routes", F.round("value_mean", 6).alias("value_mean"))
@@ -156,6 +143,6 @@ def heatmap_pipeline(spark, d):
 @query(f"""WITH {TRK}, q AS (SELECT log_id, fix_id, 52.3 + (k * 13 % 100) / 250.0::DOUBLE AS lat, 13.1 + (k * 37 % 100) / 150.0::DOUBLE AS lon FROM trk), b AS (SELECT *, CASE WHEN lat < 52.4 THEN 52.4 WHEN lat > 52.6 THEN 52.6 ELSE lat END AS cl, CASE WHEN lon < 13.2 THEN 13.2 WHEN lon > 13.5 THEN 13.5 ELSE lon END AS co FROM q)
  SELECT log_id, fix_id, round({hav('lat', 'lon', 'cl', 'co')}, 4) AS box_m FROM b""")
 def box_prefilter(spark, d):
-    """F32, J20."""
+    """F32."""
     t = trk(spark, d).withColumn("lat", 52.3 + (F.col("k") * 13 % 100) / 250.0).withColumn("lon", 13.1 + (F.col("k") * 37 % 100) / 150.0)
     return t.select("log_id", "fix_id", F.round(geo.box_distance(F.col("lat"), F.col("lon"), F.lit(52.4), F.lit(13.2), F.lit(52.6), F.lit(13.5)), 4).alias("box_m"))

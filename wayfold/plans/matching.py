@@ -131,7 +131,7 @@ def _projected(spark, d):
 
 @query(f"WITH {PROJECTED} SELECT log_id, fix_id, round(dist, 4) AS distance_m, round(chain, 4) AS chainage_m FROM pr")
 def project_polyline(spark, d):
-    """J15, J16, F3, F35."""
+    """J15, F3, F35."""
     return _projected(spark, d).select("log_id", "fix_id", F.round("distance_m", 4).alias("distance_m"), F.round("chainage_m", 4).alias("chainage_m"))
 
 
@@ -139,7 +139,7 @@ def project_polyline(spark, d):
  p AS (SELECT g.log_id, i, row_number() OVER (PARTITION BY g.log_id, i ORDER BY edge DESC) AS rn, ax + CASE WHEN edge_m > 0 THEN least(1, (dd - cum_m) / edge_m) ELSE 0 END * (bx - ax) AS x, ay + CASE WHEN edge_m > 0 THEN least(1, (dd - cum_m) / edge_m) ELSE 0 END * (by_ - ay) AS y FROM g JOIN ed ON ed.log_id = g.log_id AND ed.cum_m <= g.dd)
  SELECT log_id, i, round(x, 2) AS x, round(y, 2) AS y FROM p WHERE rn = 1""")
 def interp_grid(spark, d):
-    """Twenty-one places evenly along each line."""
+    """twenty-one places evenly along each line."""
     e = _edges(spark, d)
     total = e.groupBy("log_id").agg(F.max(F.col("cum_m") + F.col("edge_m")).alias("total"))
     g = total.select("log_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("i"), "total").withColumn("dd", F.col("total") * F.col("i") / 20.0)
@@ -176,7 +176,9 @@ def route_bins(spark, d):
 @query(f"WITH {BINS} SELECT round(avg(mean), 6) AS mean_of_means, round(quantile_cont(mean, 0.5), 6) AS median_of_means, count(DISTINCT log_id) AS n_routes FROM bins")
 def bin_global_avg(spark, d):
     """A6, A7."""
-    return _bins(spark, d).agg(F.round(F.avg("v_mean"), 6).alias("mean_of_means"), F.round(F.percentile("v_mean", F.lit(0.5)), 6).alias("median_of_means"), F.countDistinct("log_id").alias("n_routes"))
+    b = _bins(spark, d).select("log_id", "v_mean")
+    q = A.quantiles(b, [], "v_mean", [0.5]).select(F.round(F.get("q", F.lit(0)), 6).alias("median_of_means"))
+    return b.agg(F.round(F.avg("v_mean"), 6).alias("mean_of_means"), F.countDistinct("log_id").alias("n_routes")).join(F.broadcast(q))  # one row each
 
 
 @query(f"""WITH {SEGS}, r AS (SELECT log_id, value, round_even(x / 18.0, 0) * 18.0 AS x, round_even(y / 18.0, 0) * 18.0 AS y, round_even(xend / 18.0, 0) * 18.0 AS xend, round_even(yend / 18.0, 0) * 18.0 AS yend FROM segs),
@@ -190,7 +192,7 @@ def merged_edges(spark, d):
 
 @query(f"""WITH {TRK}, a AS (SELECT mode, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.5) AS md, stddev_samp(v) AS sd FROM trk GROUP BY mode) SELECT mode, round(CASE WHEN lo = hi THEN md - CASE WHEN coalesce(sd, 0) > 0 THEN sd ELSE 1 END ELSE lo END, 6) AS low, round(CASE WHEN lo = hi THEN md + CASE WHEN coalesce(sd, 0) > 0 THEN sd ELSE 1 END ELSE hi END, 6) AS high FROM a""")
 def global_norm(spark, d):
-    """A8, F40."""
+    """A8."""
     return A.color_norm(trk(spark, d), ["mode"], "v").select("mode", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -217,8 +219,9 @@ def linear_rescale(spark, d):
 def low_focus(spark, d):
     """A14, P21."""
     t = trk(spark, d)
-    q = t.groupBy("mode").agg(F.percentile("v", F.lit(0.15)).alias("q15"), F.min("v").alias("lo"))
-    return t.join(q, "mode").where(F.col("v").between(F.col("lo"), F.col("q15"))).select("fix_id", "mode", F.round("v", 6).alias("v"))
+    low = t.groupBy("mode").agg(F.min("v").alias("lo"))
+    q = A.quantiles(t, ["mode"], "v", [0.15]).select("mode", F.get("q", F.lit(0)).alias("q15")).join(low, "mode")
+    return t.join(F.broadcast(q), "mode").where(F.col("v").between(F.col("lo"), F.col("q15"))).select("fix_id", "mode", F.round("v", 6).alias("v"))
 
 
 GATE = f"""{TRK}, g AS (SELECT log_id, fix_id, CASE WHEN k % 11 = 0 THEN NULL ELSE k % 4 END AS gm, k * 3.0::DOUBLE AS eph, v AS dist FROM trk),
@@ -243,7 +246,7 @@ def quality_gate(spark, d):
 @query(f"""WITH {GATE}, c AS (SELECT log_id, count(*) AS considered, count(CASE WHEN reason = 'accepted' THEN 1 END) AS accepted, count(CASE WHEN reason <> 'accepted' THEN 1 END) AS rejected FROM gate GROUP BY log_id),
  n AS (SELECT log_id, reason, count(*) AS n FROM gate WHERE reason <> 'accepted' GROUP BY ALL), t AS (SELECT log_id, reason FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY n DESC, reason) AS rn FROM n) WHERE rn = 1) SELECT c.*, t.reason AS top_reason FROM c LEFT JOIN t USING (log_id)""")
 def top_reason(spark, d):
-    """A9, A10, A19, J12, C6, C7."""
+    """A9, A10, A19, J12, C7."""
     return A.top_reason(_gate(spark, d).withColumn("ok", F.col("reason") == "accepted"), ["log_id"], "ok", "reason")
 
 
@@ -255,7 +258,7 @@ def class_duration(spark, d):
 
 @query(f"""WITH {POS}, m AS (SELECT log_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM p GROUP BY log_id), xy AS (SELECT log_id, lat0, lon0, sum(w * (lon - lon0)) / sum(w) AS dx, sum(w * (lat - lat0)) / sum(w) AS dy FROM (SELECT *, 1.0 + k AS w FROM p) JOIN m USING (log_id) GROUP BY ALL) SELECT log_id, round(lat0 + dy, 6) AS lat, round(lon0 + dx, 6) AS lon FROM xy""")
 def centroid(spark, d):
-    """A15, F2, F16."""
+    """A15, F2."""
     out = A.centroid(placed(spark, d).withColumn("w", 1.0 + F.col("k")), ["log_id"], "lat", "lon", "w")
     return out.select("log_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
@@ -306,7 +309,7 @@ def subset_dedupe(spark, d):
  b AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), p AS (SELECT CAST(n_nationkey AS BIGINT) AS source, CAST(n_nationkey AS BIGINT) AS node, 0.0::DOUBLE AS d, 0 AS hops FROM nation WHERE n_nationkey % 5 = 0
  UNION SELECT source, node, d, hops FROM (SELECT p.source, b.dst AS node, min(p.d + b.w) AS d, min(p.hops + 1) AS hops FROM p JOIN b ON p.node = b.src WHERE p.hops < 24 GROUP BY p.source, b.dst)) SELECT source, node, min(d) AS distance FROM p GROUP BY ALL""")
 def shortest_path(spark, d):
-    """C9, A18."""
+    """Distances between stations."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     ring = n.select(F.col("k").alias("src"), ((F.col("k") + 1) % 25).alias("dst"), (100.0 + 10 * F.col("k")).alias("weight_m"))
     chord = n.where("k % 3 = 0").select(F.col("k").alias("src"), ((F.col("k") + 7) % 25).alias("dst"), (450.0 + 3 * F.col("k")).alias("weight_m"))

@@ -2,102 +2,376 @@
 
 Every scan reads all columns as text, without inference, and types them afterwards; what doesn't
 parse is null.  Rows know their file by ``source_file``, so one scan takes any number of files.
+Files differ in delimiter, encoding and header: the driver looks at the first bytes of each, one pass
+finds those that aren't UTF-8, and files alike in all three are read by one scan with a fixed schema.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv as csv_rows
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.parse import base_name, first_present, flexible_time, robust_number, to_number
+from wayfold.functions.parse import base_name, first_present, flexible_time, header_key, robust_number, slug, to_number
+from wayfold.sources.shared import head, plain_path
 
-# Names under which logs hold their columns.
+# Names under which logs hold their columns, and those that aren't measurements.
 TIME_COLUMNS = ["timestamp_iso", "timestamp", "gps_time_utc", "time", "datetime"]
 LAT_COLUMNS, LON_COLUMNS = ["gps_lat", "lat", "latitude"], ["gps_lon", "lon", "lng", "longitude"]
+TRACK_TIME_COLUMNS = ["timestamp_iso", "timestamp", "datetime", "date_time", "time", "timestamp_utc", "timestamp_local", "datetime_utc", "datetime_local", "recorded_at", "created_at"]
+TRACK_LAT_COLUMNS, TRACK_LON_COLUMNS = ["gps_lat", "gps_latitude", "latitude", "lat", "y"], ["gps_lon", "gps_longitude", "longitude", "lon", "lng", "x"]
+SENSOR_TIMES = ["timestamp_iso", "timestamp", "gps_time_utc"]
+SENSOR_NUMBERS = ["gps_mode", "gps_lat", "gps_lon", "gps_speed_m_s", "gps_track_deg", "gps_eph_m"]
+NOT_MEASURED = ["source_file", "source_name", "output_file", "status", "status_message", "original_filename", "output_filename", "rows_before", "rows_after", "window_start_utc", "window_end_utc", "unix_time_s", "gps_time_utc", "gps_time_iso"]
+NOT_METRICS = ["timestamp", "timestamp_iso", "gps_time_utc", "gps_lat", "gps_lon", "gps_mode", "gps_speed_m_s", "gps_track_deg", "gps_eph_m", "source_file", "source_name", "fix_id"]
+DISPLAY_TOKENS = ["speed", "distance", "score", "delta", "noise", "pm", "gas", "temp", "humid"]
 DELIMITERS = (",", ";", "\t", "|")
 # End of fixed values.
 
+SEGMENTS = (
+    "array<struct<startTime:string,endTime:string,timelinePath:array<struct<point:string,time:string>>,"
+    "visit:struct<topCandidate:struct<placeLocation:struct<latLng:string>,probability:string>>,"
+    "activity:struct<topCandidate:struct<type:string>,distanceMeters:string,start:struct<latLng:string>,end:struct<latLng:string>>>>"
+)
+
+
+def sniffed(text: str) -> str:
+    """The delimiter that most lines hold equally often, then the one they hold most of; a comma if none."""
+    lines = [re.sub(r'"[^"]*"', "", x) for x in text.splitlines() if x.strip()]
+    best, found = (0.0, 0), ","
+    for c in DELIMITERS:
+        n, agree = Counter(x.count(c) for x in lines).most_common(1)[0] if lines else (0, 0)
+        if n and (agree / len(lines), n) > best:
+            best, found = (agree / len(lines), n), c
+    return found
+
 
 def sniffed_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that the first line holds most of; a comma if none."""
-    head = spark.read.text(path).limit(1).collect()  # a line
-    line = head[0][0] if head else ""
-    best = max(DELIMITERS, key=lambda c: (line.count(c), -DELIMITERS.index(c)))
-    return best if line.count(best) else ","
+    """From the first 8192 bytes of a file; a line that they cut counts only if it is the only one."""
+    text = head(spark, path).decode("utf-8-sig", "ignore")
+    return sniffed(text if len(text) < 8000 or "\n" not in text else text[: text.rindex("\n")])
+
+
+def header_delimiter(line: str) -> str:
+    """S3: the first of comma, semicolon and tab that a header holds, else the first other one; a comma if none."""
+    return next((c for c in DELIMITERS if c in line), ",")
+
+
+def _files(spark: SparkSession, path) -> dict[str, str]:
+    """Files with rows, and the encoding of each: UTF-8, or Latin-1 where a line isn't."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("fine"))
+    return {plain_path(r["file"]): "UTF-8" if r["fine"] else "ISO-8859-1" for r in rows.groupBy("file").agg(F.bool_and("fine").alias("fine")).collect()}  # a row for each file
+
+
+def _header(line: str, delimiter: str) -> tuple[str, ...]:
+    """Names without marks and blanks; nameless ones by place, repeated ones numbered."""
+    out: list[str] = []
+    for i, c in enumerate(next(csv_rows.reader([line], delimiter=delimiter), [])):
+        name = c.replace("﻿", "").strip() or f"Unnamed: {i}"
+        n, plain = 0, name
+        while name.lower() in (x.lower() for x in out):
+            n += 1
+            name = f"{plain}.{n}"
+        out.append(name)
+    return tuple(out)
+
+
+def scans(spark: SparkSession, path, delimiter: str | Callable[[str], str] | None = None, multiline: bool = False, file_column: str = "source_file") -> list[DataFrame]:
+    """A scan for each kind of file: text columns, the file's name, and file_row, which orders a file's rows.
+
+    ``delimiter`` is a character, or chooses one from a file's header; by default it is sniffed.
+    Quotes within quoted cells are doubled.  A column named as the file's name is replaced by it.
+    """
+    kinds = defaultdict(list)
+    for file, encoding in sorted(_files(spark, path).items()):
+        text = head(spark, file).decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", "ignore")
+        lines = text.splitlines()
+        if not lines:
+            continue
+        sep = sniffed(text) if delimiter is None else delimiter if isinstance(delimiter, str) else delimiter(lines[0])
+        kinds[encoding, sep, _header(lines[0], sep)].append(file)
+    out = []
+    for (encoding, sep, names), files in kinds.items():
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+        df = spark.read.schema(schema).option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(files, sep=sep, header=True, encoding=encoding, mode="PERMISSIVE")
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        df = df.select("*", F.col("_metadata.file_name").alias("__file"), place.alias("file_row"))
+        out.append(df.withColumn(file_column, F.col("__file")).drop("__file"))
+    return out
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def csv(spark: SparkSession, path, delimiter: str | Callable[[str], str] | None = None) -> DataFrame:
+    """All files as text columns, united by name, with source_file."""
+    return _union(_required(scans(spark, path, delimiter), path)).drop("file_row")
 
 
-def csv(spark: SparkSession, path, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, names without marks and blanks, with source_file."""
-    first = path if isinstance(path, str) else path[0]
-    df = spark.read.csv(path, sep=delimiter or sniffed_delimiter(spark, first), header=True, inferSchema=False, encoding=encoding, mode="PERMISSIVE")
-    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
-    return df.withColumn("source_file", base_name(F.col("_metadata.file_path")))
+def flexible_csv(spark: SparkSession, path) -> DataFrame:
+    """S3: the delimiter by the header."""
+    return csv(spark, path, header_delimiter)
+
+
+def _required(frames: list[DataFrame], path) -> list[DataFrame]:
+    if not frames:
+        raise ValueError(f"no rows in {path}")
+    return frames
+
+
+def utc_time(c: Column) -> Column:
+    """A time with or without an offset, as a time in UTC without zone; one without an offset is in UTC."""
+    t = F.trim(c)
+    iso, zoned = t.rlike(r"^\d{4}-\d{2}"), t.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    instant = F.when(zoned & iso, t.try_cast("timestamp")).cast("timestamp_ntz")
+    naive = F.coalesce(F.when(iso, t.try_cast("timestamp_ntz")), flexible_time(t).cast("timestamp_ntz"))
+    return F.when(zoned, F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)).otherwise(naive)
 
 
 def sensor_fixes(spark: SparkSession, path, delimiter: str | None = None) -> DataFrame:
-    """Time, place and quality of fixes, from the first time column that is there."""
-    df = csv(spark, path, delimiter)
-    names = {k: first_present(df.columns, v) for k, v in (("ts", TIME_COLUMNS), ("lat", LAT_COLUMNS), ("lon", LON_COLUMNS))}
-    missing = [k for k, v in names.items() if v is None]
-    if missing:
-        raise ValueError(f"no column for {', '.join(missing)}")
-    extra = [c for c in ("gps_mode", "gps_speed_m_s", "gps_track_deg", "gps_eph_m") if c in df.columns]
-    out = df.select("source_file", flexible_time(F.col(names["ts"])).alias("ts"), to_number(F.col(names["lat"])).alias("lat"), to_number(F.col(names["lon"])).alias("lon"), *[to_number(F.col(c)).alias(c) for c in extra])
-    return out.where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    """Time, place and quality of fixes; the time is that of the first time column which the file has.
+
+    Columns that a file lacks are null; rows without a time or a place go.
+    """
+    frames = []
+    for df in scans(spark, path, delimiter):
+        ts = next((c for c in SENSOR_TIMES if c in df.columns), None) or first_present(df.columns, TIME_COLUMNS)
+        lat, lon = first_present(df.columns, LAT_COLUMNS), first_present(df.columns, LON_COLUMNS)
+        named = {"gps_lat": lat, "gps_lon": lon} | {c: c if c in df.columns else None for c in SENSOR_NUMBERS if c not in ("gps_lat", "gps_lon")}
+        number = lambda c: F.lit(None).cast("double") if named[c] is None else to_number(F.col(f"`{named[c]}`"))
+        time = F.lit(None).cast("timestamp_ntz") if ts is None else utc_time(F.col(f"`{ts}`"))
+        frames.append(df.select("source_file", time.alias("ts"), number("gps_lat").alias("lat"), number("gps_lon").alias("lon"), *[number(c).alias(c) for c in SENSOR_NUMBERS if c not in ("gps_lat", "gps_lon")]))
+    return _union(_required(frames, path)).where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def fix_times(spark: SparkSession, path, delimiter: str | None = None) -> DataFrame:
+    """The times of a log alone."""
+    frames = []
+    for df in scans(spark, path, delimiter):
+        ts = next((c for c in SENSOR_TIMES if c in df.columns), None)
+        frames.append(df.select("source_file", (F.lit(None).cast("timestamp_ntz") if ts is None else utc_time(F.col(ts))).alias("ts")))
+    return _union(_required(frames, path)).where("ts IS NOT NULL")
+
+
+def mobile_track(spark: SparkSession, path, zone: str = "Europe/Berlin") -> DataFrame:
+    """All columns of a track, with its time in UTC and local, the local hour, and its place."""
+    frames = []
+    for df in scans(spark, path, header_delimiter):
+        named = {k: first_present(df.columns, v, header_key) for k, v in (("timestamp", TRACK_TIME_COLUMNS), ("latitude", TRACK_LAT_COLUMNS), ("longitude", TRACK_LON_COLUMNS))}
+        if missing := [k for k, v in named.items() if v is None]:
+            raise ValueError(f"no column for {', '.join(missing)}; there are {df.columns}")
+        utc = utc_time(F.col(f"`{named['timestamp']}`"))
+        df = df.withColumn("mobile_timestamp", utc).withColumn("mobile_timestamp_local", F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("mobile_timestamp")))
+        df = df.withColumn("station_hour_local", F.date_trunc("hour", "mobile_timestamp_local").cast("timestamp_ntz"))
+        df = df.withColumn("mobile_lat", to_number(F.col(f"`{named['latitude']}`"))).withColumn("mobile_lon", to_number(F.col(f"`{named['longitude']}`")))
+        frames.append(df.where("mobile_timestamp_local IS NOT NULL AND mobile_lat IS NOT NULL AND mobile_lon IS NOT NULL"))
+    return _union(_required(frames, path)).drop("file_row")
+
+
+def _numeric(df: DataFrame, names: list[str]) -> list[str]:
+    """P5: the columns that hold a number somewhere."""
+    counts = df.agg(*[F.count(to_number(F.col(f"`{c}`"))).alias(c) for c in names]).first() if names else {}
+    return [c for c in names if counts[c]]
+
+
+def source_metrics(spark: SparkSession, path) -> DataFrame:
+    """The measured columns that hold a number somewhere, as mobile_aq__ columns, by time."""
+    frames = []
+    skip = {header_key(c) for c in [*TRACK_TIME_COLUMNS, *TRACK_LAT_COLUMNS, *TRACK_LON_COLUMNS, *NOT_MEASURED, "file_row"]}
+    for df in scans(spark, path, header_delimiter):
+        ts = first_present(df.columns, TRACK_TIME_COLUMNS, header_key)
+        if ts is None:
+            raise ValueError(f"no column for timestamp; there are {df.columns}")
+        kept = _numeric(df, [c for c in df.columns if header_key(c) not in skip and not header_key(c).startswith("gps_")])
+        frames.append(df.select("source_file", utc_time(F.col(f"`{ts}`")).alias("mobile_aq_timestamp"), *[to_number(F.col(f"`{c}`")).alias(f"mobile_aq__{slug(c)}") for c in kept]))
+    return _union(_required(frames, path)).where("mobile_aq_timestamp IS NOT NULL")
+
+
+def _metric_time(df: DataFrame, times: Sequence[str]) -> Column:
+    ts = next((c for c in times if c in df.columns), None)
+    if ts is not None:
+        return utc_time(F.col(ts))
+    if "unix_time_s" in df.columns:
+        micros = F.round(to_number(F.col("unix_time_s")) * 1_000_000).cast("long")
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(micros).cast("timestamp_ntz"))
+    return F.lit(None).cast("timestamp_ntz")
+
+
+def _last_of_equal(rows: DataFrame) -> DataFrame:
+    last = Window.partitionBy("source_file", "ts").orderBy(F.col("file_row").desc())
+    return rows.where("ts IS NOT NULL").withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop("__nth", "file_row")
+
+
+def raw_metrics(spark: SparkSession, path, delimiter: str | None = None) -> DataFrame:
+    """All columns that aren't about place, as text, by time, or by unix_time_s; of equal times the last row."""
+    frames = [df.select("source_file", "file_row", _metric_time(df, SENSOR_TIMES).alias("ts"), *[f"`{c}`" for c in df.columns if c not in (*NOT_METRICS, "file_row")]) for df in scans(spark, path, delimiter)]
+    return _last_of_equal(_union(_required(frames, path)))
 
 
 def air_metrics(spark: SparkSession, path, delimiter: str | None = None) -> DataFrame:
-    """The columns that hold a number somewhere, as mobile_aq__ columns; of equal times the last row."""
-    df = csv(spark, path, delimiter)
-    ts = first_present(df.columns, TIME_COLUMNS)
-    skip = {ts, "source_file", *LAT_COLUMNS, *LON_COLUMNS, *[c for c in df.columns if c.startswith("gps_")]}
-    names = [c for c in df.columns if c not in skip]
-    counts = df.agg(*[F.count(to_number(F.col(c))).alias(c) for c in names]).first() if names else {}
-    kept = [c for c in names if counts[c]]
-    rows = df.select("source_file", flexible_time(F.col(ts)).alias("ts"), *[to_number(F.col(c)).alias(f"mobile_aq__{c}") for c in kept], F.monotonically_increasing_id().alias("__at")).where("ts IS NOT NULL")
-    last = Window.partitionBy("source_file", "ts").orderBy(F.col("__at").desc())
-    return rows.withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop("__nth", "__at")
+    """The numeric columns of :func:`raw_metrics`, as mobile_aq__ columns; of equal times the last row."""
+    frames = []
+    for df in scans(spark, path, delimiter):
+        skip = {*TIME_COLUMNS, *NOT_MEASURED, *LAT_COLUMNS, *LON_COLUMNS, "file_row", *[c for c in df.columns if c.startswith("gps_")]}
+        kept = _numeric(df, [c for c in df.columns if c not in skip])
+        frames.append(df.select("source_file", "file_row", _metric_time(df, TIME_COLUMNS).alias("ts"), *[to_number(F.col(f"`{c}`")).alias(f"mobile_aq__{slug(c)}") for c in kept]))
+    return _last_of_equal(_union(_required(frames, path)))
 
 
-def station_report(spark: SparkSession, path: str, station_id: str) -> DataFrame:
-    """An hourly report in long form: station_id, station_hour_local, component, value.
+def _report(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Component names, and the lines that begin with a date as columns c0, c1, ..."""
+    lines = [x for x in head(spark, path, 1 << 16).decode("utf-8-sig", "replace").splitlines() if x.strip()]
+    cells = next(csv_rows.reader(lines[1:2], delimiter=";"), [])
+    names = [x.strip() or f"value_{i}" for i, x in enumerate(cells[1:], 1)]
+    if not names:
+        raise ValueError(f"too few columns in {path}")
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    rows = spark.read.schema(schema).csv(path, sep=";", header=False, mode="PERMISSIVE", escape='"')
+    rows = rows.where(F.col("c0").rlike(r"^\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}$"))
+    time = F.try_to_timestamp(F.regexp_replace("c0", r"\s+", " "), F.lit("dd.MM.yyyy HH:mm")).cast("timestamp_ntz")
+    return names, rows.withColumn("station_hour_local", time).where("station_hour_local IS NOT NULL")
+
 
-    Lines are split by semicolons; the second holds the components; data begin with the first line
-    that starts with a date; decimals have a comma.
+def station_hours(spark: SparkSession, path: str, station_id: str) -> DataFrame:
+    """An hourly report as a row for each hour, with a {station}__{component} column for each component.
+
+    The second line that isn't blank holds the components; nameless ones are value_1, value_2, ...;
+    data are the lines that begin with a date; decimals have a comma.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    names = [x.strip().strip('"') for x in lines.orderBy("at").limit(2).collect()[1]["value"].split(";")]  # two lines
-    day = r"^\"?\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}"
-    cells = F.transform(F.split("value", ";"), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
-    rows = lines.where(F.col("value").rlike(day)).select(cells.alias("c"))
-    time = F.try_to_timestamp(F.get("c", F.lit(0)), F.lit("dd.MM.yyyy HH:mm")).cast("timestamp_ntz")
-    long = rows.select(time.alias("station_hour_local"), F.posexplode("c").alias("i", "text")).where("i > 0")
-    component = F.get(F.array(*[F.lit(n) for n in names]), F.col("i"))
-    return long.select(F.lit(station_id).alias("station_id"), "station_hour_local", component.alias("component"), robust_number(F.col("text"), ",").alias("value")).where("component IS NOT NULL AND component <> ''")
+    names, rows = _report(spark, path)
+    plain = _header(";".join(f"{station_id}__{slug(n)}" for n in names), ";")
+    number = lambda c: to_number(F.replace(F.trim(c), F.lit(","), F.lit(".")))
+    return rows.select("station_hour_local", *[number(f"c{i}").alias(n) for i, n in enumerate(plain, 1)])
+
+
+def station_report(spark: SparkSession, path: str, station_id: str) -> DataFrame:
+    """An hourly report in long form: station_id, station_hour_local, component, value."""
+    names, rows = _report(spark, path)
+    pairs = F.array(*[F.struct(F.lit(n).alias("component"), F.col(f"c{i}").alias("text")) for i, n in enumerate(names, 1)])
+    long = rows.select("station_hour_local", F.explode(pairs).alias("p"))
+    return long.select(F.lit(station_id).alias("station_id"), "station_hour_local", "p.component", robust_number(F.col("p.text"), ",").alias("value"))
+
+
+def _from_literal(c: Column) -> Column:
+    """JSON from text that may be written as a Python literal."""
+    t = F.trim(c)
+    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        t = F.regexp_replace(t, rf"(?<=[:\[,])(\s*){word}(?=\s*[,\]\}}])", f"$1{json}")
+    return F.when(F.startswith(t, F.lit("{")), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)
+
+
+def path_points(c: Column) -> Column:
+    """the (point, time) pairs of a path's text."""
+    return F.from_json(_from_literal(c), "array<struct<point:string,time:string>>")
+
+
+def _flat(cell: Column) -> list[Column]:
+    """a segment's nested fields as columns."""
+    names = ["startTime", "endTime", "timelinePath", "visit.topCandidate.placeLocation.latLng", "visit.topCandidate.probability", "activity.topCandidate.type", "activity.distanceMeters", "activity.start.latLng", "activity.end.latLng"]
+    return [reduce(lambda c, f: c[f], n.split("."), cell).alias(n.replace(".", "_")) for n in names]
 
 
 def timeline(spark: SparkSession, path) -> DataFrame:
-    """Flat timelines with their path as an array of (point, time)."""
-    df = csv(spark, path)
-    out = df.select("source_file", *[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in df.columns if c != "source_file"])
-    if "timelinePath" in out.columns:
-        text = F.replace(F.col("timelinePath"), F.lit("'"), F.lit('"'))
-        out = out.withColumn("timelinePath", F.from_json(text, "array<struct<point:string,time:string>>"))
-    return out
+    """Timelines, flat or as cells of nested segments, with their path as an array of (point, time).
 
+    Dots in names become underscores.
+    """
+    frames = []
+    for df in scans(spark, path, multiline=True):
+        start, end = first_present(df.columns, ["startTime", "start_time", "start_time_utc"]), first_present(df.columns, ["endTime", "end_time", "end_time_utc"])
+        if start is not None and end is not None:
+            flat = df.select("source_file", "file_row", *[F.col(f"`{c}`").alias({start: "startTime", end: "endTime"}.get(c, c).replace(".", "_")) for c in df.columns if c not in ("source_file", "file_row")])
+            if "timelinePath" in flat.columns:
+                flat = flat.withColumn("timelinePath", path_points(F.col("timelinePath")))
+            frames.append(flat)
+            continue
+        cell = first_present(df.columns, ["semanticSegments", "semantic_segments"])
+        if cell is None:
+            raise ValueError(f"neither start and end columns nor nested segments; there are {df.columns}")
+        rows = df.select("source_file", "file_row", F.explode(F.from_json(_from_literal(F.col(f"`{cell}`")), SEGMENTS)).alias("__s"))
+        frames.append(rows.select("source_file", "file_row", *_flat(F.col("__s"))))
+    return _union(_required(frames, path)).drop("file_row")
 
-def files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Path, name, size and time of files; of those equal in name and size the first path."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", base_name(F.col("path")).alias("name"), "length", "modificationTime")
+
+def _listed(spark: SparkSession, path, pattern: str, deep: bool) -> DataFrame | None:
+    """path, name, size and time of files, or None if there are none."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(path)
+    except AnalysisException:
+        return None
+    found = found.select("path", base_name(F.col("path")).alias("name"), "length", "modificationTime")
+    return None if found.isEmpty() else found
+
+
+def first_of_equal(found: DataFrame) -> DataFrame:
+    """Of files equal in name and size the first path."""
     first = Window.partitionBy("name", "length").orderBy("path")
     return found.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
 
 
+def files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """Path, name, size and time of files below a folder; of those equal in name and size the first path."""
+    return first_of_equal(_listed(spark, path, pattern, True) or spark.createDataFrame([], "path string, name string, length long, modificationTime timestamp"))
+
+
+def discovered(spark: SparkSession, path: str, roots: Sequence[str] = (), pattern: str = "enviro_log*.csv") -> DataFrame:
+    """The logs of a folder: those in it, else those below it, else any CSV files in it.
+
+    If there is no such folder, the logs below the roots, of those equal in name and size the first path.
+    """
+    none = spark.createDataFrame([], "path string, name string, length long, modificationTime timestamp")
+    for kind, deep in ((pattern, False), (pattern, True), ("*.csv", False)):
+        if (found := _listed(spark, path, kind, deep)) is not None:
+            return found
+    below = [x for x in (_listed(spark, r, pattern, True) for r in roots) if x is not None]
+    return first_of_equal(_union(below).distinct()) if below else none
+
+
 def required(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The table, if it has these columns."""
     missing = [c for c in names if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def headers(spark: SparkSession, path) -> DataFrame:
+    """A row for each file and column."""
+    rows = []
+    for file in sorted(_files(spark, path)):
+        text = head(spark, file, 1 << 16).decode("utf-8-sig", "replace")
+        rows += [(file, c) for c in _header(text.splitlines()[0], sniffed(text))]
+    return spark.createDataFrame(rows, "file string, column string")
+
+
+def display_columns(names: DataFrame, preferred: Sequence[str], most: int = 4) -> DataFrame:
+    """Up to ``most`` columns to show: preferred ones that some file (file, column) has, in their order, then
+    those whose name tells a measurement, by the number of files that have them, then by name."""
+    counts = names.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_files"))
+    place = F.coalesce(*[F.when(F.col("column") == c, F.lit(i)) for i, c in enumerate(preferred)], F.lit(len(preferred)))
+    telling = reduce(lambda a, b: a | b, [F.lower("column").contains(t) for t in DISPLAY_TOKENS])
+    fit = counts.withColumn("place", place).where((F.col("place") < len(preferred)) | telling)
+    ranked = fit.withColumn("rank", F.row_number().over(Window.orderBy("place", F.col("n_files").desc(), "column")))  # a row for each column name
+    return ranked.where(F.col("rank") <= most).select(F.col("rank").cast("long").alias("rank"), "column", "n_files")
+
+
+def source_map(spark: SparkSession, path) -> DataFrame:
+    """output_name and source_file of index files; of rows with one output the last, by file name and row.
+
+    Index files without both columns are left out.
+    """
+    frames = [df for df in scans(spark, path, header_delimiter, file_column="index_file") if {"source_file", "output_file"} <= set(df.columns)]
+    if not frames:
+        return spark.createDataFrame([], "output_name string, source_file string")
+    rows = _union([f.select(F.trim("source_file").alias("source_file"), F.trim("output_file").alias("output_file"), F.col("index_file"), "file_row") for f in frames])
+    fine = lambda c: F.col(c).isNotNull() & ~F.lower(c).isin("", "nan")
+    rows = rows.where(fine("source_file") & fine("output_file")).withColumn("output_name", base_name(F.col("output_file")))
+    last = Window.partitionBy("output_name").orderBy(F.col("index_file").desc(), F.col("file_row").desc())
+    return rows.withColumn("__nth", F.row_number().over(last)).where("__nth = 1").select("output_name", "source_file")
