@@ -2,12 +2,12 @@
 
 The lexicon is a trie of words and word beginnings.  A seed of common insults is joined by
 terms learnt from labelled documents: word beginnings and whole words that toxic documents
-hold and clean ones don't.  A word of a text is run through the trie with a Levenshtein
-automaton of one edit (its states are places in the word, before and after the edit), so one walk
-finds all terms within an edit.  Each hit weighs by the log odds that its term, at its
-distance, had in the labelled documents; a window of words around the hit lowers the weight
-where it reads as a quotation and raises it where it addresses someone.  The sum of the best
-hits is calibrated to a probability on the same labelled documents.
+hold and clean ones don't, and beginnings that several words of a toxic document share.  A word of a text is run through
+the trie with a Levenshtein automaton of one edit (its states are places in the word, before and after
+the edit), so one walk finds all terms within an edit.  Each hit weighs by the log odds that its term, at its
+distance and in as many different words (MANY at most), had in the labelled documents; a window of words around
+the hit lowers the weight where it reads as a quotation and raises it where it addresses someone.  The sum of the
+hits, each further one by half, is calibrated to a probability on the same labelled documents.
 
 What is learnt comes from at most SAMPLE labelled documents of each class, the first by a hash of
 their ids; everything else sees every document whole.
@@ -41,13 +41,13 @@ from .scratch import saved, ship_package, table
 SAMPLE = 10_000
 #: Learnt terms are word beginnings of these lengths, and whole words.
 STEMS = (4, 5, 6, 7)
-#: Terms that may be learnt, and toxic texts that a term must be in, counting only those with fewer than
-#: EXPLAINED stronger terms.
-MOST_TERMS, LEAST_SUPPORT, EXPLAINED = 2_000, 4, 3
+#: Toxic texts that a term must be in, counting only those with fewer than EXPLAINED stronger terms; so at most
+#: EXPLAINED / LEAST_SUPPORT terms a text of the sample are learnt.
+LEAST_SUPPORT, EXPLAINED = 4, 3
+#: Different words of a text up to which a term's hits are told apart by their number, and the weights that hits may have.
+MANY, LEAST_WEIGHT, MOST_WEIGHT = 3, -1.0, 8.0
 #: Words on each side of a hit that tell quotation from abuse.
 WINDOW = 6
-#: Hits that add to the evidence of a document.
-BEST = 4
 THRESHOLD = 0.7
 MEMO = 150_000
 
@@ -144,21 +144,28 @@ class Model:
     """Terms (and whether each is a word beginning), weights and calibration."""
 
     terms: list[tuple[str, bool]]
-    weights: dict[tuple[int, int], float] = field(default_factory=dict)
+    weights: dict[tuple[int, int, int], float] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = -2.5
 
-    def weight(self, term: int, distance: int) -> float:
-        found = self.weights.get((term, distance))
-        return found if found is not None else 4.0 if distance == 0 else 2.5
+    def weight(self, term: int, distance: int, n: int = 1) -> float:
+        """The weight of a term found at a distance in ``n`` different words; that of fewer where it isn't known."""
+        for k in range(n, 0, -1):
+            if (found := self.weights.get((term, distance, k))) is not None:
+                return found
+        return 4.0 if distance == 0 else 2.5
+
+
+#: A term, at which distance, and in how many different words (MANY at most).
+Hit = tuple[int, int, int]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.trie, self.memo = model, Trie(model.terms), Memo(MEMO)
 
-    def hits(self, texts: list[str]) -> list[list[tuple[tuple[int, int], float]]]:
-        """For each text its hits: (term, distance) and what the context makes of it."""
+    def hits(self, texts: list[str]) -> list[list[tuple[Hit, float]]]:
+        """For each text its hits, each with the best that contexts make of it."""
         split = [t.lower().split() for t in texts]
         own = [set(words) for words in split]
         distinct: set[str] = set().union(*own)
@@ -171,24 +178,26 @@ class Scorer:
         toxic = {w for w in distinct if known[w]}
         out = []
         for words, seen in zip(split, own, strict=True):
-            hit = []
+            best: dict[tuple[int, int], float] = {}
+            held: dict[tuple[int, int], set[str]] = {}
             if not toxic.isdisjoint(seen):
                 for i, w in enumerate(words):
                     if w in toxic:
-                        c = context(words, i)
-                        hit += [(x, c) for x in known[w]]
-            out.append(hit)
+                        c, bare = context(words, i), "".join(filter(str.isalnum, w))
+                        for x in known[w]:
+                            best[x] = max(best.get(x, 0.0), c)
+                            held.setdefault(x, set()).add(bare)
+            out.append([((*x, min(len(held[x]), MANY)), c) for x, c in best.items()])
         self.memo.turn()
         return out
 
-    def evidence(self, hits: list[tuple[tuple[int, int], float]]) -> float:
-        """The best hits' weights, each further one counting half of the one before."""
+    def evidence(self, hits: list[tuple[Hit, float]]) -> float:
+        """The weights of the terms' best hits, each further one counting half of the one before."""
         best: dict[int, float] = {}
-        for (term, distance), c in hits:
-            w = self.model.weight(term, distance) * c
+        for (term, distance, n), c in hits:
+            w = self.model.weight(term, distance, n) * c
             best[term] = max(best.get(term, -9.0), w)
-        top = sorted(best.values(), reverse=True)[:BEST]
-        return sum(w / 2**i for i, w in enumerate(top))
+        return sum(math.ldexp(w, -i) for i, w in enumerate(sorted(best.values(), reverse=True)))
 
     def score(self, hits) -> float:
         z = self.model.slope * self.evidence(hits) + self.model.offset
@@ -207,9 +216,17 @@ def context(words: list[str], at: int) -> float:
 
 
 def features(text: str | None) -> set[str]:
-    """Whole words, and word beginnings marked by ^, of four letters or more."""
+    """Whole words, and word beginnings marked by as many ^ as different words have them, and by fewer, up to MANY; words of
+    four letters or more."""
     words = {w for w in WORD.findall((text or "").lower()) if len(w) >= 4}
-    return words | {f"^{w[:k]}" for w in words for k in STEMS if len(w) > k}
+    stems = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    return words | {"^" * k + x for x, n in stems.items() for k in range(1, min(n, MANY) + 1)}
+
+
+def _marked(feature: str) -> tuple[int, str]:
+    """In how many words a feature's beginning is (0 for a whole word), and the beginning or word."""
+    bare = feature.lstrip("^")
+    return len(feature) - len(bare), bare
 
 
 def is_held_out(doc_id):
@@ -254,21 +271,27 @@ def _count_features(sample: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _is_term(toxic: float, clean: float, n_toxic: int, n_clean: int, tested: int) -> bool:
-    """Whether so many toxic documents hold it beyond what chance gives the best of ``tested`` features."""
-    if toxic < LEAST_SUPPORT or clean > 0.003 * n_clean + 0.04 * toxic:
-        return False
-    share = n_toxic / (n_toxic + n_clean)
-    n = int(toxic + clean)
-    # Hoeffding's bound on the upper tail of a binomial.
-    p = toxic / n
-    kl = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
-    return n * kl > math.log(max(tested, 2)) + 3
+def _terms(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """The features that so many toxic documents hold as chance doesn't give the best of all that could be found.
+
+    Hoeffding's bound on the upper tail of a binomial, against the number of features of their kind in LEAST_SUPPORT documents
+    or more, for no rarer one could pass.  Beginnings that several words share need a margin less wide: there are few of them.
+    """
+    n, share = F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
+    kind = F.length(F.regexp_extract("feature", r"^\^*", 0))
+    tested = {r["kind"]: r["count"] for r in counts.where(n >= LEAST_SUPPORT).groupBy(kind.alias("kind")).count().collect()}  # a row for each kind
+    p = F.col("toxic") / n
+    kl = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    rare = F.col("clean") <= 0.005 * n_clean + 0.1 * F.col("toxic")
+    enough = F.lit(False)
+    for k, found in tested.items():
+        enough = F.when(kind == k, n * kl > math.log(max(found, 2)) + (3 if k < 2 else 1)).otherwise(enough)
+    return counts.where((F.col("toxic") >= LEAST_SUPPORT) & rare & (p > share) & enough)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model learnt from labelled documents; the driver gets counts of at most MOST_TERMS terms
-    and a row of numbers for each of at most 2 * SAMPLE documents."""
+    """A model learnt from labelled documents; the driver gets the counts of terms that LEAST_SUPPORT or more of at most
+    SAMPLE toxic documents hold beyond chance, and a row of numbers for each of at most 2 * SAMPLE documents."""
     spark = docs.sparkSession
     ship_package(spark)
     sample = saved(_sample(docs, labels), "labelled")
@@ -278,25 +301,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not n_clean or not n_toxic:
         return Model(terms)
     counts = saved(_count_features(sample.repartition(max(4, (n_clean + n_toxic) // 500))), "features")
-    tested = counts.count()
-    fine = counts.where((F.col("toxic") >= LEAST_SUPPORT) & (F.col("clean") <= 0.003 * n_clean + 0.04 * F.col("toxic")))
-    best = fine.orderBy((F.col("toxic") - 3 * F.col("clean")).desc(), F.length("feature"), "feature").limit(4 * MOST_TERMS).collect()
-    names: list[str] = []
+    best = _terms(counts, n_toxic, n_clean).collect()
+    best.sort(key=lambda r: (3 * r["clean"] - r["toxic"], len(r["feature"]), r["feature"]))
+    names: dict[str, None] = {}
+    for r in best:
+        n, bare = _marked(r["feature"])
+        shorter = ("^" * m + bare[:k] for k in STEMS if len(bare) >= k for m in range(1, max(n, 1) + 1))
+        if not any(x in names for x in shorter if x != r["feature"]):
+            names[r["feature"]] = None  # no beginning says it that is shorter, or that fewer words need have
+    chosen = _explaining(list(names), sample)
+    whole: dict[str, list[str]] = {}
     for r in best:
-        bare = r["feature"].lstrip("^")
-        if any(f"^{bare[:k]}" in names for k in STEMS if len(bare) >= k and f"^{bare[:k]}" != r["feature"]):
-            continue  # a shorter beginning says it
-        if _is_term(r["toxic"], r["clean"], n_toxic, n_clean, tested):
-            names.append(r["feature"])
-    chosen = _explaining(names, sample)[:MOST_TERMS]
-    whole = [r["feature"] for r in best if not r["feature"].startswith("^")]
-    for name in chosen:
-        own = [w for w in whole if w.startswith(name[1:])] if name.startswith("^") else [name]
+        if not _marked(r["feature"])[0]:
+            for k in STEMS:
+                whole.setdefault(r["feature"][:k], []).append(r["feature"])
+    for n, bare in map(_marked, chosen):
+        own = whole.get(bare, []) if n == 1 else [bare]
         # A beginning that one word accounts for is that word, which can then be misspelt.
-        if len(own) == 1:
-            terms.append((own[0], False))
-        else:
-            terms.append((name[1:], True))
+        terms.append((own[0], False) if n < 2 and len(own) == 1 else (bare, True))
     model = Model(list(dict.fromkeys(terms)))
     return _calibrated(model, sample, n_toxic, n_clean)
 
@@ -336,17 +358,12 @@ def _calibrated(model: Model, sample: DataFrame, n_toxic: int, n_clean: int) ->
         scorer = Scorer(model)
         for b in batches:
             hits = [scorer.hits([t or ""])[0] for t in b["text"]]
-            # A document says no more than the best context of each term at each distance.
-            best = [{} for _ in hits]
-            for own, found in zip(best, hits, strict=True):
-                for x, c in found:
-                    own[x] = max(own.get(x, 0.0), c)
             yield pd.DataFrame({
                 "toxic": b["toxic"].astype(int),
-                "hits": [",".join(f"{t}:{d}:{c}" for (t, d), c in own.items()) for own in best]})
+                "hits": [",".join(":".join(map(str, (*x, c))) for x, c in own) for own in hits]})
 
     rows = [(r["toxic"], [x.split(":") for x in r["hits"].split(",") if x]) for r in sample.mapInPandas(run, "toxic int, hits string").collect()]
-    rows = [(y, [((int(t), int(d)), float(c)) for t, d, c in h]) for y, h in rows]
+    rows = [(y, [((int(t), int(d), int(n)), float(c)) for t, d, n, c in h]) for y, h in rows]
     seen = (Counter(), Counter())
     for y, h in rows:
         seen[1 if y else 0].update(x for x, _ in h)
@@ -355,7 +372,7 @@ def _calibrated(model: Model, sample: DataFrame, n_toxic: int, n_clean: int) ->
         # Few documents say little; shrink to the weight that an unseen hit has.
         n = seen[0][x] + seen[1][x]
         prior = 4.0 if x[1] == 0 else 2.5
-        model.weights[x] = float(np.clip((n * odds + 2 * prior) / (n + 2), -1.0, 6.0))
+        model.weights[x] = float(np.clip((n * odds + 2 * prior) / (n + 2), LEAST_WEIGHT, MOST_WEIGHT))
     scorer = Scorer(model)
     e = np.array([scorer.evidence(h) for _, h in rows])
     y = np.array([1.0 if t else 0.0 for t, _ in rows])
@@ -381,7 +398,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # EXPLAINED * SAMPLE / LEAST_SUPPORT terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
