@@ -6,8 +6,8 @@ batch is compared with it by a sort-merge anti-join for which the index needs ne
 shuffle nor a sort; what is new is appended.
 
 Defined results: a null text counts as empty; empty texts equal each other; of equal texts
-the one with the most code points in the original, then the smallest doc_id, stays; rows
-that repeat a doc_id count as rows (group_size counts rows).  A null doc_id orders last.
+one row stays, that with the most code points in the original, then the smallest doc_id, then the first as
+read; group_size counts rows, also those that repeat a doc_id.  A null doc_id orders last.
 An empty table gives an empty result.  Extra columns pass through :func:`deduplicate`.
 """
 
@@ -44,79 +44,111 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def best_of_each(rows: DataFrame) -> DataFrame:
-    """The staying document and the size of each group of equal digests.
+    """The staying document (its id, and the number of its row) and the size of each group of equal digests.
 
     Map-side partial aggregation reduces a group of copies to a row per task before the
     shuffle, however large it is.
     """
-    order = F.struct(F.col("n_code_points"), -F.coalesce("doc_id", F.lit(NO_ID)))
-    return (
-        rows.groupBy("digest")
-        .agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", F.nullif(-F.col("best.col2"), F.lit(NO_ID)).alias("keep_id"), "group_size")
-    )
+    order = F.struct(F.col("n_code_points"), (-F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), (-F.col("row")).alias("row"))
+    best = rows.groupBy("digest").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return best.select("digest", F.nullif(-F.col("best.id"), F.lit(NO_ID)).alias("keep_id"), (-F.col("best.row")).alias("keep_row"), "group_size")
 
 
 class DigestIndex:
-    """A digest index at ``path``: Parquet, bucketed and sorted by digest."""
+    """A digest index at ``path``: Parquet, bucketed and sorted by digest.
+
+    Its number of buckets is written beside it when it is made, and holds from then on.  After
+    appends a bucket has several files, so it is read without a shuffle and sorted as it is read.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path
         self.name = f"wayfold_digests_{uuid.uuid4().hex[:12]}"
+        self.buckets = self._settled(int(buckets))
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _settled(self, buckets: int) -> int:
+        note = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_buckets")
+        fs = note.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(note):
+            stream = fs.open(note)
+            buckets = stream.readInt()
+        else:
+            stream = fs.create(note)
+            stream.writeInt(buckets)
+        stream.close()
+        return buckets
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, groups: DataFrame) -> None:
-        """Append the groups whose digest the index doesn't have."""
-        new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        new.select("digest", "keep_id", "group_size").write.insertInto(self.name)
+    def absent(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digest the index doesn't have."""
+        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+
+    def known(self, groups: DataFrame) -> DataFrame:
+        """The index's rows for the digests of ``groups``."""
+        return self.read().join(groups.select("digest").hint("merge"), "digest", "left_semi")
 
-    def entries(self) -> DataFrame:
-        """The rows without their bucketing, for joins in which a digest may be hot."""
-        return self.spark.read.schema(self.read().schema).parquet(self.path)
+    def add(self, new: DataFrame) -> None:
+        new.select("digest", "keep_id", "group_size").write.insertInto(self.name)
 
     def close(self) -> None:
         """Forget the name; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def decisions(docs: DataFrame, index_path: str | None = None, buckets: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
+def buckets_for(rows: int) -> int:
+    """Buckets of a new index: 64, or more for some four million digests a bucket."""
+    return max(64, 1 << max(0, (rows >> 22)).bit_length())
 
-    With an index that other batches have filled, a text known to it is dropped in favour
-    of the document that came first; group_size is then that of the batch in which the text
-    was new.
-    """
+
+def _decided(docs: DataFrame, index_path: str | None, buckets: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The numbered digests of all rows, the groups that are new (digest, keep_id, keep_row, group_size), and what the
+    index has of the others.  The new groups are appended."""
     spark = docs.sparkSession
-    rows = saved(digests(docs), "digests")
-    index = DigestIndex(spark, index_path or fresh_path(spark, "index"), buckets)
-    index.add(best_of_each(rows))
-    known = index.entries()
+    rows = saved(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+    groups = saved(best_of_each(rows), "groups")
+    index = DigestIndex(spark, index_path or fresh_path(spark, "index"), buckets or buckets_for(groups.count()))
+    new = saved(index.absent(groups), "new")
+    old = saved(index.known(groups), "known")
+    index.add(new)
     index.close()
-    # Both sides are plain shuffles, so that adaptive execution can split a hot digest.
-    return rows.join(known.hint("merge"), "digest").select(
+    return rows, new, old
+
+
+def decisions(docs: DataFrame, index_path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
+
+    One row of a group is kept: where rows tie in length and doc_id, the first as read.  With an
+    index that other batches have filled, a text known to it is dropped in favour of the document that came
+    first, whatever the ids; group_size is then that of the batch in which the text was new.
+    """
+    rows, new, old = _decided(docs, index_path, buckets)
+    decided = new.unionByName(old.withColumn("keep_row", F.lit(None).cast("long")))
+    # A plain shuffle of both sides, one of which has a row for a digest, so that adaptive execution can split a hot one.
+    return rows.join(decided.hint("merge"), "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def deduplicate(docs: DataFrame, index_path: str | None = None, buckets: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one of those equal in doc_id and text."""
+def deduplicate(docs: DataFrame, index_path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one for each text, the longest, then that with the smallest
+    doc_id, then the first by its columns' hashes."""
     of, nth, kept_id, kept_digest = unused(docs, "__of", "__nth", "__kept_id", "__kept_digest")
-    kept = decisions(docs, index_path, buckets).where("kept")
-    kept = kept.select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest)).distinct()
+    _, new, _ = _decided(docs, index_path, buckets)
+    kept = new.select(F.col("keep_id").alias(kept_id), F.col("digest").alias(kept_digest))
     named = docs.withColumn(of, F.unhex(F.sha2(normalised(docs["text"]), 256)))
     same = named["doc_id"].cast("long").eqNullSafe(kept[kept_id]) & (named[of] == kept[kept_digest])
     out = named.join(kept.hint("merge"), same, "left_semi")
-    longest = Window.partitionBy("doc_id", of).orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    longest = Window.partitionBy("doc_id", of).orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), F.xxhash64(*docs.columns), F.hash(*docs.columns))
     return out.withColumn(nth, F.row_number().over(longest)).where(F.col(nth) == 1).drop(nth, of)
 
 
