@@ -4,7 +4,8 @@ Queries and candidates are cut into blocks; every pair of blocks is scored by on
 matrix product.  The score of the k-th best candidate of each query is found by rounds over
 global histograms: a round divides the interval known to hold it into bins, every task
 counts its scores per bin from the top until it has counted k, the counts are added up, and
-the interval shrinks to the bin that holds the k-th score.  Once the interval is a single
+the interval shrinks to the bin that holds the k-th score.  The first interval is bounded by the lengths of
+vectors, without scoring; with BINS bins most searches take one round.  Once the interval is a single
 score, a last pass keeps what lies above it, and of the ties at it each task's smallest ids.
 
 A task holds one block of each side and one score matrix, all of fixed size.  A task sends
@@ -12,7 +13,8 @@ at most k bins or k rows per query, whatever the number of ties.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part;
 shorter vectors count as padded with zeros; ties go to the smaller id; rows that repeat an id
-are candidates of their own, but never of a query with that id; a query with fewer than k
+are candidates of their own, but never of a query with that id, and of the vectors of one query id the smallest, component
+by component, asks; a query with fewer than k
 candidates gets all; null ids take no part.  Components turn into floor(scale * x); a score that
 a long can't hold is an error.
 """
@@ -28,8 +30,8 @@ from .scratch import saved, ship_package, table
 
 #: Rows in a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 1024
-#: Bins of a round for each query.
-BINS = 4096
+#: Bins of a round for each query; a task gives at most k of them.
+BINS = 1 << 16
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -83,20 +85,6 @@ def _count_bins(scale: float, k: int):
     return run
 
 
-def _range(scale: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "low": [], "high": [], "n": []}).astype("int64")
-        s, ok = _masked(left, right, scale)
-        big = np.iinfo(np.int64)
-        return pd.DataFrame({
-            "qid": right.id.to_numpy(), "low": np.where(ok, s, big.max).min(axis=1),
-            "high": np.where(ok, s, big.min).max(axis=1), "n": ok.sum(axis=1),
-        }).query("n > 0").astype("int64")
-
-    return run
-
-
 def _winners(scale: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -120,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     """query_id, rank, vec_id, score: the k best candidates of every query, exactly."""
     spark = vectors.sparkSession
     ship_package(spark)
-    rows, wanted = _usable(vectors, id_col, vector_col), _usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    rows, wanted = _usable(vectors, id_col, vector_col), _usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     n_rows, n_queries = rows.count(), wanted.count()
     slabs, parts = max(1, -(-n_rows // CANDIDATES)), max(1, -(-n_queries // QUERIES))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -135,9 +123,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         blocks = r.withColumn("slab", spread(slabs)).groupBy(*key)
         return left_pairs.groupBy(*key).cogroup(blocks).applyInPandas(run, schema)
 
-    ends = over_blocks(None, _range(scale), "qid long, low long, high long, n long")
-    state = ends.groupBy("qid").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    state = state.select("qid", "low", "high", F.least(F.col("n"), F.lit(k)).alias("need"))
+    # A score is at most the product of both lengths, a little more where doubles round.
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale) * F.floor(x * scale)))
+    longest = left.agg(F.max(length)).first()[0] or 0.0
+    others = left.join(right.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    bound = F.least(F.ceil(length * longest * (1 + 1e-9)) + 1, F.lit(2.0**62)).cast("long")
+    state = right.select("id", bound.alias("high")).join(others.hint("merge"), "id", "left").select(F.col("id").alias("qid"), (-F.col("high")).alias("low"), "high", (F.lit(n_rows) - F.coalesce("own", F.lit(0))).alias("n"))
+    state = state.where("n > 0").select("qid", "low", "high", F.least(F.col("n"), F.lit(k)).cast("long").alias("need"))
     state = saved(state.withColumn("ties", F.col("need")), "ends")
     span = lambda: F.col("high") / 2 - F.col("low") / 2  # noqa: E731  half, so that it can't overflow
     while (widest := state.agg(F.max(span())).first()[0]) is not None and widest > 0:
@@ -190,7 +182,9 @@ def brute_force(rows: list[tuple], queries: list[int], k: int, scale: float = 64
     import math
 
     fine = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    by_id = dict(reversed(fine))
+    by_id: dict[int, list[int]] = {}
+    for i, v in sorted(fine, key=lambda r: [*r[1]], reverse=True):
+        by_id[i] = v
     out = []
     for q in queries:
         if q in by_id:
