@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import Memo, chunks, model
-from .scratch import parallelism, saved, ship_package, table
+from .scratch import parallelism, saved, ship_package, table, unused
 
 #: Words whose ids a worker remembers.
 MEMO = 300_000
@@ -41,8 +41,8 @@ class WordTokenizer:
     """Ids of whole texts under a lower-casing word BPE whose tokens never cross ASCII white space.
 
     Each run between white space is tokenised by itself, and a run seen before is looked up.
-    A run of letters is one word, which ends with a token marked as its end.  Strings of special
-    tokens count as ordinary text.
+    A run of letters is one word, which ends with a token marked as its end.  A text that holds the string of an
+    added token, in whatever case, goes whole to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -52,13 +52,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         # The same merges for words of lower-case letters, without normalising and matching.
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        added = [str(t.content).lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -67,16 +68,21 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # The tokenizer lower-cases anyway, and a stop between a letter and white space is a word.
-        words = [STOP.sub(rb" \1", t.lower()).split() for t in texts]
+        low = [t.lower() for t in texts]
+        odd = {} if self.added is None else {i: self._whole(texts[i]) for i, t in enumerate(low) if self.added.search(t)}
+        words = [[] if i in odd else STOP.sub(rb" \1", t).split() for i, t in enumerate(low)]
         distinct: set[bytes] = set()
         for w in words:
             distinct.update(w)
         self._learn(self.memo.absent(distinct))
         known = self.memo.new
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        out = [odd[i] if i in odd else b"".join(map(known.__getitem__, w)) for i, w in enumerate(words)]
         self.memo.turn()
         return out
 
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _learn(self, missing: list[bytes]) -> None:
         known = self.memo.new
         plain = [w for w in missing if w.isalpha()]  # ASCII letters only
@@ -176,26 +182,27 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[pd.DataFrame, int]:
     return pd.DataFrame(slots, columns=["length", "rank", "bins", "each", "sequence", "offset"]).sort_values(["length", "rank"]), used
 
 
-def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ranked(rows: DataFrame, salt: str, order: list[str], rank: str) -> tuple[DataFrame, DataFrame]:
     """Salted rows with their rank within their length, and counts by length and salt."""
-    counts = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = saved(counts, "counts")  # a row for each length and salt at most
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("nth", F.row_number().over(within) - 1).join(offsets.hint("merge"), ["length", "salt"])
-    return ranked.withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "salt"), counts
+    nth, before = unused(rows, "__nth", "__before")
+    counts = saved(rows.groupBy("length", salt).agg(F.count(F.lit(1)).alias(nth)), "counts")  # a row for each length and salt at most
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(before, F.coalesce(F.sum(nth).over(earlier), F.lit(0))).drop(nth)
+    within = Window.partitionBy("length", salt).orderBy(*order)
+    ranked = rows.withColumn(nth, F.row_number().over(within) - 1).join(offsets.hint("merge"), ["length", salt])
+    return ranked.withColumn(rank, F.col(before) + F.col(nth)).drop(before, nth, salt), counts.withColumnRenamed(nth, "n")
 
 
 def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Rows with a ``length`` of at most ``capacity``, with sequence_id and offset."""
+    """Rows with a ``length`` of at most ``capacity``, with sequence_id and offset; rows of one length differ in nothing."""
     ship_package(rows.sparkSession)
     kept = rows.columns
     salts = max(64, 2 * parallelism(rows.sparkSession))
-    # Ids may repeat or be null, so the place of a row counts too; written, it stays as it is.
-    salt = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(salts))
-    rows = saved(rows.withColumn("salt", salt), "pieces")
-    ranked, counts = _ranked(rows)
+    salt, place, rank = unused(rows, "__salt", "__place", "__rank")
+    # A row's number tells rows apart that are equal; written, it and the salt stay as they are.
+    rows = rows.withColumn(place, F.monotonically_increasing_id())
+    rows = saved(rows.withColumn(salt, F.pmod(F.xxhash64(place), F.lit(salts))), "pieces")
+    ranked, counts = _ranked(rows, salt, [place], rank)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = plan(histogram, capacity)
     # The plan's size is bounded by the sequence length, not by the rows.
@@ -207,9 +214,9 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
             sequence, offset = np.zeros(len(f), dtype=np.int64), np.zeros(len(f), dtype=np.int64)
             for length, at in f.groupby("length").indices.items():
                 s = table_of[length]
-                rank = f["rank"].to_numpy()[at]
-                row = s[np.searchsorted(s[:, 1], rank, side="right") - 1]
-                nth = rank - row[:, 1]
+                nth = f[rank].to_numpy()[at]
+                row = s[np.searchsorted(s[:, 1], nth, side="right") - 1]
+                nth = nth - row[:, 1]
                 sequence[at] = row[:, 4] + nth // row[:, 3]
                 offset[at] = row[:, 5] + nth % row[:, 3] * length
             yield f[kept].assign(sequence_id=sequence, offset=offset)
