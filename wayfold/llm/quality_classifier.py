@@ -179,12 +179,13 @@ def _train(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         featurer = Featurer()
         for b in batches:
-            for t in b["text"]:
-                m = measures(t or "")
-                i, x = featurer(Counter((t or "").split()), m)
-                yield pd.DataFrame({"votes": [votes(m)], "at": [i.tolist()], "x": [x.tolist()]})
+            measured = [measures(t or "") for t in b["text"]]
+            found = [featurer(Counter((t or "").split()), m) for t, m in zip(b["text"], measured, strict=True)]
+            yield pd.DataFrame({"votes": [votes(m) for m in measured], "at": [i.tolist() for i, _ in found], "x": [x.tolist() for _, x in found], "key": b["key"]})
 
-    sample = rows.mapInPandas(run, "votes string, at array<int>, x array<double>").limit(2 * SAMPLE).collect()
+    # Where rows repeat an id, which of them are learnt from is told by their texts.
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).orderBy("key").limit(2 * SAMPLE)
+    sample = sorted(rows.mapInPandas(run, "votes string, at array<int>, x array<double>, key long").collect(), key=lambda r: (r["key"], r["votes"]))
     w, offset, total = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-8)
     if not sample:
         return w, offset
