@@ -30,14 +30,19 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
 
 
 class Memo:
-    """A cache with a bound: two generations, the older of which goes when the newer is full."""
+    """A cache with a bound: two generations, the older of which goes when the newer is full.
 
-    def __init__(self, size: int):
-        self.half, self.new, self.old = size // 2, {}, {}
+    A generation is full at half of ``size`` keys, or at ``load`` characters of keys: long ones are few.
+    """
+
+    def __init__(self, size: int, load: int = 8 << 20):
+        self.half, self.load, self.taken, self.new, self.old = size // 2, load, 0, {}, {}
 
     def absent(self, keys: set) -> list:
         """Those of ``keys`` that must be computed; what is known becomes recent."""
         missing = keys.difference(self.new)
+        if missing:
+            self.taken += sum(map(len, missing))
         if self.old and missing:
             fresh = missing.difference(self.old)
             again = missing - fresh
@@ -47,8 +52,8 @@ class Memo:
 
     def turn(self) -> None:
         """To be called between chunks."""
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.half or self.taken > self.load:
+            self.old, self.new, self.taken = self.new, {}, 0
 
 
 #: The model a worker holds; there is one at a time, as workers outlive queries.
