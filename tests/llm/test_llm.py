@@ -227,7 +227,8 @@ def test_exact_copies(spark, corpus):
     groups = defaultdict(list)
     for i, t in rows:
         groups[norm(t)].append((-len(t or ""), i))
-    want = sorted((i, min(groups[norm(t)])[1], len(groups[norm(t)]), i == min(groups[norm(t)])[1], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+    best = {norm(t): next(n for n, (i, u) in enumerate(rows) if norm(u) == norm(t) and (-len(u or ""), i) == min(groups[norm(t)])) for _, t in rows}
+    want = sorted((i, min(groups[norm(t)])[1], len(groups[norm(t)]), n == best[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for n, (i, t) in enumerate(rows))
     got = exact_dedup.decisions(docs(spark, rows))
     assert sorted(map(tuple, got.collect())) == want
     kept = exact_dedup.deduplicate(docs(spark, rows))
@@ -243,11 +244,27 @@ def test_index_outlives_a_batch(spark, tmp_path):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in second.collect()} == {(0, 1, False), (3, 4, False), (4, 4, True)}
 
 
+def test_one_row_of_a_group_stays(spark, tmp_path):
+    got = exact_dedup.decisions(docs(spark, [(5, "a b"), (5, "ab"), (5, "a b"), (None, "x"), (None, "x")]))
+    assert Counter((r["keep_id"], r["kept"]) for r in got.collect()) == {(5, True): 1, (5, False): 2, (None, True): 1, (None, False): 1}
+    assert exact_dedup.deduplicate(docs(spark, [(5, "a b"), (5, "ab"), (5, "a b"), (None, "x"), (None, "x")])).count() == 2
+    path = str(tmp_path / "index")
+    exact_dedup.decisions(docs(spark, [(1, "x")]), path, 4).collect()
+    again = exact_dedup.decisions(docs(spark, [(1, "x"), (0, " x"), (2, "y")]), path, 8)  # the index keeps its four buckets
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.collect()) == [(0, 1, False), (1, 1, False), (2, 2, True)]
+    assert [r["doc_id"] for r in exact_dedup.deduplicate(docs(spark, [(1, "x"), (2, "y"), (3, "z")]), path).collect()] == [3]
+
+
+def test_exact_dedup_uses_no_python(spark):
+    for plan in (exact_dedup.decisions(docs(spark, [(1, "a")])), exact_dedup.deduplicate(docs(spark, [(1, "a")]))):
+        assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
+
+
 # 6
 
 
 def base_by_hand(text):
-    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Tt][Oo][Kk][Ee][Nn])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|[Tt][Oo][Kk][Ee][Nn])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
 
@@ -270,6 +287,15 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, []), RANKS).collect() == []
 
 
+def test_all_keywords(spark):
+    texts = [f"{a}{w}{b} {c} {d}{v}" for w in ("Password", "passwd", "SECRET", "token", "apikey", "api_KEY") for a in ("", "my") for b in ("", '"', "'") for c in ":=" for d in ("", '"') for v in ("abcde", "abcdef", "a/b+c=d.e-f_g")]
+    texts += [" ; ".join(texts), "password=token=abcdefg", "secret: passwd: abcdefgh"]
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs(spark, list(enumerate(texts))), RANKS).collect()}
+    for i, t in enumerate(texts):
+        base = base_by_hand(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest(), t
+
+
 def found_random(spark, texts):
     rows = secret_scan.scan(docs(spark, list(enumerate(texts))), RANKS).orderBy("doc_id").collect()
     cut = [[x.split(":") for x in r["spans"].split(",") if x.startswith("random")] for r in rows]
@@ -377,8 +403,42 @@ def test_held_out_accuracy(spark):
     labels = scratch.table(spark, d, "labels")
     table = scratch.table(spark, d, "documents")
     got = toxicity.scores(table, toxicity.fit(table, labels)).join(labels, "doc_id").where("held_out")
-    r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("acc"), F.sum(((F.col("predicted") == 1) & (F.col("toxic") == 0)).cast("int")).alias("false")).first()
-    assert r["acc"] > 0.95 and r["false"] <= 5
+    r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("acc"), F.sum(((F.col("predicted") == 1) & (F.col("toxic") == 0)).cast("int")).alias("false"), F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall")).first()
+    assert r["acc"] > 0.95 and r["false"] <= 5 and r["recall"] >= 0.9
+
+
+def test_scores_match_a_plain_scorer(spark):
+    """Every term against every word by distances, contexts by a scan."""
+    terms = [("scum", False), ("moron", False), ("zorga", True), ("idiot", False)]
+    model = toxicity.Model(terms, {(0, 0, 1): 3.0, (1, 0, 1): 5.0, (1, 1, 1): 2.0, (2, 0, 1): -0.5, (2, 0, 2): 4.0, (2, 1, 1): 1.0}, 1.2, -3.0)
+
+    def plain(text):
+        words = text.lower().split()
+        best, held = {}, {}
+        for i, w in enumerate(words):
+            around = [x.strip(".,;:!?()" + toxicity.QUOTES) for x in words[max(0, i - 6) : i] + words[i + 1 : i + 7]]
+            quoted = w[0] in toxicity.QUOTES and w.rstrip(".,;:!?)")[-1] in toxicity.QUOTES
+            talked = bool(toxicity.QUOTING & set(around))
+            c = (0.3 if quoted and talked else 0.6) if quoted or talked else 1.15 if toxicity.ADDRESS & set(around) else 1.0
+            for part in toxicity.WORD.findall(w):
+                heads = lambda t: [part[:k] for k in range(len(t) - 1, len(t) + 2) if k <= len(part)]
+                hits = {(n, 0) for n, (t, b) in enumerate(terms) if (part.startswith(t) if b else part == t)}
+                if not hits and len(part) >= 4:
+                    hits = {(n, 1) for n, (t, b) in enumerate(terms) if part[0] == t[0] and (any(distance(x, t) == 1 for x in heads(t)) if b else len(t) >= 5 and distance(part, t) == 1)}
+                for x in hits:
+                    best[x] = max(best.get(x, 0.0), c)
+                    held.setdefault(x, set()).add("".join(filter(str.isalnum, w)))
+        by_term = {}
+        for (n, d), c in best.items():
+            by_term[n] = max(by_term.get(n, -9.0), model.weight(n, d, min(3, len(held[n, d]))) * c)
+        z = 1.2 * sum(w / 2**i for i, w in enumerate(sorted(by_term.values(), reverse=True))) - 3.0
+        return 1 / (1 + 2.718281828459045**-z)
+
+    rng = random.Random(6)
+    pool = ["you", "said", "scum", "moron!", '"moron"', "mroon", "zorgan", "zorgat,", "zorxa", "zrgan", "idiots", "the", "word", "plain", "idiot's", "MORON", "so-called"]
+    rows = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 14)))) for i in range(400)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs(spark, rows), model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-9 for i, t in rows)
 
 
 # 8
@@ -397,6 +457,24 @@ def test_top_k_matches_brute_force(spark, monkeypatch, blocks):
     assert got == sorted(topk_search.brute_force(rows, [i for i in range(0, 240, 20)], 5))
 
 
+def test_repeated_query_ids(spark):
+    rows = [(20, [3.0, 0.0]), (20, [1.0, 2.0]), (20, [1.0, 5.0]), (1, [1.0, 1.0]), (2, [0.0, 2.0]), (3, [2.0, 0.0])]
+    for _ in range(2):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = sorted(map(tuple, topk_search.top_k(frame, frame.where("vec_id = 20"), 2).collect()))
+        assert got == [(20, 1, 2, 4 * 4096), (20, 2, 1, 3 * 4096)] == sorted(topk_search.brute_force(rows, [20], 2))
+        rows.reverse()
+
+
+def test_top_k_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BINS", 4)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(50)] + [(60, [0.0] * 3), (61, [0.0] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search.top_k(frame, frame.where("vec_id % 20 = 0"), 7).collect()))
+    assert got == sorted(topk_search.brute_force(rows, [0, 20, 40, 60], 7))
+
+
 def test_top_k_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk_search.top_k(frame, frame.where("vec_id = 0"), 20).collect())) == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
@@ -430,8 +508,7 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    odd = [(900, "É I'm İstanbul, 12 é\x1cx <|endoftext|> naïve... a.b c,"), (901, "the " * 700)]
+    odd = [(902, "hi <|endoftext|> there"), (903, "<|StartOfText|>a<|endoftext|>b <|endoftext"), (904, "  <|endoftext|>\n<|endoftext|>  x"), (900, "É I'm İstanbul, 12 é\x1cx <|endoftext|> naïve... a.b c,"), (901, "the " * 700)]
     rows = [(i, x) for i, x in corpus if i != 403] + odd
     tokens = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
     got = bestfit_packing.pack_documents(docs(spark, rows), WORDS, 256).collect()
@@ -440,6 +517,37 @@ def test_packing(spark, corpus):
     assert bestfit_packing.pack_documents(docs(spark, []), WORDS).collect() == []
 
 
+def best_fit_decreasing(lengths, capacity):
+    """The number of bins by the plain rule: each piece, longest first, into the fullest bin that holds it."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room[room.index(min(fits))] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+def test_plans_match_best_fit_decreasing():
+    rng = random.Random(11)
+    for _ in range(300):
+        capacity = rng.choice((10, 50, 97))
+        h = {rng.randint(1, capacity): rng.randint(1, rng.choice((3, 60))) for _ in range(rng.randint(1, 25))}
+        _, used = bestfit_packing.plan(h, capacity)
+        assert used == best_fit_decreasing([n for n, c in h.items() for _ in range(c)], capacity), h
+
+
+def test_packing_of_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(i % 3, i % 5 + 1, i, i, i, i, i) for i in range(60)], "doc_id long, length long, salt int, nth int, before int, rank int, piece int")
+    got = bestfit_packing.pack(rows, 6)
+    assert got.columns == [*rows.columns, "sequence_id", "offset"] and sorted(r["salt"] for r in got.collect()) == list(range(60))
+    check = defaultdict(int)
+    for r in got.collect():
+        check[r["sequence_id"]] += r["length"]
+    assert max(check.values()) <= 6
+
+
 def test_plans_fill_exactly():
     rng = random.Random(4)
     for _ in range(100):
@@ -514,3 +622,32 @@ def test_pipeline_stages(spark):
         sizes.append(len(rows))
         at = out
     assert corpus_pipeline.run(spark, d).count() == sizes[-1]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    long, near = text(300_000), text(40)
+    rows = [(1, None), (2, ""), (None, "no id here"), (3, long), (4, near), (5, near + " end"), (4, near), (6, near.replace(" ", "\n")), (7, "you idiot, pathetic moron, you scum, worthless trash"), (8, "password = abcdef12345"), (8, text(9))]
+    frame = docs(spark, rows).withColumns({c: F.lit(1) for c in ("salt", "rank", "key", "n", "sid", "digest", "row")})
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    at = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = scratch.saved(stage(spark, at, str(tmp_path)), "stage")
+        assert at.columns == frame.columns, name
+    kept = sorted(((r["doc_id"], r["text"]) for r in at.collect()), key=str)
+    assert [i for i, _ in kept] == sorted([None, 1, 3, 4, 8, 8], key=str) and not any("abcdef12345" in (t or "") for _, t in kept)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {None, 1, 3, 4, 8} and sum(r["length"] for r in out if r["doc_id"] == 3) > 300_000
+    empty = tmp_path / "empty"
+    for t in ("documents", "labels"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).limit(0).write.parquet(str(empty / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    assert substring_dedup.report(none).collect() == [] and byte_bpe.round_trip(none, RANKS, P.PATTERN).collect() == []
