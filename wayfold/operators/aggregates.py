@@ -93,11 +93,13 @@ def padded_box(df: DataFrame, keys: Names, xs: Names, ys: Names, least: float =
     return out.select(*keys, *cols)
 
 
-def passes(df: DataFrame, keys: Names, ts: str, hour: str, mobile: str, station: str) -> DataFrame:
-    """A1: a pass in an hour: its first time, the mean on both sides (the station's finite), its points."""
-    return df.groupBy(*keys, hour).agg(
-        F.coalesce(F.min(ts), F.min(hour)).alias("pass_ts"), F.avg(mobile).alias("mobile_mean"),
-        F.avg(finite(F.col(station))).alias("station_value"), F.count(F.lit(1)).alias("mobile_points"))
+def passes(df: DataFrame, keys: Names, ts: str, hour: str, mobile: str, station: str | Sequence[str]) -> DataFrame:
+    """A1, A2: a pass in an hour: its first time, the mean on both sides (the station's finite), its points.
+
+    With several station columns each has its mean, under its own name.
+    """
+    sides = [F.avg(finite(F.col(station))).alias("station_value")] if isinstance(station, str) else [F.avg(finite(F.col(c))).alias(c) for c in station]
+    return df.groupBy(*keys, hour).agg(F.coalesce(F.min(ts), F.min(hour)).alias("pass_ts"), F.avg(mobile).alias("mobile_mean"), *sides, F.count(F.lit(1)).alias("mobile_points"))
 
 
 def route_bins(df: DataFrame, keys: Names, measure: str, length: Column, value: str, size: float = 20.0) -> DataFrame:

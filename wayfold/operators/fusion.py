@@ -14,15 +14,18 @@ from wayfold.operators import sequences as S
 Names = Sequence[str]
 
 
-def cropped_logs(df: DataFrame, keys: Names, pos: str, ts: str, value: str, least_rows: int = 30, streak: int = 10, seconds: float = 3600.0, zone: float = 0.2, zone_rows: int = 600) -> DataFrame:
-    """C11: logs of over ``least_rows`` rows, from their first streak of drops to their last rise, ``seconds`` long."""
-    rows = S.trim_empty_ends(df, keys, pos, [value])
+def cropped_logs(df: DataFrame, keys: Names, pos: str, ts: str, value: str, least_rows: int = 30, streak: int = 10, seconds: float = 3600.0, zone: float = 0.2, zone_rows: int = 600, trimmed: bool = False, every_s: float = 5.0) -> DataFrame:
+    """C11: logs of over ``least_rows`` rows, from their first streak of drops to their last rise, ``seconds`` long.
+
+    Rows without a value at the ends go first, unless they are ``trimmed`` already; without times a row counts ``every_s``.
+    """
+    rows = df if trimmed else S.trim_empty_ends(df, keys, pos, [value])
     rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("__n") > least_rows).drop("__n")
     starts = S.first_streak(rows, keys, pos, value, streak, zone, most=zone_rows)
     ends = S.tail_rise(rows, keys, pos, value, zone, most=zone_rows)
-    rows = rows.join(starts, list(keys)).join(ends, list(keys))
+    rows = rows.join(starts, list(keys)).join(ends, list(keys))  # a row for each log
     rows = S.crop(rows, keys, pos, F.col("streak_start"), F.col("crop_end")).drop("streak_start", "crop_end")
-    return S.prefix_cap(rows, keys, ts, [pos], seconds)
+    return S.prefix_cap(rows, keys, ts, [pos], seconds, int(seconds / every_s) + 1)
 
 
 def matched_passes(track: DataFrame, stations: DataFrame, hourly: DataFrame, keys: Names, ts: str, order: Names, lat: str, lon: str, most_m: float, gap_s: float | None = None) -> DataFrame:

@@ -103,9 +103,9 @@ def crop(df: DataFrame, keys: Names, pos: str, start: Column, end: Column) -> Da
 
 
 def prefix_cap(df: DataFrame, keys: Names, ts: str, order: Names, seconds: float, rows_without_time: int | None = None) -> DataFrame:
-    """Rows up to the first that is over ``seconds`` after the first time; later ones go for good."""
+    """Rows up to the first that is over ``seconds`` after the first row with a time; later ones go for good."""
     w = over(keys, order)
-    start = F.min(micros(F.col(ts))).over(Window.partitionBy(*keys))
+    start = F.first(micros(F.col(ts)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     late = F.coalesce((micros(F.col(ts)) - start) > seconds * 1_000_000, F.lit(False))
     rows = df.withColumn("__late", F.max(late.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fine = F.col("__late") == 0

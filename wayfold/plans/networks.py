@@ -154,6 +154,14 @@ def station_manifest(spark, d):
     return T.compared_manifest(_compared(spark, d), "PM2.5")
 
 
+@query(f"""WITH {TRK} SELECT log_id AS pass_id, date_trunc('hour', ts) AS hour, min(ts) AS pass_ts, round(avg(v), 6) AS mobile_mean, round(avg(CAST(k AS DOUBLE)), 6) AS s0, round(avg(CASE WHEN k % 2 = 0 THEN k * 2.0::DOUBLE END), 6) AS s1, count(*) AS mobile_points FROM trk GROUP BY ALL""")
+def many_stations(spark, d):
+    """A1, A2: passes in an hour across several station columns, of which one isn't always finite."""
+    t = trk(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")).withColumn("s0", F.col("k").cast("double")).withColumn("s1", F.when(F.col("k") % 2 == 0, F.col("k") * 2.0).when(F.col("k") % 3 == 0, F.lit(float("inf"))))
+    out = A.passes(t.withColumnRenamed("log_id", "pass_id"), ["pass_id"], "ts", "hour", "v", ["s0", "s1"])
+    return out.select("pass_id", "hour", "pass_ts", *[F.round(c, 6).alias(c) for c in ("mobile_mean", "s0", "s1")], "mobile_points")
+
+
 @query(f"""WITH {TRK}, g AS (SELECT log_id, min(v) AS a, max(v) AS b, min(k) AS x0, max(k) AS x1, count(*) AS n FROM trk GROUP BY log_id), c AS (SELECT *, CASE WHEN abs(b - a) <= 1.5e-8 * abs(a) THEN greatest(1, 0.1 * abs(a)) ELSE 0.05 * (b - a) END AS pad, CASE WHEN x1 > x0 THEN 0 ELSE 0.5 END AS hx, CASE WHEN b > a THEN 0 ELSE 0.5 END AS hy FROM g)
  SELECT log_id, round(a - pad, 6) AS low, round(b + pad, 6) AS high, round(x0 - hx - greatest((x1 - x0 + 2 * hx) * 0.08, 1), 6) AS x_low, round(x1 + hx + greatest((x1 - x0 + 2 * hx) * 0.08, 1), 6) AS x_high, round(a - hy - greatest((b - a + 2 * hy) * 0.08, 1), 6) AS y_low, round(b + hy + greatest((b - a + 2 * hy) * 0.08, 1), 6) AS y_high FROM c""")
 def padded_limits(spark, d):

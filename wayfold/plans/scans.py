@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import struct
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import parse as P
+from wayfold.operators import pipelines as W
 from wayfold.operators import rail as R
-from wayfold.plans.adapters import table
+from wayfold.plans.adapters import hav, table
 from wayfold.sources import sinks, tables, vectors
 from wayfold.sources.shared import file_system, fresh_path
 
@@ -240,3 +242,62 @@ def drawn_segments(spark, d):
     k = F.col("n_nationkey").cast("long")
     s = table(spark, d, "nation").select(k.alias("k"), (k * 1.0).cast("double").alias("x"), F.lit(0.0).alias("y"), (k + 1.0).cast("double").alias("xend"), F.lit(2.0).alias("yend"), F.lit("#c92a2a").alias("color"))
     return sinks.with_wkt(s).select("k", "wkt", F.lit(sinks.svg(s).count("<line ")).alias("drawn"))
+
+
+@query("""SELECT source || '-' || lang AS base_log, arg_max(doc_id, n_chars * 1000000000 + doc_id) AS doc_id FROM documents GROUP BY ALL""")
+def preferred_variants(spark, d):
+    """Of a log's variants the newest, then the largest, then the last by name."""
+    t = table(spark, d, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("base"), "n_chars")
+    name = F.concat("base", F.lit("_Cut_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".csv"))
+    f = t.select("doc_id", name.alias("path"), name.alias("name"), F.lit(1).alias("length"), F.timestamp_seconds("n_chars").alias("modificationTime"))
+    return W.preferred(f).select("base_log", "doc_id")
+
+
+CROPPED = """t AS (SELECT user_id AS u, event_id AS f, row_number() OVER w - 1 AS pos, 15 + value / 10 AS v, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT *, least(greatest(floor(n * 0.2), 10), 600) AS lim, coalesce(v < lag(v) OVER w, false) AS dr, coalesce(v > lag(v) OVER w, false) AS up, v < 19 AS cool FROM t WINDOW w AS (PARTITION BY u ORDER BY pos)),
+ s AS (SELECT *, pos - max(CASE WHEN NOT dr THEN pos END) OVER (PARTITION BY u ORDER BY pos) AS streak, pos - row_number() OVER (PARTITION BY u, cool ORDER BY pos) AS isle FROM l),
+ r AS (SELECT u, max(c) AS longest FROM (SELECT u, isle, count(*) AS c FROM s WHERE cool GROUP BY ALL) GROUP BY u), i AS (SELECT s.u FROM s LEFT JOIN r ON r.u = s.u WHERE s.u % 4 = 0 GROUP BY s.u HAVING avg(CASE WHEN v >= 19 THEN 1.0 ELSE 0.0 END) >= 0.8 AND quantile_cont(v, 0.5) >= 19 AND coalesce(max(longest), 0) * 60 < 600),
+ c AS (SELECT u, coalesce(min(CASE WHEN streak >= 3 AND pos < lim THEN pos - 2 END), 0) AS a, coalesce(max(CASE WHEN up AND pos >= n - lim THEN pos + 1 END), 0) AS e FROM s GROUP BY u), k AS (SELECT s.* FROM s JOIN c USING (u) WHERE n > 30 AND u NOT IN (SELECT u FROM i) AND pos >= a AND (e <= a OR pos < e)), m AS (SELECT *, min(pos) OVER (PARTITION BY u) AS p0 FROM k)"""
+
+
+@query(f"""WITH {CROPPED} SELECT 'enviro_log_' || strftime(make_timestamp((1700000000 + u) * 1000000), '%Y-%m-%d') || '_' || (1700000000 + u) || '.csv' AS name, count(*) AS n_rows, min(f) AS first_fix, max(f) AS last_fix FROM m WHERE (pos - p0) * 60 <= 3600 GROUP BY u""")
+def crop_files(spark, d):
+    """Logs cropped from files to files, some of them from indoors."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    at = F.timestamp_seconds(F.when(F.col("user_id") % 4 == 0, 1705276800).otherwise(1717200000) + (F.row_number().over(w) - 1) * 60)
+    logs = e.select(F.concat(F.lit("enviro_log_"), (F.col("user_id") + 1700000000).cast("string"), F.lit(".csv")).alias("log"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_iso"), (15 + F.col("value") / 10).alias("temperature_C"), F.lit("x").alias("pm2_5_ug_m3"), k.alias("event_id"))
+    top = fresh_path(spark, "crop")
+    sinks.log_files(logs, f"{top}/in", "log", ["event_id"])
+    W.crop_files(spark, f"{top}/in", f"{top}/out", streak=3)
+    got = tables.csv(spark, f"{top}/out")
+    fix = F.col("event_id").cast("long")
+    return tables.required(got, ["timestamp_iso", "temperature_C", "event_id", "file_pos"]).groupBy(F.col("source_file").alias("name")).agg(F.count(F.lit(1)).alias("n_rows"), F.min(fix).alias("first_fix"), F.max(fix).alias("last_fix"))
+
+
+STATIONS = [("s0", "Nord", 52.40, 13.30, 9000.0), ("s1", "Mitte", 52.45, 13.45, 12000.0)]
+
+
+@query(f"""WITH t AS (SELECT event_id AS f, user_id % 5 AS g, date_trunc('second', ts) AS ts, timezone('Europe/Berlin', timezone('UTC', date_trunc('second', ts))) AS tl, 52.3::DOUBLE + (event_id * 13 % 100) / 250.0::DOUBLE AS lat, 13.1::DOUBLE + (event_id * 37 % 100) / 150.0::DOUBLE AS lon, value FROM events),
+ st(sid, label, la, lo, r) AS (VALUES {', '.join(f"('{a}', '{b}', {c}::DOUBLE, {e}::DOUBLE, {r}::DOUBLE)" for a, b, c, e, r in STATIONS)}), n AS (SELECT t.*, st.*, {hav('lat', 'lon', 'la', 'lo')} AS m FROM t CROSS JOIN st), h AS (SELECT * FROM n WHERE m <= r),
+ q AS (SELECT g, ts, arg_max(value, f) AS aq FROM t WHERE f % 2 = 0 GROUP BY ALL) SELECT h.f AS event_id, h.sid AS station_id, label AS station_label, round(m, 4) AS distance_to_station_m, dense_rank() OVER (PARTITION BY h.sid ORDER BY tl::DATE) AS pass_id, row_number() OVER (PARTITION BY h.sid, tl::DATE ORDER BY tl, h.g, m, h.f) AS pass_row_index,
+ CASE WHEN h.sid = 's0' AND day(tl) % 2 = 1 THEN hour(tl) + 0.5::DOUBLE END AS s0__ozon, round(q.aq, 6) AS mobile_aq__noise FROM h LEFT JOIN q ON q.g = h.g AND q.ts = h.ts""")
+def match_files(spark, d):
+    """Tracks from files near stations, with the hours of reports and measurements of logs."""
+    e, k = table(spark, d, "events").withColumn("s", F.date_trunc("second", "ts")), F.col("event_id")
+    group = (F.col("user_id") % 5).cast("string")
+    top = fresh_path(spark, "match")
+    stamp = F.date_format("s", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    sinks.log_files(e.select(F.concat(F.lit("track_"), group, F.lit("_interp.csv")).alias("log"), stamp.alias("timestamp"), (52.3 + (k * 13 % 100) / 250.0).alias("lat"), (13.1 + (k * 37 % 100) / 150.0).alias("lon"), "event_id"), f"{top}/in", "log", ["event_id"])
+    sinks.log_files(e.where("event_id % 2 = 0").select(F.concat(F.lit("src_"), group, F.lit(".csv")).alias("log"), stamp.alias("datetime"), F.col("value").alias("Noise"), "event_id"), f"{top}/logs", "log", ["event_id"])
+    index = spark.range(5).select(F.concat(F.lit("track_"), "id", F.lit("_interp.csv")).alias("output_file"), F.concat(F.lit("old\\src_"), "id", F.lit(".csv")).alias("source_file"), F.lit("individual_interpolated_files_x.csv").alias("log"))
+    sinks.log_files(index, f"{top}/in", "log")
+    days = spark.range(-1, 32).select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"), F.date_add(F.to_date(F.lit("2024-01-01")), F.col("id").cast("int")).alias("day"))
+    stations = []
+    for n, (sid, label, lat, lon, radius) in enumerate(STATIONS):
+        line = days.where(F.dayofmonth("day") % 2 == 1).select((F.datediff("day", F.lit("2000-01-01")) * 24 + F.col("h")).alias("at"), F.concat(F.date_format("day", "dd.MM.yyyy"), F.lit(" "), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":00;"), F.col("h").cast("string"), F.lit(",5")).alias("value"))
+        heads = spark.createDataFrame([(0, "Station"), (1, ";Ozon" if n == 0 else ";Stickoxide")], "at int, value string")
+        heads.union(line).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{top}/{sid}")
+        stations.append({"station_id": sid, "station_label": label, "lat": lat, "lon": lon, "radius_m": radius, "station_csv": _only_file(spark, f"{top}/{sid}")})
+    got = W.matched_files(spark, f"{top}/in", stations, f"{top}/logs", 0.0)
+    names = [F.col(c) for c in ("station_id", "station_label", "pass_id")]
+    return got.select(F.col("event_id").cast("long").alias("event_id"), *names, F.round("distance_to_station_m", 4).alias("distance_to_station_m"), "pass_row_index", "s0__ozon", F.round("mobile_aq__noise", 6).alias("mobile_aq__noise"))

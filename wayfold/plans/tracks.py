@@ -116,7 +116,7 @@ def tail_rise(spark, d):
     return S.crop(s.join(ends, "log_id"), ["log_id"], "pos", F.lit(3), F.col("crop_end")).select("log_id", "pos", F.round("v", 6).alias("v"), "crop_end")
 
 
-@query(f"""WITH {TRK}, o AS (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY log_id) > 864000000000 AS late FROM trk),
+@query(f"""WITH {TRK}, o AS (SELECT *, epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY log_id ORDER BY fix_id) > 864000000000 AS late FROM trk),
  b AS (SELECT *, bool_or(late) OVER (PARTITION BY log_id ORDER BY fix_id) AS gone FROM o) SELECT log_id, fix_id, ts FROM b WHERE NOT gone""")
 def prefix_cap(spark, d):
     """Ten days in the order of fixes, which isn't that of time."""
