@@ -185,14 +185,16 @@ def greedy_thin(df: DataFrame, keys: Names, t: str, fields: Names, far: callable
     return whole.withColumn("__kept", kept).select(*keys, F.explode(F.transform("__kept", lambda i: F.get("__rows", i))).alias("__r")).select(*keys, "__r.*")
 
 
-def drop_detection(df: DataFrame, keys: Names, order: Names, value: str, least_drop: float, threshold: float) -> DataFrame:
-    """The row after the largest drop of at least ``least_drop``; else the first under a threshold."""
+def drop_detection(df: DataFrame, keys: Names, order: Names, value: str, least_drop: float, threshold: float, tolerance: float = 0.0) -> DataFrame:
+    """The row (of those with a finite value) after the largest drop of at least ``least_drop``; else the first up to a
+    threshold and its tolerance; null where there are fewer than two rows."""
     w = over(keys, order)
-    rows = df.withColumn("__diff", F.col(value) - F.lag(value).over(w)).withColumn("__i", F.row_number().over(w))
-    big = F.min(F.when(F.col("__diff") <= -least_drop, F.struct("__diff", "__i")))
-    low = F.min(F.when(F.col(value) <= threshold, F.col("__i")))
-    found = rows.groupBy(*keys).agg(big.alias("__big"), low.alias("__low"))
-    return found.select(*keys, F.coalesce(F.col("__big.__i"), F.col("__low")).cast("long").alias("drop_row"))
+    fine = df.where(~F.isnan(value) & (F.abs(value) < float("inf")))
+    rows = fine.withColumn("__diff", F.col(value) - F.lag(value).over(w)).withColumn("__i", F.row_number().over(w))
+    big = F.min(F.when(F.col("__diff") <= -abs(least_drop), F.struct("__diff", "__i")))
+    low = F.min(F.when(F.col(value) <= threshold + abs(tolerance), F.col("__i")))
+    found = rows.groupBy(*keys).agg(big.alias("__big"), low.alias("__low"), F.count(F.lit(1)).alias("__n"))
+    return found.select(*keys, F.when(F.col("__n") >= 2, F.coalesce(F.col("__big.__i"), F.col("__low"))).cast("long").alias("drop_row"))
 
 
 def iqr_inliers(df: DataFrame, keys: Names, value: str, times: float = 1.5, least: int = 12, survive: int = 8) -> DataFrame:

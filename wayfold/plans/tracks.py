@@ -47,7 +47,7 @@ def day_pass_ids(spark, d):
 @query(f"""WITH {SESSION_SQL} SELECT log_id, session_id, date_trunc('hour', ts) AS hour, min(ts) AS pass_ts, round(avg(v), 6) AS mobile_mean, round(avg(k), 6) AS station_value, count(*) AS mobile_points
  FROM ses GROUP BY ALL""")
 def session_summary(spark, d):
-    """A pass over an hour's end gives two rows."""
+    """A pass over an hour's end gives two rows."""
     t = sessions(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")).withColumn("kd", F.col("k").cast("double"))
     out = A.passes(t, ["log_id", "session_id"], "ts", "hour", "v", "kd")
     return out.withColumn("mobile_mean", F.round("mobile_mean", 6)).withColumn("station_value", F.round("station_value", 6))
@@ -265,7 +265,7 @@ def backtrack_filter(spark, d):
  SELECT o.log_id, o.fix_id, o.i, CASE WHEN o.t - r.kt >= 86400000000 OR abs(o.v - r.kv) >= 60 THEN o.t ELSE r.kt END, CASE WHEN o.t - r.kt >= 86400000000 OR abs(o.v - r.kv) >= 60 THEN o.v ELSE r.kv END,
  o.t - r.kt >= 86400000000 OR abs(o.v - r.kv) >= 60 FROM r JOIN o ON o.log_id = r.log_id AND o.i = r.i + 1) SELECT log_id, fix_id FROM r WHERE kept""")
 def greedy_thin(spark, d):
-    """W30, W33 to W35, by source."""
+    """W30, by source."""
     t = trk(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     return S.greedy_thin(t, ["log_id"], "t", ["fix_id", "v"], lambda a, b: F.abs(b["v"] - a["v"]) >= 60, 86_400_000_000).select("log_id", "fix_id")
 
@@ -273,7 +273,7 @@ def greedy_thin(spark, d):
 @query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS i, count(*) OVER () AS n FROM lineitem), k AS (SELECT DISTINCT CAST(round_even(1 + g * (n - 1) / 499.0, 0) AS BIGINT) AS i FROM (SELECT max(n) AS n FROM n), range(500) t(g))
  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM n JOIN k USING (i)""")
 def systematic_sample(spark, d):
-    """Within one sequence, here all lines."""
+    """Within one sequence, here all lines."""
     rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
     return S.systematic_sample(rows, ["l_orderkey", "l_linenumber"], 500)
 
@@ -281,7 +281,7 @@ def systematic_sample(spark, d):
 @query(f"""WITH {TRK}, w AS (SELECT *, CAST(ts AS DATE) AS day, count(*) OVER (PARTITION BY CAST(ts AS DATE), log_id) AS n, min(ts) OVER (PARTITION BY CAST(ts AS DATE), log_id) AS f, max(ts) OVER (PARTITION BY CAST(ts AS DATE), log_id) AS l FROM trk)
  SELECT log_id, fix_id, CASE WHEN n = 1 THEN CASE WHEN extract(hour FROM ts) < 14 THEN 'to_uni' ELSE 'from_uni' END WHEN epoch_us(ts) - epoch_us(f) <= epoch_us(l) - epoch_us(ts) THEN 'to_uni' ELSE 'from_uni' END AS direction FROM w""")
 def direction_rule(spark, d):
-    """Nearer the day's first or last; alone, before or after two."""
+    """Nearer the day's first or last; alone, before or after two."""
     w = S.Window.partitionBy("log_id", F.to_date("ts"))
     t = S.micros(F.col("ts"))
     rows = trk(spark, d).withColumn("t", t).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("f", F.min("t").over(w)).withColumn("l", F.max("t").over(w))
