@@ -58,8 +58,7 @@ class WordTokenizer:
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        added = [str(t.content).lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.added = sorted({str(t.content).lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -69,7 +68,7 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         # The tokenizer lower-cases anyway, and a stop between a letter and white space is a word.
         low = [t.lower() for t in texts]
-        odd = {} if self.added is None else {i: self._whole(texts[i]) for i, t in enumerate(low) if self.added.search(t)}
+        odd = {i: self._whole(texts[i]) for i, t in enumerate(low) if any(a in t for a in self.added)}
         words = [[] if i in odd else STOP.sub(rb" \1", t).split() for i, t in enumerate(low)]
         distinct: set[bytes] = set()
         for w in words:
