@@ -184,8 +184,8 @@ def _train(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
             yield pd.DataFrame({"votes": [votes(m) for m in measured], "at": [i.tolist() for i, _ in found], "x": [x.tolist() for _, x in found], "key": b["key"]})
 
     # Where rows repeat an id, which of them are learnt from is told by their texts.
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).orderBy("key").limit(2 * SAMPLE)
-    sample = sorted(rows.mapInPandas(run, "votes string, at array<int>, x array<double>, key long").collect(), key=lambda r: (r["key"], r["votes"]))
+    found = rows.withColumn("key", F.xxhash64("doc_id", "text")).mapInPandas(run, "votes string, at array<int>, x array<double>, key long")
+    sample = found.orderBy("key", "votes").limit(2 * SAMPLE).collect()
     w, offset, total = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-8)
     if not sample:
         return w, offset
