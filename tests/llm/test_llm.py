@@ -57,11 +57,13 @@ def test_sql_of_operators(spark, duck):
     for name, sql in registry.ORACLES.items():
         got, want = registry.QUERIES[name](spark, SF_DIR).toPandas(), duck.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns), name
+        # A long with nulls is a double on one side.
+        got = got.astype({c: "Int64" for c in got if str(want[c].dtype) == "Int64"})
         assert shown(got) == shown(want), name
 
 
 def test_names_of_queries():
-    assert sorted(int(x[2:].split("_")[0]) for x in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in registry.QUERIES) == list(range(1, 14))
 
 
 # 1

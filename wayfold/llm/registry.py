@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, byte_bpe, exact_dedup, jaccard_join, license_scan, quality_classifier, secret_scan, substring_dedup, topk_search, toxicity
+from . import (
+    bestfit_packing, byte_bpe, exact_dedup, jaccard_join, license_scan, personal_data, quality_classifier, secret_scan, spelling_variants,
+    substring_dedup, topk_search, toxicity, vector_codes,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_exact_top_k": topk_search.op8_exact_top_k,
     "op9_best_fit_packing": bestfit_packing.op9_best_fit_packing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 ORACLES = {
@@ -23,4 +29,6 @@ ORACLES = {
     "op3_jaccard_join": jaccard_join.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_exact_top_k": topk_search.ORACLE_SQL,
+    "op11_spelling_variants": spelling_variants.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
