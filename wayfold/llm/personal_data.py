@@ -7,7 +7,7 @@ instances among all different items that stand in it, ordinary words included; a
 by the patterns it stands in.  Identifiers that stand in a pattern of high confidence are reported as
 ``context``.
 
-Texts are read twice: for seeds and identifiers, then for the ordinary words in patterns that several
+Texts are read for seeds and identifiers, then for the ordinary words in patterns that several
 instances share.  These patterns are told by a bitmap of fixed size, whatever their number, and then
 exactly by a join.  Copies don't count again: a pattern's instances are different strings.
 
@@ -62,6 +62,8 @@ SUPPORT = 3
 #: Confidence of a pattern that reports; below the floor a pattern lends no trust.
 CONFIDENT, FLOOR = 0.7, 0.3
 ROUNDS = 4
+#: Shares of the texts (one in so many) by which patterns that can't reach the floor are left out; the last counts all texts.
+PARTS = (64, 8, 1)
 #: Bits of the map of patterns.
 BITS = 1 << 26
 
@@ -266,6 +268,24 @@ def _ordinary(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern long, item long").distinct()
 
 
+def _item_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, n_items (instances and different ordinary items) of the patterns that can reach the floor.
+
+    Most patterns are held by far too many ordinary items.  Those that are so in a part of the texts already are
+    left out before more is read, as more texts can't lower their count; what is left is counted over all texts.
+    """
+    alive = patterns
+    for part in PARTS:
+        if alive.isEmpty():
+            return alive.select("pattern", F.col("n_instances").alias("n_items"))
+        some = docs if part == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+        others = _ordinary(some, alive).groupBy("pattern").agg(F.count(F.lit(1)).alias("n_others"))
+        met = alive.join(others, "pattern", "left").withColumn("n_items", F.col("n_instances") + F.coalesce("n_others", F.lit(0)))
+        counted = saved(met.where(F.round(F.col("n_instances") / (F.col("n_items") + 1), 9) >= FLOOR).select("pattern", "n_instances", "n_items"), "counts")
+        alive = counted.drop("n_items")
+    return counted.select("pattern", "n_items")
+
+
 # Scores
 
 
@@ -296,9 +316,7 @@ def scan(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT,
     graph = saved(graph, "graph")
     shared = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_instances")).where(F.col("n_instances") >= support)
     shared = saved(shared, "patterns")
-    others = _ordinary(docs, shared).groupBy("pattern").agg(F.count(F.lit(1)).alias("n_others"))
-    counts = shared.join(others, "pattern", "left").select("pattern", (F.col("n_instances") + F.coalesce("n_others", F.lit(0))).alias("n_items"))
-    counts = saved(counts, "counts")
+    counts = _item_counts(docs, shared)
     edges = saved(graph.join(shared.select("pattern"), "pattern", "left_semi"), "edges")
     best = _scored(edges, counts, support, rounds).where(F.col("confidence") >= confident).select("pattern")
     unseen = places.where("NOT seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
