@@ -42,19 +42,39 @@ def matched_passes(track: DataFrame, stations: DataFrame, hourly: DataFrame, key
     return S.day_pass_ids(near.withColumn("day", F.to_date(ts)), own, "day", order).drop("day")
 
 
-def judged_fixes(fixes: DataFrame, line_edges: DataFrame, keys: Names, fix_id: str, x: str, y: str, order: Names, mode: str, eph: str, tolerance_m: float = 60.0) -> DataFrame:
-    """Each fix's place on its line, and why it is rejected, if it is.
+def allowed_distance(eph: Column) -> Column:
+    """how far from its line a fix may be, by its error estimate."""
+    return F.greatest(F.lit(55.0), F.least(F.lit(250.0), 3.5 * F.coalesce(eph, F.lit(120.0))))
 
-    The gates come in order; those that pass all are then held against backtracking.
+
+def quality_weight(mode: Column, eph: Column) -> Column:
+    """how much a fix counts."""
+    bonus = F.when(mode >= 3, 1.25).when(mode == 2, 1.0).otherwise(0.0)
+    return bonus / (1 + F.greatest(F.coalesce(eph, F.lit(120.0)), F.lit(1.0)) / 25.0)
+
+
+def judged_fixes(fixes: DataFrame, line_edges: DataFrame, keys: Names, fix_id: str, x: str, y: str, order: Names, mode: str, eph: str, tolerance_m: float = 60.0, near_m: float = 20.0) -> DataFrame:
+    """Each fix's place on its line, its status and reason, and the place it is used at.
+
+    The gates come in order; those that pass all are then held against backtracking.  An accepted fix up to ``near_m`` from
+    the line stays where it is, any other moves onto it.  Adds distance_m, chainage_m, edge, near_x, near_y, allowed_distance_m,
+    quality_weight, status, reason, and adjusted_x, adjusted_y and adjusted_chainage_m, null where the fix is rejected.
     """
     at = J.project_on_lines(fixes, line_edges, keys, fix_id, x, y)
-    rows = fixes.join(at, [*keys, fix_id])
-    allowed = F.greatest(F.lit(55.0), F.least(F.lit(250.0), 3.5 * F.coalesce(F.col(eph), F.lit(120.0))))
-    gate = F.when(F.col(mode).isNull() | (F.col(mode) < 2), "mode_below_2").when(F.col(eph) > 250, "eph_above_limit").when(F.col("distance_m") > allowed, "too_far")
+    rows = fixes.join(at, [*keys, fix_id]).withColumn("allowed_distance_m", allowed_distance(F.col(eph))).withColumn("quality_weight", quality_weight(F.col(mode), F.col(eph)))
+    gate = (F.when(F.col(mode).isNull() | (F.col(mode) < 2), "gps_mode_below_fix_threshold").when(F.col(eph) > 250, "eph_above_hard_threshold")
+            .when(F.col("distance_m") > F.col("allowed_distance_m"), "too_far_from_baseline"))
     rows = rows.withColumn("__gate", gate).withColumn("__open", F.when(F.col("__gate").isNull(), F.col("chainage_m")))
     w = S.over(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     back = F.col("__gate").isNull() & F.coalesce(F.col("chainage_m") + tolerance_m < F.max("__open").over(w), F.lit(False))
-    return rows.withColumn("reason", F.coalesce("__gate", F.when(back, "backtracking"), F.lit("accepted"))).drop("__gate", "__open")
+    moved = F.col("distance_m") > near_m
+    fine = F.when(moved, "accepted_projected_to_baseline").otherwise("accepted_raw")
+    rows = rows.withColumn("reason", F.coalesce("__gate", F.when(back, "backtracking_against_segment_direction"), fine))
+    used = F.startswith("reason", F.lit("accepted"))
+    rows = rows.withColumn("status", F.when(used, "accepted").otherwise("rejected"))
+    for c, near, own in (("x", "near_x", x), ("y", "near_y", y)):
+        rows = rows.withColumn(f"adjusted_{c}", F.when(used, F.when(moved, F.col(near)).otherwise(F.col(own))))
+    return rows.withColumn("adjusted_chainage_m", F.when(used, F.col("chainage_m"))).drop("__gate", "__open")
 
 
 def collapsed_anchors(anchors: DataFrame, keys: Names, t: str, priority: Column, chainage: str) -> DataFrame:
@@ -130,13 +150,6 @@ def palette_index(value: Column, low: Column, high: Column, colors: int = 256) -
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)) * (colors - 1)).cast("long")
 
 
-def file_status(df: DataFrame, keys: Names, considered: str, windowed: str, accepted: str, least: int) -> DataFrame:
-    """What became of each file: rows parsed, in the window, accepted, and a status with its reason."""
-    out = df.groupBy(*keys).agg(F.count_if(F.col(considered)).alias("rows_parsed"), F.count_if(F.col(considered) & F.col(windowed)).alias("rows_in_window"), F.count_if(F.col(considered) & F.col(windowed) & F.col(accepted)).alias("rows_accepted"))
-    status = F.when(F.col("rows_parsed") == 0, "empty").when(F.col("rows_in_window") == 0, "outside_window").when(F.col("rows_accepted") < least, "too_few_fixes").otherwise("loaded")
-    return out.withColumn("status", status)
-
-
 def station_graph(stops: DataFrame, stop_times: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stations as means of their stops, and undirected edges between consecutive ones."""
     named = stops.withColumn("station", F.coalesce(F.when(F.trim("parent_station") != "", F.col("parent_station")), F.col("stop_id")))

@@ -1,13 +1,22 @@
-"""Shortest paths by rounds of relaxation."""
+"""Shortest paths by rounds of relaxation, from sources to all nodes or between given pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.sources.shared import release, saved
 
 
+#: Nodes whose distances to all others bound the searches between pairs.
+LANDMARKS = 8
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    both = edges.select("src", "dst", "weight_m").union(edges.select("dst", "src", "weight_m")).where("weight_m >= 0")
+    return saved(both.groupBy("src", "dst").agg(F.min("weight_m").alias("weight_m")), "edges")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, distance) over undirected edges (src, dst, weight_m) of weights that aren't negative.
 
@@ -15,8 +24,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     ends when none improves, after as many rounds as the longest of the shortest paths has edges.  Each
     round's table is written to the shared folder, so lineage stays short.
     """
-    both = edges.select("src", "dst", "weight_m").union(edges.select("dst", "src", "weight_m")).where("weight_m >= 0")
-    both = saved(both.groupBy("src", "dst").agg(F.min("weight_m").alias("weight_m")), "edges")
+    both = both_ways(edges)
     state = saved(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct(), "paths")
     while not state.where("fresh").isEmpty():
         front = state.where("fresh").join(both, F.col("node") == F.col("src"))
@@ -27,3 +35,57 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         release(older)
     release(both)
     return state.drop("fresh")
+
+
+def landmark_distances(edges: DataFrame, count: int = LANDMARKS) -> DataFrame:
+    """node, far: the distances of each node to some nodes, null where there is no path; ``edges`` go both ways."""
+    marks = edges.select(F.col("src").alias("source")).distinct().orderBy(F.xxhash64("source"), "source").limit(count)
+    marks = saved(marks.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("place")), "landmarks")  # ``count`` rows
+    found = shortest_paths(edges, marks.select("source")).join(F.broadcast(marks), "source")
+    told = F.map_from_entries(F.collect_list(F.struct("place", "distance")))
+    out = edges.select(F.col("src").alias("node")).distinct().join(found.groupBy("node").agg(told.alias("told")), "node", "left")
+    return saved(out.select("node", F.array(*[F.element_at("told", F.lit(i)) for i in range(count)]).alias("far")), "far")
+
+
+def _least(a: Column, b: Column) -> Column:
+    """Metres between two nodes at least, by the triangles with landmarks."""
+    return F.coalesce(F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))), F.lit(0.0))
+
+
+def explored(edges: DataFrame, pairs: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
+    """source, target, node, distance of the states that a search between the pairs looks at.
+
+    Landmarks tell at least and at most how long a path between two nodes is.  A state is kept only if what it has
+    walked and has to walk at least isn't more than the least that is known for its pair, so a search stays near the shortest
+    paths; pairs that a landmark tells apart are unconnected and aren't searched.  Rounds as in :func:`shortest_paths`.
+    """
+    both = both_ways(edges)
+    far = landmark_distances(both, landmarks)
+    wanted = pairs.select("source", "target").distinct()
+    a, b = far.select(F.col("node").alias("source"), F.col("far").alias("__s")), far.select(F.col("node").alias("target"), F.col("far").alias("__t"))
+    ends = wanted.join(a, "source").join(b, "target")
+    apart = F.exists(F.zip_with("__s", "__t", lambda x, y: x.isNull() != y.isNull()), lambda x: x)
+    most = F.array_min(F.zip_with("__s", "__t", lambda x, y: x + y))
+    # A little more than the bound, as sums of doubles are rounded.
+    bounds = saved(ends.where(~apart).select("source", "target", "__t", (most * (1 + 1e-9)).alias("most")), "bounds")
+    state = saved(bounds.select("source", "target", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")), "paths")
+    while not state.where("fresh").isEmpty():
+        there = state.where("node = target").select("source", "target", (F.col("distance") * (1 + 1e-9)).alias("there"))
+        limits = bounds.join(there, ["source", "target"], "left").select("source", "target", "__t", F.least("most", "there").alias("limit"))
+        front = state.where("fresh AND node <> target").join(both, F.col("node") == F.col("src"))
+        reached = front.select("source", "target", F.col("dst").alias("node"), (F.col("distance") + F.col("weight_m")).alias("distance"))
+        reached = reached.groupBy("source", "target", "node").agg(F.min("distance").alias("distance"))
+        reached = reached.join(far, "node").join(limits, ["source", "target"])
+        fine = F.col("limit").isNull() | (F.col("distance") + _least(F.col("far"), F.col("__t")) * (1 - 1e-9) <= F.col("limit"))
+        reached = reached.where(fine).select("source", "target", "node", "distance", F.lit(None).cast("double").alias("old"))
+        known = state.select("source", "target", "node", "distance", F.col("distance").alias("old"))
+        best = known.union(reached).groupBy("source", "target", "node").agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
+        older, state = state, saved(best.select("source", "target", "node", "distance", (F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("fresh")), "paths")
+        release(older)
+    release(both, far, bounds)
+    return state.drop("fresh")
+
+
+def pair_paths(edges: DataFrame, pairs: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
+    """(source, target, distance) of the pairs that a path connects, over undirected edges (src, dst, weight_m)."""
+    return explored(edges, pairs, landmarks).where("node = target").select("source", "target", "distance")

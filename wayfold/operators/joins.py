@@ -1,8 +1,8 @@
 """Joins by time, interval, distance and shape.
 
 None plans a nested loop: as-of joins are a union and two windows, range joins are equi-joins on
-buckets with the range as a residual, radius joins meet in grid cells, and points meet only the
-edges of their own line.
+buckets with the range as a residual, radius joins meet in grid cells, and points meet only near
+edges of their own line (see ``nearest``).
 """
 
 from __future__ import annotations
@@ -12,12 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.geo import DEGREE_M, EARTH_RADIUS_M, haversine, project_on_segment
+from wayfold.functions.geo import DEGREE_M, EARTH_RADIUS_M, haversine
+from wayfold.operators.nearest import project_on_lines  # noqa: F401
 from wayfold.operators.sequences import best_row, micros
+from wayfold.sources.shared import saved
 
 Names = Sequence[str]
 
 
+def _neighbours(w: Window, ts: str) -> tuple[Column, Column]:
+    """The right row before each row of a union, and the one after it.
+
+    Both are running values: one that looked ahead to the end of its key would be computed anew for each row.
+    """
+    so_far = lambda *order: F.last("__r", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    down = lambda c: F.col(c).desc()
+    return so_far(ts, down("__side"), "__id"), so_far(down(ts), down("__side"), down("__id"))
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Names, ts: str, left_id: str, right_id: str, columns: Names, tolerance_s: float | None = None) -> DataFrame:
     """The row of ``right`` nearest in time to each row of ``left``.
 
@@ -29,10 +41,43 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Names, ts: str, left_i
     a = left.withColumn("__side", F.lit(0)).withColumn("__id", F.col(left_id).cast("long")).withColumn("__r", F.lit(None).cast(kind))
     b = right.select(*keys, ts, F.lit(1).alias("__side"), F.col(right_id).cast("long").alias("__id"), taken.alias("__r"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    back = F.last("__r", ignorenulls=True).over(w.orderBy(ts, F.col("__side").desc(), "__id").rowsBetween(Window.unboundedPreceding, 0))
-    forth = F.first("__r", ignorenulls=True).over(w.orderBy(ts, "__side", "__id").rowsBetween(0, Window.unboundedFollowing))
+    back, forth = _neighbours(Window.partitionBy(*keys), ts)
     both = both.withColumn("__back", back).withColumn("__forth", forth).where("__side = 0")
+    return _nearer(both, left.columns, ts, columns, tolerance_s)
+
+
+def asof_nearest_split(left: DataFrame, right: DataFrame, keys: Names, ts: str, left_id: str, right_id: str, columns: Names, tolerance_s: float | None = None, ranges: int | None = None) -> DataFrame:
+    """J2, J3 as :func:`asof_nearest`, for keys whose rows one task can't hold.
+
+    Both sides are dealt by ranges of key and time, so that a long log lies in several.  Within a range the windows are those of
+    one task; what lies before and after it is carried over from the ranges' last and first rows, one of each for a key and a range.
+    Rows without a time match nothing.
+    """
+    taken = F.struct(F.col(ts).alias("t"), *[F.col(c) for c in columns])
+    kind = right.select(taken.alias("r")).schema["r"].dataType.simpleString()
+    a = left.withColumn("__side", F.lit(0)).withColumn("__id", F.col(left_id).cast("long")).withColumn("__r", F.lit(None).cast(kind))
+    b = right.where(F.col(ts).isNotNull()).select(*keys, ts, F.lit(1).alias("__side"), F.col(right_id).cast("long").alias("__id"), taken.alias("__r"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    by = [*keys, ts]
+    dealt = both.repartitionByRange(*by) if ranges is None else both.repartitionByRange(ranges, *by)  # equal times stay together
+    rows = saved(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    own = [*keys, "__range"]
+    first_of, last_of = F.struct(ts, "__id"), F.struct(ts, "__id")
+    ends = rows.where("__side = 1").groupBy(*own).agg(F.max_by("__r", last_of).alias("__last"), F.min_by("__r", first_of).alias("__first"))
+    # Every range of a key that has rows gets what the nearest ranges with a right row carry.
+    met = rows.select(*own).distinct().join(ends, own, "left")
+    carry = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  a row for each range
+    carry_back, carry_forth = carry("__last", F.col("__range")), carry("__first", F.col("__range").desc())
+    carried = met.select(*own, carry_back.alias("__from"), carry_forth.alias("__to"))
+    back, forth = _neighbours(Window.partitionBy(*own), ts)
+    found = rows.withColumn("__b", back).withColumn("__f", forth).where("__side = 0").join(carried, own, "left")
+    timed = F.col(ts).isNotNull()
+    found = found.withColumn("__back", F.when(timed, F.coalesce("__b", "__from"))).withColumn("__forth", F.when(timed, F.coalesce("__f", "__to")))
+    return _nearer(found, left.columns, ts, columns, tolerance_s)
+
+
+def _nearer(both: DataFrame, left_columns: Names, ts: str, columns: Names, tolerance_s: float | None) -> DataFrame:
+    """Of the row before (__back) and the one after (__forth) the nearer one, with delta_s."""
     before = (micros(F.col(ts)) - micros(F.col("__back.t"))) / 1e6
     after = (micros(F.col("__forth.t")) - micros(F.col(ts))) / 1e6
     both = both.withColumn("__before", before).withColumn("__after", after)
@@ -42,9 +87,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Names, ts: str, left_i
     if tolerance_s is not None:
         fine = F.col("delta_s") <= tolerance_s
         both = both.withColumn("__hit", F.when(fine, F.col("__hit"))).withColumn("delta_s", F.when(fine, F.col("delta_s")))
-    clash = set(left.columns)
-    got = [F.col(f"__hit.{c}").alias(f"right_{c}" if c in clash else c) for c in columns]
-    return both.select(*left.columns, *got, "delta_s")
+    got = [F.col(f"__hit.{c}").alias(f"right_{c}" if c in left_columns else c) for c in columns]
+    return both.select(*left_columns, *got, "delta_s")
 
 
 def _buckets(first: Column, last: Column, width: int) -> Column:
@@ -147,23 +191,6 @@ def edges(vertices: DataFrame, keys: Names, pos: str, x: str, y: str) -> DataFra
     return e.withColumn("cum_m", F.coalesce(F.sum("edge_m").over(before), F.lit(0.0)))
 
 
-def project_on_lines(points: DataFrame, line_edges: DataFrame, keys: Names, point_id: str, x: str, y: str) -> DataFrame:
-    """Each point's nearest place on the line of its key: distance_m, chainage_m and edge.
-
-    The first edge wins ties.
-    """
-    whole = F.array_sort(F.collect_list(F.struct("edge", "cum_m", "ax", "ay", "bx", "by")))
-    lines = line_edges.groupBy(*keys).agg(whole.alias("__edges"))
-
-    def on(e: Column) -> Column:
-        at = project_on_segment(F.col(x), F.col(y), e["ax"], e["ay"], e["bx"], e["by"])
-        return F.struct(at["distance"].alias("distance_m"), e["edge"].alias("edge"), (e["cum_m"] + at["offset"]).alias("chainage_m"))
-
-    # A line is a value, so a point meets it once, and only the nearest edge leaves the expression.
-    met = points.join(lines, list(keys)).withColumn("__best", F.array_min(F.transform("__edges", on)))
-    return met.select(*keys, point_id, "__best.distance_m", "__best.chainage_m", "__best.edge")
-
-
 def at_chainage(line_edges: DataFrame, wanted: DataFrame, keys: Names, chainage: str) -> DataFrame:
     """the place at a distance along a line; beyond its ends, the ends."""
     total = F.max(F.col("cum_m") + F.col("edge_m")).over(Window.partitionBy(*keys))

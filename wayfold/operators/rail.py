@@ -12,7 +12,7 @@ from wayfold.functions.geo import EARTH_RADIUS_M, box_distance
 from wayfold.functions.parse import gtfs_type, is_rail, to_number, travel_mode, type_fits_mode
 from wayfold.operators import joins as J
 from wayfold.operators import polylines as L
-from wayfold.operators.graph import shortest_paths
+from wayfold.operators.graph import pair_paths
 from wayfold.operators.sequences import best_row
 from wayfold.sources.shared import saved
 
@@ -21,6 +21,7 @@ Names = Sequence[str]
 # How near shapes must be, in metres: ends, mean, cap of a point's share, shortlist.
 WHOLE = {"ends_m": 900.0, "mean_m": 700.0, "point_m": 1200.0, "shortlist": 180}
 PIECE = {"ends_m": 1800.0, "mean_m": 1400.0, "point_m": 2200.0, "shortlist": 300}
+RAIL_MODES = ("IN_TRAIN", "IN_SUBWAY", "IN_TRAM")
 BOX_FACTOR, CORRIDOR_M, BACK_M = 4.0, 1500.0, 60.0
 # End of fixed values.
 
@@ -105,12 +106,39 @@ def matched_pieces(pieces: DataFrame, shapes: DataFrame, keys: Names) -> DataFra
     return strict.unionByName(relaxed)
 
 
+def rail_baselines(paths: DataFrame, shapes: DataFrame, keys: Names) -> DataFrame:
+    """The paths of :func:`routes.baseline_paths`, those of trains without a known route along rail shapes.
+
+    The shape that fits the whole trip is taken; else each pair of neighbouring points goes along the shape that fits it, or
+    straight, and ``method`` names all ways that the pieces went.  Other paths stay as they are.
+    """
+    own = F.upper("mode").isin(*RAIL_MODES) & (F.col("method") == "timeline_polyline_no_route_match") & (F.size("points") >= 2)
+    rail = saved(paths.where(own).select(*keys, "mode", L.places(F.col("points")).alias("points")), "rail")
+    whole = matched_shapes(rail, shapes, keys, True, **WHOLE).select(*keys, "places", "method")
+    whole = saved(whole.withColumn("metres", L.length(L.measured(F.col("places")))), "whole")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.slice("points", i + 1, 2))
+    pieces = rail.join(whole.select(*keys), list(keys), "left_anti").select(*keys, "mode", F.posexplode(pairs).alias("__piece", "points"))
+    found = matched_pieces(pieces, shapes, [*keys, "__piece"]).select(*keys, "__piece", "places", "method")
+    straight = L.at_least_two(L.thinned(F.col("points"), 0.05))
+    pieces = pieces.join(found, [*keys, "__piece"], "left")
+    pieces = pieces.withColumn("places", F.coalesce("places", straight)).withColumn("method", F.coalesce("method", F.lit("direct_polyline")))
+    pieces = pieces.withColumn("metres", L.length(L.measured(F.col("places"))))
+    ordered = F.array_sort(F.collect_list(F.struct("__piece", "places")))
+    joined = F.flatten(F.transform(ordered, lambda p: F.when(p["__piece"] == 0, p["places"]).otherwise(F.slice(p["places"], F.lit(2), F.size(p["places"])))))
+    parts = pieces.groupBy(*keys).agg(joined.alias("places"), F.array_join(F.array_sort(F.collect_set("method")), "+").alias("method"), F.sum("metres").alias("metres"))
+    new = whole.unionByName(parts).select(*keys, F.col("places").alias("__places"), F.col("method").alias("__method"), F.col("metres").alias("__metres"))
+    out = paths.join(new, list(keys), "left")
+    moved = F.col("__places").isNotNull()
+    fresh = {"line": L.measured(F.col("__places")), "method": F.col("__method"), "distance_m": F.col("__metres")}
+    return out.select(*[F.when(moved, fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in paths.columns])
+
+
 def snapped_to_corridors(track: DataFrame, shapes: DataFrame, row: str) -> DataFrame:
     """Positions on rail whose method is direct move to the shape with the nearest box, if it is within 1500 m.
 
     Adjusts lat, lon, position_source, path_method, confidence_label and confidence_score.
     """
-    direct = F.upper("mode").isin("IN_TRAIN", "IN_SUBWAY", "IN_TRAM") & F.col("path_method").contains("direct")
+    direct = F.upper("mode").isin(*RAIL_MODES) & F.col("path_method").contains("direct")
     near = near_boxes(track.where(direct).select(F.col(row).alias("__id"), "lat", "lon"), shapes, "lat", "lon", CORRIDOR_M * BOX_FACTOR)
     best = best_row(near, ["__id"], ["box_m", "shape_id"]).withColumn("__on", L.projected(F.col("line"), F.col("lat"), F.col("lon"))).where(F.col("__on.distance_m") <= CORRIDOR_M)
     rows = track.join(best.select("__id", "__on"), track[row] == F.col("__id"), "left")
@@ -143,8 +171,8 @@ def station_paths(trips: DataFrame, stations: DataFrame, edges: DataFrame, mode:
         near = J.nearest_k(points, reach, "__id", "station", "__lat", "__lon", "s_lat", "s_lon", most, within_m)
         sides.append(near.select("__id", F.col("station").alias(f"{side}_station"), F.col("distance_m").alias(f"__{side}_m")))
     pairs = sides[0].join(sides[1], "__id").where("start_station <> end_station")  # most * most for each trip
-    paths = shortest_paths(fit, pairs.select(F.col("start_station").alias("source")).distinct())
-    met = pairs.join(paths, (pairs["start_station"] == paths["source"]) & (pairs["end_station"] == paths["node"]))
+    paths = pair_paths(fit, pairs.select(F.col("start_station").alias("source"), F.col("end_station").alias("target")))
+    met = pairs.join(paths, (pairs["start_station"] == paths["source"]) & (pairs["end_station"] == paths["target"]))
     met = met.withColumn("cost_m", F.col("__start_m") + F.col("distance") + F.col("__end_m")).withColumn("station_path_m", F.col("distance"))
     best = best_row(met, ["__id"], ["cost_m", "start_station", "end_station"])
     return best.select("__id.*", "start_station", "end_station", "station_path_m", "cost_m")

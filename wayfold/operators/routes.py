@@ -11,7 +11,7 @@ from wayfold.functions.geo import haversine
 from wayfold.functions.parse import classes_of_mode, finite, lat_lng, mode_of_class, mode_speed, route_class, route_mode, to_number, travel_mode
 from wayfold.operators import joins as J
 from wayfold.operators import polylines as L
-from wayfold.operators.sequences import best_row, micros, over, table_rank
+from wayfold.operators.sequences import best_row, micros, over, table_rank, with_extremes
 from wayfold.sources.tables import utc_time
 
 Names = Sequence[str]
@@ -120,12 +120,12 @@ def segments(timeline: DataFrame, row: str) -> DataFrame:
 def day_hints(trips: DataFrame, start: str, kind: Column, keys: Names = ()) -> DataFrame:
     """to_uni for trips that start nearer to the first than to the last of their local day and kind, else from_uni;
     those that all start at once go by the hour.  Adds route_class_hint, null without a kind."""
-    rows = trips.withColumn("__kind", kind).withColumn("__local", local(F.col(start))).withColumn("__t", micros(F.col(start)))
-    w = Window.partitionBy(*keys, F.to_date("__local"), "__kind")
-    first, last = F.min("__t").over(w), F.max("__t").over(w)
-    to = F.when(first == last, F.hour("__local") < 14).otherwise(F.col("__t") - first <= last - F.col("__t"))
+    by = {**{k: F.col(k) for k in keys}, "day": F.to_date(local(F.col(start))), "kind": kind}
+    rows = with_extremes(trips.withColumn("__kind", kind), by, micros(F.col(start)))
+    first, last, t = F.col("__first"), F.col("__last"), F.col("__t")
+    to = F.when(first == last, F.hour(local(F.col(start))) < 14).otherwise(t - first <= last - t)
     hint = F.concat(F.when(to, "to_uni_").otherwise("from_uni_"), F.col("__kind"))
-    return rows.withColumn("route_class_hint", F.when(F.col("__t").isNotNull(), hint)).drop("__kind", "__local", "__t")
+    return rows.withColumn("route_class_hint", F.when(t.isNotNull(), hint)).drop("__kind", "__t", "__first", "__last", "__count")
 
 
 def duration_hints(trips: DataFrame, start: str, end: str, kind: str = "bike", keys: Names = ()) -> DataFrame:
@@ -133,12 +133,11 @@ def duration_hints(trips: DataFrame, start: str, end: str, kind: str = "bike", k
     between the first and the last are to_uni, the others from_uni.  Adds route_class_hint, null for the others."""
     t, minutes = micros(F.col(start)), (micros(F.col(end)) - micros(F.col(start))) / 60e6
     fits = F.coalesce(minutes.between(*COMMUTE_MINUTES), F.lit(False))
-    rows = trips.withColumn("__fits", fits).withColumn("__t", F.when(fits, t))
-    w = Window.partitionBy(*keys, F.to_date(local(F.col(start))), "__fits")
-    first, last = F.min("__t").over(w), F.max("__t").over(w)
-    early = F.when(F.col("__t") * 2 <= first + last, "to_uni_").otherwise("from_uni_")
-    hint = F.when(F.col("__fits") & (F.count(F.lit(1)).over(w) >= 2), F.concat(early, F.lit(kind if kind in ("bike", "opnv") else "bike")))
-    return rows.withColumn("route_class_hint", hint).drop("__fits", "__t")
+    by = {**{k: F.col(k) for k in keys}, "day": F.to_date(local(F.col(start)))}
+    rows = with_extremes(trips.withColumn("__fits", fits), by, F.when(F.col("__fits"), t), F.col("__fits"))
+    early = F.when(F.col("__t") * 2 <= F.col("__first") + F.col("__last"), "to_uni_").otherwise("from_uni_")
+    hint = F.when(F.col("__fits") & (F.col("__count") >= 2), F.concat(early, F.lit(kind if kind in ("bike", "opnv") else "bike")))
+    return rows.withColumn("route_class_hint", hint).drop("__fits", "__t", "__first", "__last", "__count")
 
 
 def commutes(rows: DataFrame, keys: Names, ts: str, temperature: str, order: Names) -> DataFrame:
@@ -155,9 +154,8 @@ def commutes(rows: DataFrame, keys: Names, ts: str, temperature: str, order: Nam
     spans = rows.groupBy(*keys).agg(F.min(ts).alias("trip_start"), F.max(ts).alias("trip_end"))
     minutes = (micros(F.col("trip_end")) - micros(F.col("trip_start"))) / 60e6
     fits = spans.where((F.col("trip_end") > F.col("trip_start")) & minutes.between(*COMMUTE_MINUTES)).join(jumps, list(keys), "left")
-    day = Window.partitionBy(F.to_date(local(F.col("trip_start"))))
-    t = micros(F.col("trip_start"))
-    early = F.when(F.count(F.lit(1)).over(day) >= 2, t * 2 <= F.min(t).over(day) + F.max(t).over(day)).otherwise(F.hour(local(F.col("trip_start"))) < 14)
+    fits = with_extremes(fits, {"day": F.to_date(local(F.col("trip_start")))}, micros(F.col("trip_start")))
+    early = F.when(F.col("__count") >= 2, F.col("__t") * 2 <= F.col("__first") + F.col("__last")).otherwise(F.hour(local(F.col("trip_start"))) < 14)
     kind = F.when(F.coalesce("temp_jump", F.lit(False)), "opnv").otherwise("bike")
     out = fits.withColumn("route_class_key", F.concat(F.when(early, "to_uni_").otherwise("from_uni_"), kind))
     return out.select(*keys, "trip_start", "trip_end", "route_class_key")
@@ -367,13 +365,91 @@ def grid(start: Column, end: Column, every_s: int = 5) -> Column:
     return F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda g: g * every_s)
 
 
-def interpolated_track(anchors: DataFrame, paths: DataFrame, keys: Names, every_s: int = 5, profiles: DataFrame | None = None) -> DataFrame:
+def _total(xs: Column, field: str) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x[field])
+
+
+def interval_schedule(profile: Column, baseline_m: Column, start_m: Column, end_m: Column, path_m: Column, mode: Column, duration_s: Column) -> Column:
+    """F9, F10 as a value: parts (metres, move_s, dwell_s) of an interval, with move_s, dwell_s and slack_s; null without parts.
+
+    ``profile`` has a route's spans in order (mode, start_rel, end_rel); the rules are those of :func:`clipped_spans` and
+    :func:`scheduled`.
+    """
+
+    def clipped(v: Column) -> Column:
+        low, high, line, tol = v["low"], v["high"], v["line_m"], v["line_m"] * 1e-6
+
+        def part(s: Column) -> Column:
+            first, last = s["start_rel"] * line, s["end_rel"] * line
+            until = F.least(last, high)
+            ended = F.coalesce(route_mode(s["mode"]) == "walk", F.lit(False)) & (F.abs(last - until) <= tol) & (last < high - tol) & ~(F.abs(last - line) <= tol)
+            metres = F.greatest(F.lit(0.0), (until - F.greatest(first, low)) * v["path_m"] / (high - low))
+            speed = F.greatest(label_speed(s["mode"], v["mode"]), F.lit(0.1))
+            return F.struct(metres.alias("metres"), speed.alias("speed"), F.when(ended, WALK_DWELL_S).otherwise(0.0).alias("wait_s"))
+
+        there = F.filter(v["profile"], lambda s: (s["end_rel"] > s["start_rel"]) & (F.least(s["end_rel"] * line, high) > F.greatest(s["start_rel"] * line, low)))
+        return F.struct(F.when((v["path_m"] > 0) & (line > 0) & (high > low), F.transform(there, part)).alias("parts"), v["dt"].alias("dt"))
+
+    def needed(v: Column) -> Column:
+        parts = F.transform(v["parts"], lambda p: F.struct(p["metres"].alias("metres"), (p["metres"] / p["speed"]).alias("need_s"), p["wait_s"].alias("wait_s")))
+        return L.bound(parts, lambda x: F.struct(x.alias("parts"), _total(x, "need_s").alias("move"), _total(x, "wait_s").alias("wait"), v["dt"].alias("dt")))
+
+    def fitted(v: Column) -> Column:
+        enough, some = v["dt"] >= v["move"] + v["wait"], v["dt"] > v["wait"]
+        faster = F.when(enough, 1.0).when(some, (v["dt"] - v["wait"]) / F.greatest(v["move"], F.lit(1e-9))).otherwise(0.0)
+        shorter = F.when(enough | some, 1.0).when(v["wait"] > 0, v["dt"] / F.greatest(v["wait"], F.lit(1e-9))).otherwise(0.0)
+        slack = F.when(enough, v["dt"] - v["move"] - v["wait"]).otherwise(0.0)
+        return F.struct(v["parts"].alias("parts"), faster.alias("faster"), shorter.alias("shorter"), slack.alias("slack"))
+
+    def timed(v: Column) -> Column:
+        parts = F.transform(v["parts"], lambda p: F.struct(p["metres"].alias("metres"), F.greatest(p["need_s"] * v["faster"], F.lit(0.0)).alias("move_s"), F.greatest(p["wait_s"] * v["shorter"], F.lit(0.0)).alias("dwell_s")))
+        return L.bound(parts, lambda x: F.struct(x.alias("parts"), _total(x, "move_s").alias("move_s"), _total(x, "dwell_s").alias("dwell_s"), v["slack"].alias("slack_s")))
+
+    given = F.struct(F.least(start_m, end_m).alias("low"), F.greatest(start_m, end_m).alias("high"), baseline_m.alias("line_m"), path_m.alias("path_m"), mode.alias("mode"), duration_s.cast("double").alias("dt"), profile.alias("profile"))
+    found = L.bound(given, clipped)
+    return L.bound(found, lambda v: F.when(F.size(v["parts"]) > 0, L.bound(L.bound(L.bound(v, needed), fitted), timed)))
+
+
+def distance_on_parts(elapsed: Column, duration: Column, path_m: Column, schedule: Column) -> Column:
+    """F8 as a fold over the parts of :func:`interval_schedule`; half of the slack is at either end."""
+    half = schedule["slack_s"] / 2
+    state = F.struct(F.greatest(F.lit(0.0), elapsed - half).alias("clock"), F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("found"))
+
+    def step(acc: Column, p: Column) -> Column:
+        moves = p["move_s"] > 0
+        after = F.when(moves, acc["clock"] - p["move_s"]).otherwise(acc["clock"])
+        there = F.when(moves, acc["at"] + p["metres"]).otherwise(acc["at"])
+        found = F.when(moves & (acc["clock"] <= p["move_s"]), acc["at"] + p["metres"] * acc["clock"] / p["move_s"]).when((p["dwell_s"] > 0) & (after <= p["dwell_s"]), there)
+        return F.when(acc["found"].isNotNull(), acc).otherwise(F.struct((after - p["dwell_s"]).alias("clock"), there.alias("at"), found.alias("found")))
+
+    moved = F.aggregate(schedule["parts"], state, step, lambda acc: acc["found"])
+    out = F.when((path_m <= 0) | (duration <= 0) | (elapsed <= half), 0.0).when(elapsed >= duration - half, path_m)
+    return out.otherwise(F.coalesce(moved, path_m))
+
+
+def with_profiles(paths: DataFrame, spans: DataFrame, route: Names) -> DataFrame:
+    """The spans of each path's route (mode, start_rel and end_rel, by seq) as a value, ``profile``; null without any."""
+    own = F.array_sort(F.collect_list(F.struct("seq", "mode", "start_rel", "end_rel")))
+    bare = F.transform(own, lambda s: F.struct(s["mode"].alias("mode"), s["start_rel"].alias("start_rel"), s["end_rel"].alias("end_rel")))
+    return paths.join(spans.groupBy(*route).agg(bare.alias("profile")), list(route), "left")
+
+
+def interpolated_track(anchors: DataFrame, paths: DataFrame, keys: Names, every_s: int = 5, profiles: DataFrame | None = None, route: Names = ("route_class",), stand_mps: float | Column | None = None) -> DataFrame:
     """C4: positions on the regular grid between neighbouring anchors of a trip, along the trip's path.
 
     Anchors have t, chainage_m, lat, lon, source, fix_id, reason and speed_mps; paths have line, mode, method and, for
-    stops, hotspots and dwell_s.  Between two anchors the path is the stretch between their chainages, walked at the interval's
-    speed with 1.2 times its time, slack at both ends and stops in between.
+    stops, hotspots and dwell_s.  Between two anchors the path is the stretch between their chainages.  Where the path's route has
+    spans of modes in ``profiles`` (see :func:`with_profiles`) that reach into it, it is walked by their schedule; else at the
+    interval's speed (of anchors over ``stand_mps``, see :func:`interval_speed`) with 1.2 times its time, slack at both ends and stops
+    in between.  ``correction_used`` goes on from the paths' column of that name, if there is one.
     """
+    if profiles is not None:
+        paths = with_profiles(paths, profiles, route)
+    elif "profile" not in paths.columns:
+        paths = paths.withColumn("profile", F.lit(None).cast("array<struct<mode:string,start_rel:double,end_rel:double>>"))
+    correction = F.coalesce("correction_used", F.lit("")) if "correction_used" in paths.columns else F.lit("")
+    paths = paths.withColumn("correction_used", correction)
+    stand = F.lit(float(stand_mps)) if isinstance(stand_mps, (int, float)) else stand_mps
     w = over(keys, ["t"])
     a = anchors.withColumn("__next", F.lead(F.struct(*[F.col(c) for c in ("t", "chainage_m", "source", "fix_id", "reason", "speed_mps")])).over(w)).where("__next IS NOT NULL")
     a = a.withColumn("subsegment_id", F.row_number().over(w).cast("long") - 1).join(paths, list(keys))
@@ -381,16 +457,30 @@ def interpolated_track(anchors: DataFrame, paths: DataFrame, keys: Names, every_
     turned = L.bound(forward, lambda p: F.when(F.col("__next.chainage_m") < F.col("chainage_m"), F.reverse(p)).otherwise(p))
     a = a.withColumn("__path", L.measured(turned))
     a = a.withColumn("path_length_m", L.length(F.col("__path"))).withColumn("__s", micros(F.col("t"))).withColumn("__e", micros(F.col("__next.t")))
-    a = a.withColumn("observed_duration_s", (F.col("__e") - F.col("__s")) / 1e6).withColumn("__speed", interval_speed(F.col("mode"), F.array(F.col("speed_mps"), F.col("__next.speed_mps"))))
-    a = a.withColumn("expected_move_duration_s", F.when(F.col("path_length_m") > 0, F.col("path_length_m") / F.greatest(F.col("__speed.speed"), F.lit(0.1))).otherwise(0.0))
+    a = a.withColumn("observed_duration_s", (F.col("__e") - F.col("__s")) / 1e6).withColumn("__speed", interval_speed(F.col("mode"), F.array(F.col("speed_mps"), F.col("__next.speed_mps")), stand))
+    a = a.withColumn("__modes", interval_schedule(F.col("profile"), L.length(F.col("line")), F.col("chainage_m"), F.col("__next.chainage_m"), F.col("path_length_m"), F.col("mode"), F.col("observed_duration_s")))
+    by_mode = F.col("__modes").isNotNull()
+    plain_move = F.when(F.col("path_length_m") > 0, F.col("path_length_m") / F.greatest(F.col("__speed.speed"), F.lit(0.1))).otherwise(0.0)
+    a = a.withColumn("expected_move_duration_s", F.when(by_mode, F.col("__modes.move_s")).otherwise(plain_move))
     moving = F.when(F.col("observed_duration_s") > 0, F.least("observed_duration_s", F.col("expected_move_duration_s") * SPEED_FACTOR)).otherwise(0.0)
     a = a.withColumn("__moving", moving).withColumn("__slack", F.greatest(F.lit(0.0), F.col("observed_duration_s") - F.col("__moving")))
-    a = a.withColumn("__plan", dwell_plan(F.col("hotspots"), F.col("dwell_s"), L.length(F.col("line")), F.col("chainage_m"), F.col("__next.chainage_m"), F.col("path_length_m"), F.col("__slack")))
-    a = a.withColumn("intersection_dwell_s", F.coalesce("__plan.total_s", F.lit(0.0))).withColumn("slack_duration_s", F.greatest(F.lit(0.0), F.col("__slack") - F.col("intersection_dwell_s")))
-    a = a.withColumn("path_method", F.when(F.col("__plan").isNotNull(), F.concat("method", F.lit("::intersection_dwell"))).otherwise(F.col("method")))
+    plan = dwell_plan(F.col("hotspots"), F.col("dwell_s"), L.length(F.col("line")), F.col("chainage_m"), F.col("__next.chainage_m"), F.col("path_length_m"), F.col("__slack"))
+    a = a.withColumn("__plan", F.when(~by_mode, plan))
+    a = a.withColumn("intersection_dwell_s", F.coalesce("__modes.dwell_s", "__plan.total_s", F.lit(0.0)))
+    a = a.withColumn("slack_duration_s", F.coalesce("__modes.slack_s", F.greatest(F.lit(0.0), F.col("__slack") - F.col("intersection_dwell_s"))))
+    mode_speed_mps = F.when(F.col("__modes.move_s") > 0, F.col("path_length_m") / F.greatest("__modes.move_s", F.lit(1e-9))).otherwise(0.0)
+    a = a.withColumn("speed_basis_mps", F.when(by_mode, mode_speed_mps).otherwise(F.col("__speed.speed")))
+    stops = F.col("__plan").isNotNull()
+    told = lambda c, mode, stop: F.when(by_mode, F.concat(c, F.lit(mode))).when(stops, F.concat(c, F.lit(stop))).otherwise(c)
+    a = a.withColumn("speed_basis_source", told(F.when(by_mode, "opnv_mode_profile").otherwise(F.col("__speed.source")), "+walk_dwell_120s", "+training_intersection_profile"))
+    a = a.withColumn("path_method", told(F.col("method"), "::mode_profile", "::intersection_dwell"))
+    mark = F.when(by_mode, "opnv_mode_profile").when(stops, "training_intersection_model")
+    known_mark = mark.isNull() | F.contains("correction_used", mark)
+    a = a.withColumn("correction_used", F.when(known_mark, F.col("correction_used")).when(F.col("correction_used") == "", mark).otherwise(F.concat_ws("+", "correction_used", mark)))
     rows = a.withColumn("grid_s", F.explode(grid(F.col("__s"), F.col("__e"), every_s)))
     elapsed = (F.col("grid_s") * 1_000_000 - F.col("__s")) / 1e6
-    rows = rows.withColumn("distance_here_m", distance_with_stops(elapsed, F.col("observed_duration_s"), F.col("path_length_m"), F.col("__moving"), F.col("slack_duration_s"), F.col("__plan")))
+    plain = distance_with_stops(elapsed, F.col("observed_duration_s"), F.col("path_length_m"), F.col("__moving"), F.col("slack_duration_s"), F.col("__plan"))
+    rows = rows.withColumn("distance_here_m", F.when(by_mode, distance_on_parts(elapsed, F.col("observed_duration_s"), F.col("path_length_m"), F.col("__modes"))).otherwise(plain))
     rows = rows.withColumn("__at", L.place_at(F.col("__path"), F.col("distance_here_m")))
     # A fix numbered 0 counts as one without a number, so its reason isn't looked up.
     known = lambda fix, reason: F.when(F.coalesce(fix, F.lit(0)) != 0, reason)
@@ -398,8 +488,8 @@ def interpolated_track(anchors: DataFrame, paths: DataFrame, keys: Names, every_
     rows = rows.withColumn("position_source", source).withColumn("__sure", confidence(F.col("position_source"), F.col("mode"), F.col("path_method")))
     return rows.select(
         *keys, "subsegment_id", F.timestamp_seconds("grid_s").alias("ts"), F.col("__at.lat").alias("lat"), F.col("__at.lon").alias("lon"), "mode",
-        F.col("source").alias("anchor_start_source"), F.col("__next.source").alias("anchor_end_source"), "path_method", "path_length_m", "observed_duration_s",
-        F.col("__speed.speed").alias("speed_basis_mps"), F.col("__speed.source").alias("speed_basis_source"), "expected_move_duration_s", "slack_duration_s",
+        F.col("source").alias("anchor_start_source"), F.col("__next.source").alias("anchor_end_source"), "path_method", "correction_used", "path_length_m", "observed_duration_s",
+        "speed_basis_mps", "speed_basis_source", "expected_move_duration_s", "slack_duration_s",
         "intersection_dwell_s", "distance_here_m", "position_source", F.col("__sure.label").alias("confidence_label"), F.col("__sure.score").alias("confidence_score"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import haversine
+from wayfold.functions.parse import finite
 from wayfold.sources.shared import saved
 
 Names = Sequence[str]
@@ -35,12 +36,37 @@ def gap_sessions(df: DataFrame, keys: Names, ts: str, order: Names, gap_s: float
     return df.withColumn("__fresh", fresh).withColumn(name, F.sum("__fresh").over(w).cast("long")).drop("__fresh")
 
 
+def same(a: DataFrame, b: DataFrame, columns: Names) -> Column:
+    """Whether two tables' rows agree in columns, nulls included."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[f"__{c}"])
+    return out
+
+
 def day_pass_ids(df: DataFrame, keys: Names, day: str, order: Names) -> DataFrame:
-    """The rank of the day among the sequence's days, and the row's number in its day."""
-    out = df.withColumn("pass_id", F.dense_rank().over(over(keys, [day])).cast("long"))
+    """The rank of the day among the sequence's days, and the row's number in its day.
+
+    Days are ranked apart, a row each, and joined back, so that no task holds all rows of a sequence.
+    """
+    named = [F.col(c).alias(f"__{c}") for c in (*keys, day)]
+    days = df.select(*named).distinct()
+    days = days.withColumn("pass_id", F.row_number().over(over([f"__{k}" for k in keys], [f"__{day}"])).cast("long"))
+    out = df.join(days, same(df, days, [*keys, day])).select(*df.columns, "pass_id")
     return out.withColumn("pass_row_index", F.row_number().over(over([*keys, day], order)).cast("long"))
 
 
+def with_extremes(df: DataFrame, keys: dict[str, Column], t: Column, counted: Column | None = None) -> DataFrame:
+    """The rows with the first and last ``t`` of those that share ``keys``, and how many are ``counted``: __first, __last, __count.
+
+    They are aggregated before they are shuffled and joined back, so that no task holds all rows of a key.
+    """
+    rows = df.withColumns({f"__by_{k}": c for k, c in keys.items()}).withColumn("__t", t)
+    names = [f"__by_{k}" for k in keys]
+    ends = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in names]).agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.count_if(F.lit(True) if counted is None else counted).alias("__count"))
+    return rows.join(ends, same(rows, ends, names)).select(*rows.columns, "__first", "__last", "__count").drop(*names)
+
+
 def steps(df: DataFrame, keys: Names, ts: str, lat: str, lon: str, order: Names, jump_m_s: float = 70.0) -> DataFrame:
     """Seconds, metres and speed since the row before, and whether that is a jump."""
     w = over(keys, order)
@@ -185,6 +211,13 @@ def greedy_thin(df: DataFrame, keys: Names, t: str, fields: Names, far: callable
     return whole.withColumn("__kept", kept).select(*keys, F.explode(F.transform("__kept", lambda i: F.get("__rows", i))).alias("__r")).select(*keys, "__r.*")
 
 
+def placed_routes(df: DataFrame, keys: Names, lat: str, lon: str, least: int = 2) -> DataFrame:
+    """Rows with a finite place, of sequences that have ``least`` of them."""
+    fine = df.where(finite(F.col(lat)).isNotNull() & finite(F.col(lon)).isNotNull())
+    enough = fine.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    return fine.join(enough, same(fine, enough, keys), "left_semi")
+
+
 def drop_detection(df: DataFrame, keys: Names, order: Names, value: str, least_drop: float, threshold: float, tolerance: float = 0.0) -> DataFrame:
     """The row (of those with a finite value) after the largest drop of at least ``least_drop``; else the first up to a
     threshold and its tolerance; null where there are fewer than two rows."""

@@ -72,3 +72,11 @@ SEG = "seg AS (SELECT o_custkey AS cust, o_orderkey AS seg_id, o_orderdate AS s,
 def hav(a, b, c, e) -> str:
     """Haversine in SQL."""
     return (f"(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2)))))")
+
+
+def chain(nx: str, levels: int = 17) -> str:
+    """SQL of ``reached`` (i): the rows that pointers (i, j) in ``nx`` lead to from row 1, by doubling them."""
+    out = [f"j0 AS MATERIALIZED (SELECT i, j FROM {nx} WHERE j IS NOT NULL), r0 AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS i)"]
+    for k in range(levels):
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT i FROM r{k} UNION SELECT j FROM r{k} JOIN j{k} USING (i)), j{k + 1} AS MATERIALIZED (SELECT a.i, b.j FROM j{k} a JOIN j{k} b ON a.j = b.i)")
+    return ", ".join([*out, f"reached AS (SELECT i FROM r{levels})"])

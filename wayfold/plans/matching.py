@@ -49,13 +49,19 @@ ASOF = f"""{TRK}, h AS (SELECT *, date_trunc('hour', ts) AS th FROM trk), l AS (
  j AS (SELECT b.log_id, b.fix_id, CASE WHEN db IS NOT NULL AND (df IS NULL OR db <= df) THEN db ELSE df END AS delta_s, CASE WHEN db IS NOT NULL AND (df IS NULL OR db <= df) THEN vb ELSE vf END AS rv FROM b JOIN f USING (log_id, fix_id))"""
 
 
-def _asof(spark, d, tolerance):
+def _asof(spark, d, tolerance, join=J.asof_nearest, **more):
     h = trk(spark, d).withColumn("th", F.date_trunc("hour", "ts").cast("timestamp_ntz")).select("log_id", "fix_id", "th", "v")
     left, right = h.where("fix_id % 2 = 0").select("log_id", "fix_id", "th"), h.where("fix_id % 2 = 1").withColumnRenamed("v", "rv")
-    out = J.asof_nearest(left, right, ["log_id"], "th", "fix_id", "fix_id", ["rv"], tolerance)
+    out = join(left, right, ["log_id"], "th", "fix_id", "fix_id", ["rv"], tolerance, **more)
     return out.select("log_id", "fix_id", F.round("delta_s", 3).alias("delta_s"), F.round("rv", 6).alias("rv"))
 
 
+@query(f"WITH {ASOF} SELECT log_id, fix_id, round(CASE WHEN delta_s <= 10800 THEN delta_s END, 3) AS delta_s, round(CASE WHEN delta_s <= 10800 THEN rv END, 6) AS rv FROM j")
+def asof_nearest_split(spark, d):
+    """Tolerance three hours, logs dealt over ranges of time."""
+    return _asof(spark, d, 10800.0, J.asof_nearest_split)
+
+
 @query(f"WITH {ASOF} SELECT log_id, fix_id, round(CASE WHEN delta_s <= 10800 THEN delta_s END, 3) AS delta_s, round(CASE WHEN delta_s <= 10800 THEN rv END, 6) AS rv FROM j")
 def asof_nearest_tol(spark, d):
     """Tolerance three hours."""
@@ -116,8 +122,8 @@ PROJ = f"""{PLANE}, e0 AS (SELECT log_id, pos AS edge, x AS ax, y AS ay, lead(x)
  e1 AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS edge_m FROM e0 WHERE bx IS NOT NULL), ed AS (SELECT *, coalesce(sum(edge_m) OVER (PARTITION BY log_id ORDER BY edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_m FROM e1)"""
 PROJECTED = f"""{PROJ}, {TRK}, q AS (SELECT log_id, fix_id, 63.0 * k AS px, 25.0 * (k % 7) - 60.0 AS py FROM trk),
  c AS (SELECT q.log_id, fix_id, edge, ax, ay, bx, by_, px, py, edge_m, cum_m, CASE WHEN pow(bx - ax, 2) + pow(by_ - ay, 2) <= 1e-12 THEN 0 ELSE least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) END AS t FROM q JOIN ed USING (log_id)),
- m AS (SELECT log_id, fix_id, edge, sqrt(pow(px - ax - t * (bx - ax), 2) + pow(py - ay - t * (by_ - ay), 2)) AS dist, cum_m + t * edge_m AS chain FROM c),
- pr AS (SELECT log_id, fix_id, dist, chain FROM (SELECT *, row_number() OVER (PARTITION BY log_id, fix_id ORDER BY dist, edge) AS rn FROM m) WHERE rn = 1)"""
+ m AS (SELECT log_id, fix_id, edge, sqrt(pow(px - ax - t * (bx - ax), 2) + pow(py - ay - t * (by_ - ay), 2)) AS dist, cum_m + t * edge_m AS chain, ax + t * (bx - ax) AS nx, ay + t * (by_ - ay) AS ny, px, py FROM c),
+ pr AS (SELECT log_id, fix_id, dist, chain, nx, ny, px, py FROM (SELECT *, row_number() OVER (PARTITION BY log_id, fix_id ORDER BY dist, edge) AS rn FROM m) WHERE rn = 1)"""
 
 
 def _edges(spark, d):
@@ -328,3 +334,12 @@ def crs_guess(spark, d):
     """By the quantile rule."""
     q = sig(spark, d).groupBy("log_id").agg(F.count_if(F.abs("v") > 0.05).alias("n"), F.percentile(F.abs("v"), F.lit(0.98)).alias("q98"))
     return q.select("log_id", "n", F.round("q98", 6).alias("q98"), F.when(F.col("q98") <= 0.3, "geographic").otherwise("projected").alias("crs"))
+
+
+@query(f"""WITH {TRK}, q AS (SELECT log_id, fix_id, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 7 = 1 THEN 'infinity'::DOUBLE ELSE 52.3 + k / 250.0::DOUBLE END AS lat, CASE WHEN log_id % 4 = 1 THEN 'nan'::DOUBLE ELSE 13.1 + k / 150.0::DOUBLE END AS lon FROM trk), f AS (SELECT *, count(*) OVER (PARTITION BY log_id) AS n FROM q WHERE isfinite(lat) AND isfinite(lon)) SELECT log_id, fix_id FROM f WHERE n >= 2""")
+def placed_routes(spark, d):
+    """Fixes with a finite place, of logs that have two or more."""
+    k = F.col("k")
+    lat = F.when(k % 3 == 0, F.lit(None).cast("double")).when(k % 7 == 1, F.lit(float("inf"))).otherwise(52.3 + k / 250.0)
+    t = trk(spark, d).withColumn("lat", lat).withColumn("lon", F.when(F.col("log_id") % 4 == 1, F.lit(float("nan"))).otherwise(13.1 + k / 150.0))
+    return S.placed_routes(t, ["log_id"], "lat", "lon").select("log_id", "fix_id")

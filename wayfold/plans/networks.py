@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import aggregates as A
+from wayfold.operators import graph as G
 from wayfold.operators import polylines as L
 from wayfold.operators import rail as R
 from wayfold.operators import stations as T
@@ -84,6 +85,18 @@ def _pieces(spark, d):
     return pts(spark, d).select("id", points.alias("points"), F.when(F.col("id") % 3 == 0, "IN_SUBWAY").when(F.col("id") % 3 == 1, "IN_TRAIN").otherwise("IN_BUS").alias("mode"))
 
 
+@query(f"""WITH {PIECES}, w AS MATERIALIZED (SELECT id, 'gtfs_rail_shape_' || sid AS method FROM ({_match_sql(900, 700, 1200, 180)} SELECT id, sid FROM sf)), p AS MATERIALIZED (SELECT * FROM ({_match_sql(1800, 1400, 2200, 300)} SELECT id, 'gtfs_rail_shape_' || sid || '::pairwise_mode' AS method FROM sf UNION ALL SELECT id, 'gtfs_rail_shape_' || sid || '::pairwise_relaxed' FROM rf))
+ SELECT pc.id, CASE WHEN mode = 'IN_BUS' THEN 'timeline_polyline_no_route_match' ELSE coalesce(w.method, p.method, 'direct_polyline') END AS method, round(CASE WHEN mode = 'IN_BUS' OR coalesce(w.method, p.method) IS NULL THEN {hav('y1', 'x1', 'y2', 'x2')} END, 3) AS straight_m FROM pc LEFT JOIN w ON w.id = pc.id LEFT JOIN p ON p.id = pc.id""")
+def rail_baselines(spark, d):
+    """Trains without a known route along the shape that fits the whole trip, or piece by piece."""
+    t = _pieces(spark, d)
+    line = L.measured(F.col("points"))
+    paths = t.withColumn("line", line).withColumn("distance_m", L.length(line)).withColumn("method", F.lit("timeline_polyline_no_route_match"))
+    out = R.rail_baselines(paths, _shapes(spark, d), ["id"])
+    straight = F.col("method").isin("timeline_polyline_no_route_match", "direct_polyline")
+    return out.select("id", "method", F.when(straight, F.round("distance_m", 3)).alias("straight_m"))
+
+
 @query(f"""WITH {SHAPES}, {PTS}, tk AS (SELECT id, lat AS y1, lon AS x1, CASE WHEN id % 4 = 0 THEN 'WALKING' ELSE 'in_tram' END AS mode, CASE WHEN id % 5 = 0 THEN 'osrm' ELSE 'direct_polyline' END AS pm, (id % 9) / 10.0::DOUBLE AS cs FROM pts), c AS (SELECT tk.*, sid, {_box('y1', 'x1')} AS b1 FROM tk CROSS JOIN sb WHERE id % 4 <> 0 AND id % 5 <> 0),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b1, sid) AS rk FROM c WHERE b1 <= 6000) WHERE rk = 1), {_projection('q.y1', 'q.x1', 'id', 'b', 'p')}, h AS (SELECT id, la0 + (ay + t * (by_ - ay)) / 111320 AS la, lo0 + (ax + t * (bx - ax)) / k AS lo FROM p WHERE dist <= 1500)
  SELECT tk.id, round(coalesce(la, y1), 6) AS lat, round(coalesce(lo, x1), 6) AS lon, CASE WHEN la IS NOT NULL THEN pm || '::corridor_snap' ELSE pm END AS path_method, CASE WHEN la IS NOT NULL THEN 'rail_corridor_snap' ELSE 'x' END AS position_source, CASE WHEN la IS NOT NULL THEN greatest(cs, 0.58) ELSE cs END AS confidence_score FROM tk LEFT JOIN h USING (id)""")
@@ -195,3 +208,19 @@ def map_round_trip(spark, d):
     u, m = geo.utm(F.col("lat"), F.col("lon"), 33), geo.web_mercator(F.col("lat"), F.col("lon"))
     a, b = geo.from_utm(*u, 33), geo.from_web_mercator(*m)
     return pts(spark, d).select("id", *[F.round(c, 6).alias(n) for c, n in zip((*a, *b), ("lat", "lon", "m_lat", "m_lon"), strict=True)])
+
+
+SUPPLY = """ed AS (SELECT 2 * c_custkey AS src, 2 * (1 + (c_custkey * m + c_custkey // 10) % (SELECT count(*) FROM supplier)) + 1 AS dst, 100.0::DOUBLE + (c_custkey * 31 * m + 7) % 900 AS w FROM customer, (VALUES (7), (13), (29)) v(m)),
+ bo AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM ed UNION ALL SELECT dst, src, w FROM ed) GROUP BY ALL), pr AS (SELECT 2 * min(c_custkey) AS source, 2 * max(c_custkey) AS target FROM customer GROUP BY c_nationkey)"""
+
+
+@query(f"""WITH RECURSIVE {SUPPLY}, pa AS (SELECT DISTINCT source, source AS node, 0.0::DOUBLE AS d, 0 AS hops FROM pr UNION ALL SELECT source, node, d, hops FROM (SELECT pa.source, bo.dst AS node, min(pa.d + bo.w) AS d, min(pa.hops) + 1 AS hops FROM pa JOIN bo ON pa.node = bo.src WHERE pa.hops < 16 GROUP BY pa.source, bo.dst))
+ SELECT pr.source, pr.target, round(min(d), 3) AS distance FROM pr JOIN pa ON pa.source = pr.source AND pa.node = pr.target GROUP BY ALL""")
+def pair_paths(spark, d):
+    """The shortest ways over suppliers between the first and the last customer of each nation."""
+    k, n = F.col("c_custkey"), table(spark, d, "supplier").count()
+    own = table(spark, d, "customer").select("c_custkey", "c_nationkey").withColumn("m", F.explode(F.array(F.lit(7), F.lit(13), F.lit(29))))
+    m = F.col("m")
+    edges = own.select((2 * k).alias("src"), (2 * (1 + (k * m + F.floor(k / 10)) % n) + 1).alias("dst"), (100.0 + (k * 31 * m + 7) % 900).alias("weight_m"))
+    pairs = own.groupBy("c_nationkey").agg((2 * F.min("c_custkey")).alias("source"), (2 * F.max("c_custkey")).alias("target"))
+    return G.pair_paths(edges, pairs).select("source", "target", F.round("distance", 3).alias("distance"))

@@ -156,9 +156,10 @@ def mode_schedule(spark, d):
     return s.select("k", "seq", "label", *[F.round(c, 6).alias(c) for c in ("distance_m", "move_time_s", "dwell_s", "starts_s", "slack_s")])
 
 
-@query(f"""WITH {SCHEDULE}, ti AS (SELECT iv.k, pm, dt, dt * i / 8 AS el FROM iv, range(9) r(i)), su2 AS (SELECT k, max(slack) AS slack FROM st GROUP BY k),
- mo AS (SELECT ti.k, el, sum(CASE WHEN mt > 0 THEN dist * greatest(0, least(1, (el - slack / 2 - starts) / mt)) ELSE 0 END) AS moved FROM ti JOIN st ON st.k = ti.k GROUP BY ti.k, el)
- SELECT ti.k, round(ti.el, 4) AS elapsed, round(CASE WHEN ti.el <= coalesce(slack, 0) / 2 THEN 0 WHEN ti.el >= dt - coalesce(slack, 0) / 2 THEN pm ELSE coalesce(moved, 0) END, 3) AS distance_here_m FROM ti LEFT JOIN su2 ON su2.k = ti.k LEFT JOIN mo ON mo.k = ti.k AND mo.el = ti.el""")
+@query(f"""WITH {SCHEDULE}, s8 AS MATERIALIZED (SELECT * FROM st), iv8 AS MATERIALIZED (SELECT k, pm, dt, unnest(range(9)) AS i FROM iv), g8 AS MATERIALIZED (
+ SELECT iv8.k, i, any_value(iv8.pm) AS pm, any_value(iv8.dt) AS dt, coalesce(max(slack), 0) AS slack, coalesce(sum(CASE WHEN mt > 0 THEN dist * greatest(0, least(1, (iv8.dt * i / 8 - slack / 2 - starts) / mt)) ELSE 0 END), 0) AS moved
+ FROM iv8 LEFT JOIN s8 ON s8.k = iv8.k GROUP BY iv8.k, i)
+ SELECT k, round(dt * i / 8, 4) AS elapsed, round(CASE WHEN dt * i / 8 <= slack / 2 THEN 0 WHEN dt * i / 8 >= dt - slack / 2 THEN pm ELSE moved END, 3) AS distance_here_m FROM g8""")
 def schedule_distance(spark, d):
     """F8: nine places on each schedule."""
     iv, s = _schedule(spark, d)
@@ -186,9 +187,11 @@ def stop_plan(spark, d):
     return _stops(spark, d).select("k", F.col("plan").isNotNull().alias("has_stops"), F.size("plan.distances").alias("n"), F.round("plan.each_s", 6).alias("each_s")).select("k", "has_stops", F.when(F.col("has_stops"), F.col("n")).otherwise(0).alias("n_stops"), "each_s")
 
 
-@query(f"""WITH {STOPS}, el AS (SELECT pn.*, (mv + slack) * i / 10 AS e, greatest(0, slack - CASE WHEN fine THEN total ELSE 0 END) AS sl FROM pn, range(11) r(i)), c0 AS (SELECT *, greatest(0, e - sl / 2) AS clock, pm / mv AS v FROM el),
- j AS (SELECT c0.k, c0.e, count(CASE WHEN fine AND ev.dm / v + total / c * ev.i < clock THEN 1 END) AS gone, min(CASE WHEN fine AND ev.dm / v + total / c * (ev.i - 1) <= clock AND ev.dm / v + total / c * ev.i >= clock THEN ev.dm END) AS here FROM c0 LEFT JOIN ev ON ev.k = c0.k GROUP BY c0.k, c0.e)
- SELECT c0.k, round(c0.e, 4) AS elapsed, round(CASE WHEN c0.e <= sl / 2 THEN 0 WHEN c0.e >= mv + slack - sl / 2 THEN pm ELSE coalesce(j.here, least(pm, v * (clock - gone * CASE WHEN fine THEN total / c ELSE 0 END))) END, 6) AS distance_m FROM c0 JOIN j ON j.k = c0.k AND j.e = c0.e""")
+@query(f"""WITH {STOPS}, p7 AS MATERIALIZED (SELECT k, pm, mv, slack, fine, CASE WHEN fine THEN total / c ELSE 0 END AS each, greatest(0, slack - CASE WHEN fine THEN total ELSE 0 END) AS sl, unnest(range(11)) AS i FROM pn),
+ c7 AS MATERIALIZED (SELECT *, (mv + slack) * i / 10 AS e, greatest(0, (mv + slack) * i / 10 - sl / 2) AS clock, pm / mv AS v FROM p7), e7 AS MATERIALIZED (SELECT k, dm, i AS nth FROM ev), g7 AS MATERIALIZED (
+ SELECT c7.k, c7.i, any_value(pm) AS pm, any_value(mv + slack) AS dt, any_value(sl) AS sl, any_value(e) AS e, any_value(v * clock) AS free, min(CASE WHEN fine THEN greatest(dm, v * (clock - each * nth)) END) AS held
+ FROM c7 LEFT JOIN e7 ON e7.k = c7.k GROUP BY c7.k, c7.i)
+ SELECT k, round(e, 4) AS elapsed, round(CASE WHEN e <= sl / 2 THEN 0 WHEN e >= dt - sl / 2 THEN pm ELSE least(pm, free, coalesce(held, free)) END, 6) AS distance_m FROM g7""")
 def stop_distance(spark, d):
     """eleven places on each interval with its stops."""
     q = _stops(spark, d).withColumn("e", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: (F.col("mv") + F.col("slack")) * i / 10)))
@@ -281,6 +284,45 @@ def track_interpolation(spark, d):
     return out.select("log_id", "subsegment_id", F.unix_seconds("ts").alias("grid_s"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("speed_basis_mps", 4).alias("speed_basis_mps"), F.round("distance_here_m", 3).alias("distance_here_m"), "position_source", "confidence_score")
 
 
+SPANS = [("a", 1, "walk", 0.0, 0.25), ("a", 2, "bus", 0.25, 0.45), ("a", 3, "foot", 0.45, 0.62), ("a", 4, "tram", 0.62, 1.0)]
+STOP_SHARES, STAND = (0.15, 0.3, 0.47, 0.8), 2.0
+
+
+@query(f"""WITH {LINES}, sp0(seq, label, sa, sb) AS (VALUES {', '.join(f"({q}, '{x}', {a}::DOUBLE, {b}::DOUBLE)" for _, q, x, a, b in SPANS)}),
+ an AS (SELECT log_id, i, 1704067200 + i * (400 + 150 * (log_id % 4)) AS t, total * [0.1, 0.5, 0.42, 0.9][i + 1]::DOUBLE AS c, CASE WHEN i = 1 THEN 1.0::DOUBLE WHEN i = 2 THEN 3.0::DOUBLE END AS v, total, log_id % 3 AS g FROM lt, range(4) q(i)),
+ iv AS MATERIALIZED (SELECT * FROM (SELECT *, lead(t) OVER w - t AS dt, lead(c) OVER w AS c2, lead(v) OVER w AS v2 FROM an WINDOW w AS (PARTITION BY log_id ORDER BY i)) WHERE dt IS NOT NULL),
+ pp AS (SELECT iv.log_id, i, x AS ch, c, c2, lat + (x - cum) / (cum2 - cum) * (lat2 - lat) AS lat, lon + (x - cum) / (cum2 - cum) * (lon2 - lon) AS lon FROM iv, LATERAL (SELECT unnest([c, c2]) AS x) JOIN le ON le.log_id = iv.log_id AND cum <= x AND x < cum2 UNION ALL SELECT iv.log_id, i, cum, c, c2, lat, lon FROM iv JOIN lc ON lc.log_id = iv.log_id AND cum > least(c, c2) AND cum < greatest(c, c2)),
+ pt AS (SELECT log_id, i, CASE WHEN lag(lat) OVER w IS NULL THEN 0 ELSE {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} END AS step FROM pp WINDOW w AS (PARTITION BY log_id, i ORDER BY ch)), pm AS MATERIALIZED (SELECT log_id, i, sum(step) AS len FROM pt GROUP BY ALL),
+ cl AS (SELECT iv.log_id, iv.i, dt, total, seq, label, len, greatest(c, c2) AS hi0, greatest(sa * total, least(c, c2)) AS lo, least(sb * total, greatest(c, c2)) AS hi, sb * total AS ab, greatest(c, c2) - least(c, c2) AS span FROM iv JOIN pm USING (log_id, i) JOIN sp0 ON least(sb * total, greatest(c, c2)) > greatest(sa * total, least(c, c2)) WHERE g = 0),
+ pa AS (SELECT *, (hi - lo) * len / span AS dist, CASE label WHEN 'bus' THEN 7.5::DOUBLE WHEN 'tram' THEN 18.0::DOUBLE ELSE 1.4::DOUBLE END AS speed, CASE WHEN label IN ('walk', 'foot') AND abs(ab - hi) <= total * 1e-6 AND ab < hi0 - total * 1e-6 AND abs(ab - total) > total * 1e-6 THEN 120.0::DOUBLE ELSE 0.0::DOUBLE END AS dwell FROM cl),
+ su AS (SELECT *, sum(dist / speed) OVER (PARTITION BY log_id, i) AS mv, sum(dwell) OVER (PARTITION BY log_id, i) AS wt FROM pa),
+ sc AS (SELECT *, dist / speed * CASE WHEN dt >= mv + wt THEN 1 WHEN dt > wt THEN (dt - wt) / mv ELSE 0 END AS mt, dwell * CASE WHEN dt > wt THEN 1 WHEN wt > 0 THEN dt / wt ELSE 0 END AS dw, CASE WHEN dt >= mv + wt THEN dt - mv - wt ELSE 0 END AS slack FROM su),
+ st AS MATERIALIZED (SELECT *, coalesce(sum(mt + dw) OVER (PARTITION BY log_id, i ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts FROM sc),
+ pr AS (SELECT log_id, i, max(slack) AS slack, sum(dw) AS dwell, len / sum(mt) AS speed FROM st GROUP BY log_id, i, len),
+ mv AS (SELECT iv.*, len, CASE WHEN g = 1 THEN 5.5::DOUBLE WHEN coalesce(v, v2) IS NULL THEN 1.4::DOUBLE WHEN coalesce(greatest(v, v2), v, v2) > {STAND} THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS sp FROM iv JOIN pm USING (log_id, i) WHERE g <> 0),
+ m2 AS (SELECT *, least(dt, len / sp * 1.2::DOUBLE) AS moving FROM mv), ho AS (SELECT m2.log_id, i, (r * total - least(c, c2)) / (greatest(c, c2) - least(c, c2)) * len AS dm FROM m2, (VALUES {', '.join(f'({x}::DOUBLE)' for x in STOP_SHARES)}) h(r) WHERE g = 1 AND r * total BETWEEN least(c, c2) AND greatest(c, c2)),
+ hn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY log_id, i ORDER BY dm) AS nth, count(*) OVER (PARTITION BY log_id, i) AS n FROM ho), m3 AS (SELECT m2.*, coalesce(n, 0) AS n, least((dt - moving) * 0.95::DOUBLE, 25.0::DOUBLE * n) AS total_s FROM m2 LEFT JOIN (SELECT DISTINCT log_id, i, n FROM hn) USING (log_id, i)),
+ m4 AS MATERIALIZED (SELECT *, n > 0 AND dt - moving > 0 AND total_s >= 1 AS fine FROM m3), gr AS MATERIALIZED (SELECT log_id, i, t, dt, g, unnest(range(CAST(ceil(t / 5.0) AS BIGINT), CAST(floor((t + dt) / 5.0) AS BIGINT) + 1)) * 5 AS gs FROM iv),
+ a1 AS (SELECT gr.log_id, gr.i, gs, any_value(gs - gr.t) AS e, any_value(gr.dt) AS dt, any_value(len) AS len, any_value(pr.slack) AS slack, any_value(pr.dwell) AS dwell, any_value(pr.speed) AS speed, sum(CASE WHEN mt > 0 THEN dist * greatest(0, least(1, (gs - gr.t - pr.slack / 2 - starts) / mt)) ELSE 0 END) AS moved FROM gr JOIN pr USING (log_id, i) JOIN st ON st.log_id = gr.log_id AND st.i = gr.i GROUP BY gr.log_id, gr.i, gs),
+ a2 AS (SELECT gr.log_id, gr.i, gs, any_value(gs - gr.t) AS e, any_value(gr.dt) AS dt, any_value(len) AS len, any_value(sp) AS speed, any_value(moving) AS moving, any_value(fine) AS fine, any_value(CASE WHEN fine THEN total_s ELSE 0 END) AS dwell, any_value(gr.g) AS g, any_value(greatest(0, dt_ - moving - CASE WHEN fine THEN total_s ELSE 0 END)) AS slack,
+  min(CASE WHEN fine THEN greatest(dm, len / moving * (greatest(0, gs - gr.t - greatest(0, dt_ - moving - total_s) / 2) - total_s / m4.n * nth)) END) AS held FROM gr JOIN (SELECT *, dt AS dt_ FROM m4) m4 ON m4.log_id = gr.log_id AND m4.i = gr.i LEFT JOIN hn ON hn.log_id = gr.log_id AND hn.i = gr.i GROUP BY gr.log_id, gr.i, gs)
+ SELECT log_id, CAST(i AS BIGINT) AS subsegment_id, CAST(gs AS BIGINT) AS grid_s, 'baseline_subpath::x::mode_profile' AS path_method, 'opnv_mode_profile' AS correction_used, 'opnv_mode_profile+walk_dwell_120s' AS speed_basis_source, round(speed, 4) AS speed_basis_mps, round(dwell, 4) AS dwell_s, round(CASE WHEN e <= slack / 2 THEN 0 WHEN e >= dt - slack / 2 THEN len ELSE moved END, 2) AS distance_here_m FROM a1
+ UNION ALL SELECT log_id, i, gs, 'baseline_subpath::x' || CASE WHEN fine THEN '::intersection_dwell' ELSE '' END, CASE WHEN fine THEN 'training_intersection_model' ELSE '' END, CASE WHEN g = 1 THEN 'mode_bike_fixed' WHEN speed = 1.4 THEN 'mode_default' WHEN speed = 3.0 THEN 'sensor_median_moving_only' ELSE 'sensor_median_with_stops' END || CASE WHEN fine THEN '+training_intersection_profile' ELSE '' END, round(speed, 4), round(dwell, 4),
+  round(CASE WHEN e <= slack / 2 THEN 0 WHEN e >= dt - slack / 2 THEN len ELSE least(len, len / moving * greatest(0, e - slack / 2), coalesce(held, len)) END, 2) FROM a2""")
+def profiled_track(spark, d):
+    """Lines walked by a profile of modes, by bike with stops, and on foot over a speed of standing."""
+    lines, k, i = _lines(spark, d), F.col("log_id"), F.col("i")
+    an = lines.select("log_id", "line", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select(
+        "log_id", F.timestamp_seconds(F.lit(1704067200) + i * (400 + 150 * (k % 4))).alias("t"), (L.length(F.col("line")) * _one_of([0.1, 0.5, 0.42, 0.9], i)).alias("chainage_m"),
+        F.lit("google_start").alias("source"), i.alias("fix_id"), F.lit(None).cast("string").alias("reason"), F.when(i == 1, 1.0).when(i == 2, 3.0).alias("speed_mps"))
+    g = k % 3
+    paths = lines.select("log_id", "line", _one_of(["IN_TRAIN", "CYCLING", "WALKING"], g).alias("mode"), F.lit("baseline_subpath::x").alias("method"), F.when(g == 0, "a").alias("route_class"),
+                         F.when(g == 1, F.array(*[F.lit(x) for x in STOP_SHARES])).alias("hotspots"), F.when(g == 1, 25.0).alias("dwell_s"))
+    spans = spark.createDataFrame(SPANS, "route_class string, seq long, mode string, start_rel double, end_rel double")
+    out = R.interpolated_track(an, paths, ["log_id"], profiles=spans, stand_mps=STAND)
+    return out.select("log_id", "subsegment_id", F.unix_seconds("ts").alias("grid_s"), "path_method", "correction_used", "speed_basis_source", F.round("speed_basis_mps", 4).alias("speed_basis_mps"), F.round("intersection_dwell_s", 4).alias("dwell_s"), F.round("distance_here_m", 2).alias("distance_here_m"))
+
+
 @query(f"""WITH {ROUTES}, rt AS (SELECT cls, max(cum) AS total FROM rc GROUP BY cls), re AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(cum) OVER w AS cum2 FROM rc WINDOW w AS (PARTITION BY cls ORDER BY pos)),
  w AS (SELECT o_orderkey AS k, ['to_uni_bike', 'from_uni_bike', 'to_uni_opnv', 'from_uni_opnv', NULL][CAST(o_orderkey % 5 AS INTEGER) + 1] AS cls, epoch_us(o_orderdate) // 1000000 + o_orderkey % 7 AS s, epoch_us(o_orderdate) // 1000000 + o_orderkey % 7 + o_orderkey % 23 - 1 AS e FROM orders), u AS (SELECT *, CAST(ceil(s / 5.0) AS BIGINT) AS f, CAST(floor(e / 5.0) AS BIGINT) AS l FROM w WHERE e >= s AND cls IS NOT NULL),
  g AS (SELECT k, cls, s, e, unnest(CASE WHEN f <= l THEN range(f, l + 1) ELSE [s // 5] END) * 5 AS gs, greatest(l - f + 1, 1) AS n FROM u), x AS (SELECT g.*, total, row_number() OVER (PARTITION BY k ORDER BY gs) - 1 AS i FROM g JOIN rt USING (cls)), y AS (SELECT *, CASE WHEN n > 1 THEN CAST(i AS DOUBLE) / (n - 1) ELSE 0 END * total AS dd FROM x),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from wayfold.functions.geo import haversine
 from wayfold.operators import aggregates as A
 from wayfold.operators import sequences as S
-from wayfold.plans.adapters import PL, PLANE, SIG, TRK, hav, pl, plane, sig, table, trk
+from wayfold.operators import thinning as N
+from wayfold.operators import training as T
+from wayfold.plans.adapters import PL, PLANE, SIG, TRK, chain, hav, pl, plane, sig, table, trk
 
 QUERIES, ORACLES = {}, {}
 
@@ -270,6 +272,14 @@ def greedy_thin(spark, d):
     return S.greedy_thin(t, ["log_id"], "t", ["fix_id", "v"], lambda a, b: F.abs(b["v"] - a["v"]) >= 60, 86_400_000_000).select("log_id", "fix_id")
 
 
+@query(f"""WITH {TRK}, o AS MATERIALIZED (SELECT fix_id, epoch_us(ts) AS t, v, row_number() OVER (ORDER BY epoch_us(ts), fix_id) AS i FROM trk),
+ nx AS (SELECT a.i, min(b.i) AS j FROM o a JOIN o b ON b.i > a.i AND (b.t - a.t >= 600000000 OR abs(b.v - a.v) >= 250) GROUP BY a.i), {chain("nx")} SELECT fix_id FROM reached JOIN o USING (i)""")
+def greedy_thin_global(spark, d):
+    """W30, over all sources at once."""
+    t = trk(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return N.thin_all(t, "t", ["fix_id"], ["v"], lambda a, b: abs(b["v"] - a["v"]) >= 250, 600_000_000).select("fix_id")
+
+
 @query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS i, count(*) OVER () AS n FROM lineitem), k AS (SELECT DISTINCT CAST(round_even(1 + g * (n - 1) / 499.0, 0) AS BIGINT) AS i FROM (SELECT max(n) AS n FROM n), range(500) t(g))
  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM n JOIN k USING (i)""")
 def systematic_sample(spark, d):
@@ -310,3 +320,52 @@ def stop_events(spark, d):
     e = a.groupBy("log_id", "run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), (F.count(F.lit(1)) * 5).alias("dwell_s"))
     e = e.withColumn("center", (F.col("first_pos") + F.col("last_pos")) / 126.0)
     return e.where("dwell_s BETWEEN 10 AND 240 AND center BETWEEN 0.03 AND 0.97").select("log_id", "first_pos", "last_pos", "dwell_s", F.round("center", 6).alias("center"))
+
+
+# Traces of bike rides on the way to (even) and from (odd) somewhere, of which every ninth is a walk, every thirteenth short; speeds are drawn from signals.
+RIDES = f"""{SIG}, rd AS (SELECT log_id AS trace, pos, CASE WHEN log_id % 9 = 8 THEN 'foot trip' WHEN log_id % 2 = 0 THEN 'bike to uni' ELSE 'from uni bike' END AS route, pos * 5 - (pos % 16 = 7)::INTEGER * 5 AS t, 52.4::DOUBLE + 0.0004::DOUBLE * pos / (CASE WHEN log_id % 13 = 5 THEN 10 ELSE 1 END) AS lat, 13.3::DOUBLE AS lon, CASE WHEN (pos + log_id) % 25 = 3 THEN 1 ELSE 3 END AS gm, CASE WHEN pos % 10 <> 9 THEN greatest(0, v * 25 + 1) END AS sp FROM sig)"""
+TRAINED = f"""{RIDES}, q0 AS (SELECT *, CASE WHEN lag(lat) OVER w IS NOT NULL THEN {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} END AS leg FROM rd WHERE gm >= 2 AND route <> 'foot trip' WINDOW w AS (PARTITION BY trace ORDER BY pos)), q1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY trace) AS n, sum(leg) OVER (PARTITION BY trace) AS m FROM q0) WHERE n >= 15 AND m >= 800),
+ q2 AS (SELECT * EXCLUDE (leg, n, m, rn) FROM (SELECT *, row_number() OVER (PARTITION BY trace, t ORDER BY pos) AS rn FROM q1) WHERE rn = 1), q3 AS (SELECT *, CASE WHEN lag(lat) OVER w IS NOT NULL THEN {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} END AS st, t - lag(t) OVER w AS dt FROM q2 WINDOW w AS (PARTITION BY trace ORDER BY t)),
+ q4 AS (SELECT *, sum(coalesce(st, 0)) OVER (PARTITION BY trace ORDER BY t) AS cum FROM q3), q5 AS (SELECT *, cum / max(cum) OVER (PARTITION BY trace) AS rel, CASE WHEN sp BETWEEN 0 AND 35 THEN sp ELSE st / dt END AS speed, count(*) OVER (PARTITION BY trace) AS n5 FROM q4), tr AS MATERIALIZED (SELECT * FROM q5 WHERE n5 >= 15),
+ sd AS MATERIALIZED (SELECT greatest(0.45::DOUBLE, least(1.6::DOUBLE, quantile_cont(speed, 0.2))) AS stand, count(speed) AS n FROM tr WHERE speed BETWEEN 0 AND 35),
+ sm AS (SELECT *, quantile_cont(speed, 0.5) OVER w AS med, count(speed) OVER w AS cnt FROM tr WINDOW w AS (PARTITION BY trace ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+ sk AS (SELECT sm.*, speed IS NOT NULL AND ((cnt >= 7 AND med <= greatest(stand, 0.8)) OR speed <= stand) AS stands FROM sm, sd), tn AS (SELECT *, CASE WHEN lag(stands) OVER w = stands THEN 0 ELSE 1 END AS fresh FROM sk WINDOW w AS (PARTITION BY trace ORDER BY t)), rn AS (SELECT *, sum(fresh) OVER (PARTITION BY trace ORDER BY t) AS run FROM tn),
+ ev AS MATERIALIZED (SELECT trace, CASE WHEN trace % 2 = 0 THEN 'to_uni_bike' ELSE 'from_uni_bike' END AS cls, quantile_cont(rel, 0.5) AS c, CAST(max(t) - min(t) AS DOUBLE) AS dw FROM rn WHERE stands GROUP BY trace, run HAVING max(t) - min(t) BETWEEN 8 AND 240 AND quantile_cont(rel, 0.5) BETWEEN 0.03 AND 0.97)"""
+
+
+def _rides(spark, d):
+    g, pos = F.col("log_id"), F.col("pos")
+    route = F.when(g % 9 == 8, "foot trip").when(g % 2 == 0, "bike to uni").otherwise("from uni bike")
+    return sig(spark, d).select(
+        g.alias("trace"), "pos", route.alias("route"), F.timestamp_seconds(pos * 5 - F.when(pos % 16 == 7, 5).otherwise(0)).alias("ts"), (52.4 + 0.0004 * pos / F.when(g % 13 == 5, 10).otherwise(1)).alias("lat"), F.lit(13.3).alias("lon"),
+        F.when((pos + g) % 25 == 3, 1).otherwise(3).alias("gps_mode"), F.when(pos % 10 != 9, F.greatest(F.lit(0.0), F.col("v") * 25 + 1)).alias("speed"))
+
+
+@query(f"""WITH RECURSIVE {TRAINED}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY c, dw) AS i FROM ev), fd AS (SELECT cls, i, CAST(0 AS BIGINT) AS grp, c AS total, CAST(1 AS BIGINT) AS n FROM o WHERE i = 1 UNION ALL
+ SELECT o.cls, o.i, CASE WHEN abs(o.c - fd.total / fd.n) <= 0.035 THEN grp ELSE grp + 1 END, CASE WHEN abs(o.c - fd.total / fd.n) <= 0.035 THEN total + o.c ELSE o.c END, CASE WHEN abs(o.c - fd.total / fd.n) <= 0.035 THEN n + 1 ELSE 1 END FROM fd JOIN o ON o.cls = fd.cls AND o.i = fd.i + 1),
+ cg AS (SELECT fd.cls, grp, avg(o.c) AS mid, quantile_cont(o.dw, 0.5) AS dw, count(*) AS n FROM fd JOIN o ON o.cls = fd.cls AND o.i = fd.i GROUP BY fd.cls, grp HAVING count(*) >= 2),
+ cn AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY mid) AS i, count(*) OVER (PARTITION BY cls) AS m FROM cg), ck AS (SELECT * FROM cn WHERE m <= 18 OR round_even(1 + floor((i - 1) / ((m - 1) / 17.0::DOUBLE)) * ((m - 1) / 17.0::DOUBLE), 0) = i OR round_even(1 + (floor((i - 1) / ((m - 1) / 17.0::DOUBLE)) + 1) * ((m - 1) / 17.0::DOUBLE), 0) = i),
+ md AS (SELECT cls, list_sort(list(mid)) AS hs, quantile_cont(dw, 0.5) AS dw FROM ck GROUP BY cls), en AS (SELECT cls, count(*) AS n FROM ev GROUP BY cls), fn AS (SELECT CASE WHEN trace % 2 = 0 THEN 'to_uni_bike' ELSE 'from_uni_bike' END AS cls, count(DISTINCT trace) AS f FROM tr GROUP BY 1)
+ SELECT cls AS route_class, 'training_route_specific' AS source, round(dw, 6) AS dwell_s, len(hs) AS n_hotspots, round(list_sum(hs), 4) AS total, en.n AS raw_stop_events_n, f AS files_n FROM md JOIN en USING (cls) JOIN fn USING (cls)
+ UNION ALL SELECT replace(cls, '_bike', '_opnv'), 'bike_template_for_opnv', round(dw * 0.6::DOUBLE, 6), len(hs), round(list_sum(hs), 4), 0, 0 FROM md""")
+def trained_stops(spark, d):
+    """Stops learnt from rides both ways."""
+    model, _ = T.trained_stops(_rides(spark, d), ["trace"], "pos")
+    total = F.aggregate("hotspots", F.lit(0.0), lambda a, x: a + x)
+    return model.select("route_class", "source", F.round("dwell_s", 6).alias("dwell_s"), F.size("hotspots").cast("long").alias("n_hotspots"), F.round(total, 4).alias("total"), "raw_stop_events_n", "files_n")
+
+
+@query(f"WITH {TRAINED} SELECT trace, cls AS route_class, round(c, 6) AS center_rel, round(dw, 6) AS dwell_s FROM ev")
+def trained_events(spark, d):
+    """The stops of rides, by the speed up to which one stands."""
+    rows = T.training_traces(_rides(spark, d), ["trace"], "pos")
+    stand = A.stop_speed(rows, "speed_m_s").select("stand_mps")
+    held = T.smoothed(rows, ["trace"]).join(F.broadcast(stand))  # one row
+    out = T.stop_events(held, ["trace"], F.col("stand_mps"))
+    return out.select("trace", "route_class", F.round("center_rel", 6).alias("center_rel"), F.round("dwell_s", 6).alias("dwell_s"))
+
+
+@query(f"WITH {TRAINED} SELECT trace, pos, round(rel, 6) AS progress_rel, round(speed, 4) AS speed_m_s FROM tr")
+def training_traces(spark, d):
+    """The rides that stops are learnt from."""
+    return T.training_traces(_rides(spark, d), ["trace"], "pos").select("trace", "pos", F.round("progress_rel", 6).alias("progress_rel"), F.round("speed_m_s", 4).alias("speed_m_s"))

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where it is unset, and only under a local master, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -80,3 +86,23 @@ def head(spark: SparkSession, path: str, size: int = 8192) -> bytes:
         return bytes(stream.readNBytes(size))
     finally:
         stream.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers that weren't given its path."""
+    context = spark.sparkContext
+    if _ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_wayfold_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="wayfold-zip-")  # the driver hands it to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "wayfold_package.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for at, _, names in os.walk(os.path.join(_ROOT, "wayfold")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.relpath(full, _ROOT))
+    context.addPyFile(target)
+    if target in sys.path:  # the driver has the package itself
+        sys.path.remove(target)
+    context._wayfold_shipped = True
