@@ -58,7 +58,7 @@ def next_kept(rows: dict, far: Callable, seconds: float) -> np.ndarray:
 def _ends(nxt: np.ndarray) -> np.ndarray:
     """The last row of each row's chain."""
     jump = np.where(nxt < 0, np.arange(len(nxt)), nxt)
-    while (further := jump[jump]).tolist() != jump.tolist():
+    while not np.array_equal(further := jump[jump], jump):
         jump = further
     return jump
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import parse as P
 from wayfold.operators import pipelines as W
 from wayfold.operators import rail as R
+from wayfold.operators import sequences as S
 from wayfold.plans.adapters import hav, table
 from wayfold.sources import sinks, tables, vectors
 from wayfold.sources.shared import file_system, fresh_path
@@ -236,12 +237,14 @@ def rail_network(spark, d):
     return got.select("shape_id", F.coalesce("route_type", F.lit(-1)).alias("route_type"), F.size("line").alias("n_vertices"), F.round("box.south", 6).alias("south"), F.round("box.east", 6).alias("east"))
 
 
-@query("""WITH RECURSIVE g AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM nation) SELECT k, 'LINESTRING (' || printf('%.1f', k * 1.0) || ' 0.0, ' || printf('%.1f', k + 1.0) || ' 2.0)' AS wkt, 25 AS drawn FROM g""")
+@query("""WITH n AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) AS i, count(*) OVER () AS n FROM supplier), g AS (SELECT DISTINCT CAST(round_even(1 + j * (n - 1) / 499.0::DOUBLE, 0) AS BIGINT) AS i FROM (SELECT max(n) AS n FROM n), range(500) t(j)), s AS (SELECT k FROM n WHERE n <= 500 OR i IN (SELECT i FROM g))
+ SELECT k, 'LINESTRING (' || printf('%.1f', (k % 1000) * 1.0) || ' 0.0, ' || printf('%.1f', k % 1000 + 1.0) || ' 2.0)' AS wkt, (SELECT count(*) FROM s) AS drawn FROM s""")
 def drawn_segments(spark, d):
-    """Segments as well-known text, and as a drawing, of which the lines are counted."""
-    k = F.col("n_nationkey").cast("long")
-    s = table(spark, d, "nation").select(k.alias("k"), (k * 1.0).cast("double").alias("x"), F.lit(0.0).alias("y"), (k + 1.0).cast("double").alias("xend"), F.lit(2.0).alias("yend"), F.lit("#c92a2a").alias("color"))
-    return sinks.with_wkt(s).select("k", "wkt", F.lit(sinks.svg(s).count("<line ")).alias("drawn"))
+    """An even sample of segments as well-known text, and as a drawing, of which the lines are counted."""
+    k = F.col("s_suppkey")
+    taken = S.systematic_sample(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], 500)
+    s = taken.select(k.alias("k"), (k % 1000 * 1.0).cast("double").alias("x"), F.lit(0.0).alias("y"), (k % 1000 + 1.0).cast("double").alias("xend"), F.lit(2.0).alias("yend"), F.lit("#c92a2a").alias("color"))
+    return sinks.with_wkt(s).select("k", "wkt", F.lit(sinks.svg(s).count("<line ")).cast("long").alias("drawn"))
 
 
 @query("""SELECT source || '-' || lang AS base_log, arg_max(doc_id, n_chars * 1000000000 + doc_id) AS doc_id FROM documents GROUP BY ALL""")
