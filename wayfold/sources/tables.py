@@ -2,24 +2,26 @@
 
 Every scan reads all columns as text, without inference, and types them afterwards; what doesn't
 parse is null.  Rows know their file by ``source_file``, so one scan takes any number of files.
-Files differ in delimiter, encoding and header: the driver looks at the first bytes of each, one pass
-finds those that aren't UTF-8, and files alike in all three are read by one scan with a fixed schema.
+Files differ in delimiter, encoding and header: one pass over their lines tells all three of each file,
+on the executors, and files alike in them are read by one scan with a fixed schema.
 """
 
 from __future__ import annotations
 
 import csv as csv_rows
 import re
-from collections import Counter, defaultdict
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.parse import base_name, first_present, flexible_time, header_key, robust_number, slug, to_number
-from wayfold.sources.shared import head, plain_path
+from wayfold.sources.shared import head, plain_path, saved, ship_package
 
 # Names under which logs hold their columns, and those that aren't measurements.
 TIME_COLUMNS = ["timestamp_iso", "timestamp", "gps_time_utc", "time", "datetime"]
@@ -32,6 +34,7 @@ NOT_MEASURED = ["source_file", "source_name", "output_file", "status", "status_m
 NOT_METRICS = ["timestamp", "timestamp_iso", "gps_time_utc", "gps_lat", "gps_lon", "gps_mode", "gps_speed_m_s", "gps_track_deg", "gps_eph_m", "source_file", "source_name", "fix_id"]
 DISPLAY_TOKENS = ["speed", "distance", "score", "delta", "noise", "pm", "gas", "temp", "humid"]
 DELIMITERS = (",", ";", "\t", "|")
+HEAD, SMALL = 8192, 32768
 # End of fixed values.
 
 SEGMENTS = (
@@ -63,10 +66,51 @@ def header_delimiter(line: str) -> str:
     return next((c for c in DELIMITERS if c in line), ",")
 
 
-def _files(spark: SparkSession, path) -> dict[str, str]:
-    """Files with rows, and the encoding of each: UTF-8, or Latin-1 where a line isn't."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("fine"))
-    return {plain_path(r["file"]): "UTF-8" if r["fine"] else "ISO-8859-1" for r in rows.groupBy("file").agg(F.bool_and("fine").alias("fine")).collect()}  # a row for each file
+def _heads(spark: SparkSession, path, small: bool) -> DataFrame:
+    """file, fine (whether all lines are UTF-8) and head (the first HEAD bytes) of files with rows, of small or of other ones.
+
+    Small files are gathered whole.  Of others, with a file a task, as many lines as may begin in the first HEAD bytes; so what is gathered
+    of a file is bounded.
+    """
+    rows = spark.read.text(path).where((F.col("_metadata.file_size") <= SMALL) == small)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    early = (F.col("block") == 0) & (F.lit(small) | (F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) < HEAD))
+    first = F.array_sort(F.collect_list(F.when(early, F.struct("id", F.substring(F.col("value").cast("binary"), 1, HEAD).alias("line")))))
+    lines = F.transform(first, lambda x: F.concat(x["line"], F.lit(b"\n")))
+    head = F.aggregate(lines, F.lit(b""), lambda acc, x: F.when(F.length(acc) < HEAD, F.concat(acc, x)).otherwise(acc))
+    return rows.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("fine"), F.substring(head, 1, HEAD).alias("head"))
+
+
+def _kinds(spark: SparkSession, path, delimiter: str | Callable[[str], str] | None, of_kinds: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """``of_kinds`` of file, encoding (UTF-8, or Latin-1 where a line isn't), sep and names (its header's) of files with rows; made and saved."""
+    ship_package(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for file, fine, first in zip(f["file"], f["fine"], f["head"], strict=True):
+                text = bytes(first).decode("utf-8-sig" if fine else "latin-1", "ignore")
+                if lines := text.splitlines():
+                    sep = sniffed(text) if delimiter is None else delimiter if isinstance(delimiter, str) else delimiter(lines[0])
+                    out.append((file, "UTF-8" if fine else "ISO-8859-1", sep, list(_header(lines[0], sep))))
+            yield pd.DataFrame(out, columns=["file", "encoding", "sep", "names"])
+
+    told = lambda small: saved(of_kinds(_heads(spark, path, small).mapInPandas(run, "file string, encoding string, sep string, names array<string>")), "kinds")
+    with _file_a_task(spark):
+        large = told(False)
+    return [told(True), large]
+
+
+@contextmanager
+def _file_a_task(spark: SparkSession):
+    """Scans that run within it don't put several files into one task."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "1t")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _header(line: str, delimiter: str) -> tuple[str, ...]:
@@ -88,16 +132,11 @@ def scans(spark: SparkSession, path, delimiter: str | Callable[[str], str] | Non
     ``delimiter`` is a character, or chooses one from a file's header; by default it is sniffed.
     Quotes within quoted cells are doubled.  A column named as the file's name is replaced by it.
     """
-    kinds = defaultdict(list)
-    for file, encoding in sorted(_files(spark, path).items()):
-        text = head(spark, file).decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", "ignore")
-        lines = text.splitlines()
-        if not lines:
-            continue
-        sep = sniffed(text) if delimiter is None else delimiter if isinstance(delimiter, str) else delimiter(lines[0])
-        kinds[encoding, sep, _header(lines[0], sep)].append(file)
+    alike = lambda k: k.groupBy("encoding", "sep", "names").agg(F.collect_list("file").alias("files"))
+    found = _union(_kinds(spark, path, delimiter, alike)).groupBy("encoding", "sep", "names").agg(F.sort_array(F.flatten(F.collect_list("files"))).alias("files")).collect()  # a row for each kind
     out = []
-    for (encoding, sep, names), files in kinds.items():
+    for r in sorted(found, key=lambda r: r["files"][0]):
+        encoding, sep, names, files = r["encoding"], r["sep"], r["names"], [plain_path(f) for f in r["files"]]
         schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
         df = spark.read.schema(schema).option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(files, sep=sep, header=True, encoding=encoding, mode="PERMISSIVE")
         place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
@@ -175,21 +214,22 @@ def mobile_track(spark: SparkSession, path, zone: str = "Europe/Berlin") -> Data
     return _union(_required(frames, path)).drop("file_row")
 
 
-def _numeric(df: DataFrame, names: list[str]) -> list[str]:
-    """P5: the columns that hold a number somewhere."""
-    counts = df.agg(*[F.count(to_number(F.col(f"`{c}`"))).alias(c) for c in names]).first() if names else {}
-    return [c for c in names if counts[c]]
+def _numeric(frames: list[tuple[DataFrame, list[str]]]) -> list[list[str]]:
+    """P5: of each table's columns those that hold a number somewhere; one job for all tables."""
+    counts = [df.agg(F.array(*[F.count(to_number(F.col(f"`{c}`"))) for c in names]).alias("n")).select(F.lit(i).alias("i"), "n") for i, (df, names) in enumerate(frames) if names]
+    found = {r["i"]: r["n"] for r in reduce(lambda a, b: a.union(b), counts).collect()} if counts else {}
+    return [[c for c, n in zip(names, found.get(i, []), strict=False) if n] for i, (_, names) in enumerate(frames)]
 
 
 def source_metrics(spark: SparkSession, path) -> DataFrame:
     """The measured columns that hold a number somewhere, as mobile_aq__ columns, by time."""
     frames = []
     skip = {header_key(c) for c in [*TRACK_TIME_COLUMNS, *TRACK_LAT_COLUMNS, *TRACK_LON_COLUMNS, *NOT_MEASURED, "file_row"]}
-    for df in scans(spark, path, header_delimiter):
+    own = [(df, [c for c in df.columns if header_key(c) not in skip and not header_key(c).startswith("gps_")]) for df in scans(spark, path, header_delimiter)]
+    for (df, _), kept in zip(own, _numeric(own), strict=True):
         ts = first_present(df.columns, TRACK_TIME_COLUMNS, header_key)
         if ts is None:
             raise ValueError(f"no column for timestamp; there are {df.columns}")
-        kept = _numeric(df, [c for c in df.columns if header_key(c) not in skip and not header_key(c).startswith("gps_")])
         frames.append(df.select("source_file", utc_time(F.col(f"`{ts}`")).alias("mobile_aq_timestamp"), *[to_number(F.col(f"`{c}`")).alias(f"mobile_aq__{slug(c)}") for c in kept]))
     return _union(_required(frames, path)).where("mobile_aq_timestamp IS NOT NULL")
 
@@ -218,9 +258,9 @@ def raw_metrics(spark: SparkSession, path, delimiter: str | None = None) -> Data
 def air_metrics(spark: SparkSession, path, delimiter: str | None = None) -> DataFrame:
     """The numeric columns of :func:`raw_metrics`, as mobile_aq__ columns; of equal times the last row."""
     frames = []
-    for df in scans(spark, path, delimiter):
-        skip = {*TIME_COLUMNS, *NOT_MEASURED, *LAT_COLUMNS, *LON_COLUMNS, "file_row", *[c for c in df.columns if c.startswith("gps_")]}
-        kept = _numeric(df, [c for c in df.columns if c not in skip])
+    skip = {*TIME_COLUMNS, *NOT_MEASURED, *LAT_COLUMNS, *LON_COLUMNS, "file_row"}
+    own = [(df, [c for c in df.columns if c not in skip and not c.startswith("gps_")]) for df in scans(spark, path, delimiter)]
+    for (df, _), kept in zip(own, _numeric(own), strict=True):
         frames.append(df.select("source_file", "file_row", _metric_time(df, TIME_COLUMNS).alias("ts"), *[to_number(F.col(f"`{c}`")).alias(f"mobile_aq__{slug(c)}") for c in kept]))
     return _last_of_equal(_union(_required(frames, path)))
 
@@ -344,11 +384,7 @@ def required(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def headers(spark: SparkSession, path) -> DataFrame:
     """A row for each file and column."""
-    rows = []
-    for file in sorted(_files(spark, path)):
-        text = head(spark, file, 1 << 16).decode("utf-8-sig", "replace")
-        rows += [(file, c) for c in _header(text.splitlines()[0], sniffed(text))]
-    return spark.createDataFrame(rows, "file string, column string")
+    return _union(_kinds(spark, path, None, lambda k: k)).select("file", F.explode("names").alias("column"))
 
 
 def display_columns(names: DataFrame, preferred: Sequence[str], most: int = 4) -> DataFrame:
