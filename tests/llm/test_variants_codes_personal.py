@@ -91,6 +91,16 @@ def test_automata_number_words_in_order():
         assert set(back.neighbours(q[::-1], half)) == {i for i, w in enumerate(words) if len(w) == 7 and _near(q, w) and w.endswith(q[len(q) // 2 :])}
 
 
+def test_variants_of_megabytes(spark):
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abé") for _ in range(rng.randint(6, 8))) for _ in range(40)]
+    long = " ".join(rng.choice(some) for _ in range(400_000))
+    rows = [(1, long), (2, long[: len(long) // 3]), (3, "abcdef")]
+    assert len(long) > 3_000_000
+    got = spelling_variants.variants(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(spelling_variants.brute_force(rows))
+
+
 # Vector codes
 
 VECTORS = "vec_id long, embedding array<float>, label int, id string, error long"
@@ -184,6 +194,16 @@ def test_personal_data_matches_brute_force(spark):
     assert "12345-AB" in found and any(x.startswith("ACC-") for x in found) and not any(x.isdigit() for x in found)
 
 
+def test_personal_data_of_megabytes(spark):
+    rows = _people(5, 40)
+    long = " ".join(t for _, t in rows * 1200)
+    assert len(long) > 3_000_000
+    got = personal_data.scan(docs(spark, [*rows, (900, long), (901, "1 " * 1_000_000)])).collect()
+    want = {i: s for i, _, s in personal_data.brute_force([*rows, (900, long)])}
+    found = {r["doc_id"]: r["spans"] for r in got}
+    assert {i: found[i] for i in want} == want and found[901] == ""
+
+
 def test_patterns_survive_pieces(spark, monkeypatch):
     monkeypatch.setattr(personal_data, "PIECE", 24)
     rows = [*_people(4, 60), *ODD]
