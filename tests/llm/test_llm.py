@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
+import plain_toxicity  # noqa: E402
+
 from wayfold.llm import (  # noqa: E402
     bestfit_packing, byte_bpe, components, exact_dedup, jaccard_join, license_scan, quality_classifier, registry, scratch,
     secret_scan, substring_dedup, topk_search, toxicity,
@@ -99,9 +101,25 @@ def test_suffix_tree_of_rows():
     assert x[order].tolist() == sorted(x.tolist()) and common.tolist() == [0, 2, 0, 1]
 
 
+def test_substrings_of_megabytes(spark):
+    rng = random.Random(8)
+    long, once = ([f"{rng.choice('abcdef')}{rng.randint(0, 10**5)}" for _ in range(200_000)] for _ in range(2))
+    rows = [(1, " ".join(long)), (2, " ".join(once[:1000] + long[5000:150_000] + once[1000:])), (3, "one " * 300_000), (4, "y" * 3_000_000), (5, "one " * 60)]
+    got = substring_dedup.report(docs(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(substring_dedup.brute_force(rows), key=str)
+
+
 # 2
 
 
+def test_licenses_of_megabytes(spark):
+    rng, mit = random.Random(9), license_scan.TEMPLATES["MIT"]
+    noise = [f"w{rng.randint(0, 10**5)}" for _ in range(300_000)]
+    rows = [(1, " ".join([*noise[:200_000], mit, *noise[200_000:]])), (2, " ".join(noise)), (3, (mit + " ") * 400), (4, "z" * 3_000_000)]
+    got = sorted((r["doc_id"], r["license"], r["containment"]) for r in license_scan.scan(docs(spark, rows)).collect())
+    assert got == [(1, "MIT", 1.0), (3, "MIT", 1.0)]
+
+
 def test_licenses_survive_odd_text(spark):
     t = "Intro words here, then: Released under the MIT License!"
     long = license_scan.TEMPLATES["MIT"]
@@ -202,6 +220,48 @@ def test_quality_of_odd_rows(spark):
     assert quality_classifier.classify(docs(spark, [])).collect() == []
 
 
+def test_quality_of_megabytes(spark):
+    rng = random.Random(12)
+    plain = " ".join("".join(rng.choices("aeionrst", k=rng.randint(2, 8))) + ("." if rng.random() < 0.1 else "") for _ in range(300_000))
+    rows = [(1, plain), (2, "$$$ " * 800_000), (3, "q" * 3_000_000), *((i, plain[i * 500 : i * 500 + 900]) for i in range(10, 60))]
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs(spark, rows)).collect()}
+    assert len(got) == 53 and not got[2]["kept"]
+    assert all(r["votes"] == quality_classifier.votes(quality_classifier.measures(t)) for (i, t) in rows for r in [got[i]])
+
+
+def test_quality_matches_a_plain_run(spark):
+    """Votes, EM, training and scores of the whole table over plain lists."""
+    import math
+
+    import numpy as np
+
+    from wayfold.llm.quality_classifier import DIMENSIONS, EPOCHS, KEEP, RATE, RIDGE, Featurer, estimate, measures, posteriors, votes
+
+    table = scratch.table(spark, SF_DIR, "documents")
+    rows = table.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")).collect()
+    own = [votes(measures(r["text"] or "")) for r in rows]
+    model, featurer = estimate(Counter(own)), Featurer()
+    weak = posteriors(own, model)
+    found = [featurer(Counter((r["text"] or "").split()), measures(r["text"] or "")) for r in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k]["key"], own[k]))
+    w, b, total, draw = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-8), np.random.default_rng(7)
+    logistic = lambda i, x: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[i] @ x) + b))))
+    for _ in range(EPOCHS):
+        for k in draw.permutation(len(order)):
+            i, x = found[order[k]]
+            miss = logistic(i, x) - weak[order[k]]
+            g = miss * x + RIDGE * w[i]
+            total[i] += g * g
+            w[i] -= RATE * g / np.sqrt(total[i])
+            b -= 0.01 * miss
+    got = {r["doc_id"]: r for r in quality_classifier.classify(table).collect()}
+    assert len(got) == len(rows)
+    for r, v, q, (i, x) in zip(rows, own, weak, found, strict=True):
+        p, g = logistic(i, x), got[r["doc_id"]]
+        assert g["votes"] == v and abs(g["posterior"] - q) < 1e-9 and abs(g["score"] - p) < 1e-6
+        assert g["kept"] == (g["score"] >= KEEP and bool((r["text"] or "").strip()))
+
+
 def test_em_finds_the_good_labeller():
     rng = random.Random(0)
     n = Counter()
@@ -319,6 +379,20 @@ def test_random_strings_of_letters(spark):
     assert found_random(spark, texts) == [[key], [key.lower()], [], []]
 
 
+@pytest.mark.parametrize(("alphabet", "least"), [("letters and digits", 0.9), ("letters", 0.9)])
+def test_recall_of_random_strings(spark, alphabet, least):
+    """Seeded random strings of each length that is sought, among words; and as many runs of words, which aren't."""
+    rng = random.Random(14)
+    marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + ("0123456789" if "digits" in alphabet else "")
+    common = "account service storage request handler document version control network message system update record".split()
+    for n in (secret_scan.LEAST_RANDOM, 24, 32, 48, 64):
+        keys = ["".join(rng.choices(marks, k=n)) for _ in range(200)]
+        runs = [rng.choice("_-./").join(rng.choices(common, k=rng.randint(3, 8))) for _ in range(200)]
+        got = found_random(spark, [f"some words {x} and more" for x in keys + runs])
+        hit = sum(any(k in x or x in k for x in found) for k, found in zip(keys, got[:200], strict=True))
+        assert hit >= least * 200 and not any(got[200:]), (n, hit, [x for x in got[200:] if x])
+
+
 # 7
 
 
@@ -409,6 +483,20 @@ def test_held_out_accuracy(spark):
     assert r["acc"] > 0.95 and r["false"] <= 5 and r["recall"] >= 0.9
 
 
+@pytest.mark.parametrize("least", [2, 4])
+def test_fit_matches_a_plain_fit(spark, monkeypatch, least):
+    """Terms, weights and calibration against counts and folds over plain lists."""
+    monkeypatch.setattr(toxicity, "LEAST_SUPPORT", least)
+    d = os.path.dirname(SF_DIR) + "/sf0.01"
+    d = d if os.path.isdir(d) else SF_DIR
+    rows = plain_toxicity.training_rows(d)
+    want = plain_toxicity.fit([t for t, _, _ in rows], [y for _, y, _ in rows], plain_toxicity.Settings(least=least))
+    got = toxicity.fit(scratch.table(spark, d, "documents"), scratch.table(spark, d, "labels"))
+    assert got.terms == want.terms and len(got.terms) > len(toxicity.SEED)
+    assert got.weights.keys() == want.weights.keys() and all(abs(got.weights[x] - want.weights[x]) < 1e-9 for x in want.weights)
+    assert abs(got.slope - want.slope) < 1e-6 and abs(got.offset - want.offset) < 1e-6
+
+
 def test_scores_match_a_plain_scorer(spark):
     """Every term against every word by distances, contexts by a scan."""
     terms = [("scum", False), ("moron", False), ("zorga", True), ("idiot", False)]
@@ -590,6 +678,18 @@ def test_byte_bpe_matches_and_round_trips(spark):
     assert sorted(bytes(r["text"]) for r in back.collect()) == sorted((x or "").encode() for _, x in rows)
 
 
+def test_byte_bpe_of_megabytes(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    rng = random.Random(15)
+    rows = [(1, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_500_000))), (2, "the cat sat on it. " * 150_000), (3, "é日" * 200_000)]
+    for r in byte_bpe.round_trip(docs(spark, rows), RANKS, P.PATTERN).collect():
+        text = dict(rows)[r["doc_id"]]
+        ids = want.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(5000)]
     h = byte_bpe.PerfectHash(keys)

@@ -31,8 +31,9 @@ from .scratch import ship_package, table
 
 SAMPLE, DIMENSIONS, KEEP = 20_000, 1 << 14, 0.5
 EPOCHS, RATE, RIDGE = 6, 0.3, 1e-5
-#: Weight, as a share of the corpus, of the belief that a vote is nine times as likely where it is right.
-PRIOR = 0.2
+#: Weight, as a share of the corpus, of the belief that a vote is nine times as likely where it is right: it says as much as
+#: the corpus.  Set beforehand, not by labels.
+PRIOR = 1.0
 MEMO = 200_000
 
 LETTER, UPPER, DIGIT, SPACE, SYMBOL = range(5)

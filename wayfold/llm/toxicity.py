@@ -44,6 +44,9 @@ STEMS = (4, 5, 6, 7)
 #: Toxic texts that a term must be in, counting only those with fewer than EXPLAINED stronger terms; so at most
 #: EXPLAINED / LEAST_SUPPORT terms a text of the sample are learnt.
 LEAST_SUPPORT, EXPLAINED = 4, 3
+#: By how much, in logs, a term must beat the best that chance gives.  This, the two above and MANY were settled by cross-validation
+#: within the rows that may be learnt from (tests/llm/plain_toxicity.py); rows held out took no part in it.
+MARGIN = 1.0
 #: Different words of a text up to which a term's hits are told apart by their number, and the weights that hits may have.
 MANY, LEAST_WEIGHT, MOST_WEIGHT = 3, -1.0, 8.0
 #: Words on each side of a hit that tell quotation from abuse.
@@ -275,7 +278,7 @@ def _terms(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     """The features that so many toxic documents hold as chance doesn't give the best of all that could be found.
 
     Hoeffding's bound on the upper tail of a binomial, against the number of features of their kind in LEAST_SUPPORT documents
-    or more, for no rarer one could pass.  Beginnings that several words share need a margin less wide: there are few of them.
+    or more, for no rarer one could pass.
     """
     n, share = F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
     kind = F.length(F.regexp_extract("feature", r"^\^*", 0))
@@ -285,7 +288,7 @@ def _terms(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     rare = F.col("clean") <= 0.005 * n_clean + 0.1 * F.col("toxic")
     enough = F.lit(False)
     for k, found in tested.items():
-        enough = F.when(kind == k, n * kl > math.log(max(found, 2)) + (3 if k < 2 else 1)).otherwise(enough)
+        enough = F.when(kind == k, n * kl > math.log(max(found, 2)) + MARGIN).otherwise(enough)
     return counts.where((F.col("toxic") >= LEAST_SUPPORT) & rare & (p > share) & enough)
 
 
