@@ -10,7 +10,7 @@ retrieved with probability 1 - (1/2)^BANDS, over 0.9999 for 14, and a window ins
 always.  A retrieved template is verified: the share of its shingles that the document has, over
 the whole text, must be at least CONTAINMENT.
 
-Templates are a bounded list, so their bands are literals in the plan.  Defined results: letters
+Templates are a bounded list, so their bands and shingles are literals in the plan.  Defined results: letters
 count in lower case, all but letters and digits separates words; null texts and texts under five
 words have no license; rows that repeat a doc_id give a row for each license, with the best
 containment; a null doc_id stays null; an empty table gives an empty result; extra columns are
@@ -19,6 +19,8 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +50,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")  # one stands at an end that is a separator
 
 
-def _worded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("words", words(F.col("text"))).where(F.size("words") >= SHINGLE).drop("text")
-
+def _settled(rows: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """The columns ``kept``, and those ``made``, which a generator computes: each once for a row, however often it is used."""
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
 
-def _shingle(at: Column) -> Column:
-    """The hash of the five words from a place on (from 0), null where there are fewer."""
-    return F.when(at + SHINGLE <= F.size("words"), F.xxhash64(*[F.get("words", at + i) for i in range(SHINGLE)]))
 
-
-def _shingles() -> Column:
-    """Hashes of all shingles of ``words``."""
-    return F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), _shingle)
+def _shingled(rows: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept``, and the hashes of all shingles of ``text``, in order; without the texts that have none."""
+    worded = _settled(rows, *kept, words=words(F.col("text"))).where(F.size("words") >= SHINGLE)
+    places = F.sequence(F.lit(0), F.size("words") - SHINGLE)
+    return _settled(worded, *kept, shingles=F.transform(places, lambda at: F.xxhash64(*[F.get("words", at + i) for i in range(SHINGLE)])))
 
 
 def _bands(shingles: list[Column]) -> list[Column]:
@@ -67,46 +67,48 @@ def _bands(shingles: list[Column]) -> list[Column]:
     return [F.least(*[F.xxhash64(s, F.lit(b)) for s in shingles]) if len(shingles) > 1 else F.xxhash64(shingles[0], F.lit(b)) for b in range(BANDS)]
 
 
-def template_index(spark: SparkSession, templates: dict[str, str]) -> tuple[list[list[int]], DataFrame, DataFrame]:
-    """Band values of all runs of template shingles: as lists by band, as (band, value, license), and
-    (license, template): the distinct shingles."""
-    named = _worded(spark.createDataFrame(list(templates.items()), "license string, text string")).select("license", _shingles().alias("shingles"))
+def template_index(spark: SparkSession, templates: dict[str, str]) -> tuple[list[list[int]], Column]:
+    """Band values of all runs of template shingles by band, and a literal array of (license, its band values, its
+    distinct shingles)."""
+    named = _shingled(spark.createDataFrame(list(templates.items()), "license string, text string"), "license")
     runs = named.select("license", F.posexplode("shingles").alias("at", "first"), "shingles")
-    values = []
+    values: dict[str, set[tuple[int, int]]] = {name: set() for name in templates}
     for n in range(1, SPAN + 1):
         run = runs.where(F.col("at") + n <= F.size("shingles")).select("license", *[F.get("shingles", F.col("at") + i).alias(f"s{i}") for i in range(n)])
-        bands = _bands([F.col(f"s{i}") for i in range(n)])
-        values += run.select("license", *[v.alias(f"b{b}") for b, v in enumerate(bands)]).distinct().collect()
-    by_band = [sorted({r[f"b{b}"] for r in values}) for b in range(BANDS)]
-    pairs = sorted({(b, r[f"b{b}"], r["license"]) for r in values for b in range(BANDS)})
-    index = spark.createDataFrame(pairs, "band int, value long, license string")
-    return by_band, index, named.select("license", F.array_distinct("shingles").alias("template"))
+        for r in run.select("license", *_bands([F.col(f"s{i}") for i in range(n)])).distinct().collect():  # as many as the templates have words
+            values[r[0]] |= set(enumerate(r[1:]))
+    by_band = [sorted({v for own in values.values() for k, v in own if k == b}) for b in range(BANDS)]
+    own = {r["license"]: r["own"] for r in named.select("license", F.array_distinct("shingles").alias("own")).collect()}
+    known = [F.struct(F.lit(x).alias("license"), F.lit(sorted(v for _, v in values[x])).cast("array<long>").alias("values"), F.lit(own[x]).cast("array<long>").alias("template")) for x in own]
+    return by_band, F.array(*known)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, license and containment of every license that a document holds."""
-    spark = docs.sparkSession
-    by_band, index, named = template_index(spark, templates)
-    rows = _worded(docs.select("doc_id", "text"))
-    starts = F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(SPAN))).alias("at")
-    windows = rows.select("doc_id", "words", starts)
+def _retrieving(by_band: list[list[int]]) -> Column:
+    """The distinct band values of those windows of ``shingles`` that agree with a template in a band."""
+    first = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(SPAN))
     # The first shingle is always there; what lies beyond the end repeats it, which changes no minimum.
-    first = F.coalesce(_shingle(F.col("at")), F.lit(0))
-    span = F.struct(first.alias("s0"), *[F.coalesce(_shingle(F.col("at") + i), first).alias(f"s{i}") for i in range(1, SPAN)])
-    # A generator keeps the filter above the hashes, so that they are computed once for all bands.
-    span = windows.select("doc_id", "words", F.inline(F.array(span)))
-    bands = _bands([F.col(f"s{i}") for i in range(SPAN)])
-    hit = bands[0].isin(by_band[0])
-    for b in range(1, BANDS):
-        hit = hit | bands[b].isin(by_band[b])
-    found = span.where(hit).select("doc_id", "words", F.posexplode(F.array(*bands)).alias("band", "value"))
-    retrieved = found.join(F.broadcast(index), ["band", "value"])
-    # Windows of a document that retrieve the same template are verified once.
-    retrieved = retrieved.groupBy("doc_id", "license", F.xxhash64("words").alias("__text")).agg(F.first("words").alias("words"))
-    shingled = retrieved.select("doc_id", "license", _shingles().alias("shingles")).join(F.broadcast(named), "license")
-    share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
-    verified = shingled.withColumn("containment", F.round(share, 6)).where(F.col("containment") >= CONTAINMENT)
-    return verified.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+    window = lambda at: F.struct(*[F.coalesce(F.get("shingles", at + i), F.get("shingles", at)).alias(f"s{i}") for i in range(SPAN)])
+    bands = lambda w: _bands([w[f"s{i}"] for i in range(SPAN)])
+    hits = F.filter(F.transform(first, window), lambda w: reduce(Column.__or__, [v.isin(own) for v, own in zip(bands(w), by_band, strict=True)]))
+    return F.array_distinct(F.flatten(F.transform(hits, lambda w: F.array(*bands(w)))))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """doc_id, license and containment of every license that a document holds.
+
+    Windows are taken, asked and verified within the document's row, so that no window carries its text along and
+    nothing but findings is shuffled.
+    """
+    if not any(len(x.split()) >= SHINGLE for x in templates.values()):
+        return docs.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment")).where("false")
+    by_band, known = template_index(docs.sparkSession, templates)
+    rows = _shingled(docs.select("doc_id", "text"), "doc_id")
+    rows = _settled(rows, "doc_id", "shingles", values=_retrieving(by_band)).where(F.size("values") > 0)
+    retrieved = F.filter(known, lambda t: F.arrays_overlap(t["values"], "values"))
+    share = lambda t: F.size(F.array_intersect(t["template"], "shingles")) / F.size(t["template"])
+    verified = F.transform(retrieved, lambda t: F.struct(t["license"].alias("license"), F.round(share(t), 6).alias("containment")))
+    found = rows.select("doc_id", F.inline(verified)).where(F.col("containment") >= CONTAINMENT)
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
