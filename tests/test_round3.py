@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import parse
-from wayfold.operators import polylines
+from wayfold.operators import polylines, rail
 
 
 def line(*points):
@@ -26,3 +26,35 @@ def test_stretches_keep_places_near_their_ends(spark):
         polylines.stretch(own, F.lit(1e9), F.lit(-5.0)).alias("at"), polylines.length(own).alias("m")).first()
     assert (row["thin"], row["whole"]) == (2, 3)
     assert row["at"]["s"] == 0.0 and row["at"]["e"] == row["m"]
+
+
+def _shape_table(spark, rows):
+    """Straight shapes (shape_id, south, type) eastward, as rows of line and box."""
+    v = spark.createDataFrame([(i, j, south, 13.0 + 0.01 * j, kind) for i, south, kind in rows for j in range(3)], "shape_id long, j long, lat double, lon double, route_type int")
+    lines = polylines.lines(v, ["shape_id", "route_type"], "j", "lat", "lon")
+    return lines.withColumn("box", polylines.box(F.col("line")))
+
+
+def test_trips_and_shapes_alike_are_matched_once(spark, monkeypatch):
+    pairs = []
+    near = rail.near_boxes
+    monkeypatch.setattr(rail, "near_boxes", lambda *a: pairs.append(near(*a)) or pairs[-1])
+    place = lambda y, x: (y, x)
+    trips = spark.createDataFrame([(i, [place(52.0, 13.0), place(52.0, 13.02)], "IN_TRAIN") for i in range(40)] + [(99, None, "IN_TRAIN")], "id long, points array<struct<lat:double,lon:double>>, mode string")
+    shapes = _shape_table(spark, [(i, 52.0, 2) for i in range(20, 50)] + [(i, 52.001, 2) for i in range(1, 10)] + [(60, 52.0, 1)])
+    got = rail.matched_shapes(trips, shapes, ["id"], **rail.WHOLE).collect()
+    assert sorted((r["id"], r["shape_id"]) for r in got) == [(i, 20) for i in range(40)]
+    assert pairs[0].count() <= 3  # a pair for each place and kind of shape, not 40 times 40
+    # Copies take places of the shortlist: the farther kind is the ninth and more.
+    short = rail.matched_shapes(trips, shapes.where("shape_id < 28 OR shape_id = 60"), ["id"], False, 900.0, 700.0, 1200.0, 9)
+    assert {r["shape_id"] for r in short.collect()} == {20}
+
+
+def test_places_alike_snap_once(spark, monkeypatch):
+    pairs = []
+    near = rail.near_boxes
+    monkeypatch.setattr(rail, "near_boxes", lambda *a: pairs.append(near(*a)) or pairs[-1])
+    t = spark.createDataFrame([(i, 52.001, 13.005, "in_tram", "direct" if i else "osrm", "x", "low", 0.1) for i in range(30)], "id long, lat double, lon double, mode string, path_method string, position_source string, confidence_label string, confidence_score double")
+    got = rail.snapped_to_corridors(t, _shape_table(spark, [(i, 52.0, 2) for i in range(30)]), "id").collect()
+    assert len(got) == 30 and {(r["id"] > 0, round(r["lat"], 6)) for r in got} == {(True, 52.0), (False, 52.001)}
+    assert pairs[0].count() == 1
