@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import parse
-from wayfold.operators import polylines, rail
+from wayfold.operators import fusion, joins, polylines, rail
 
 
 def line(*points):
@@ -58,3 +62,27 @@ def test_places_alike_snap_once(spark, monkeypatch):
     got = rail.snapped_to_corridors(t, _shape_table(spark, [(i, 52.0, 2) for i in range(30)]), "id").collect()
     assert len(got) == 30 and {(r["id"] > 0, round(r["lat"], 6)) for r in got} == {(True, 52.0), (False, 52.001)}
     assert pairs[0].count() == 1
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_holders_are_those_of_all_pairs(spark, least):
+    rng = random.Random(least)
+    rows = [(i, (s := rng.randrange(60)), s + rng.randrange(-1, 12)) for i in range(120)]
+    fine = [r for r in rows if r[1] <= r[2]]
+    want = sorted(i for i, s, e in fine if i % 2 and sum(s <= a and b <= e and (a, b) != (s, e) for _, a, b in fine) >= least)
+    df = spark.createDataFrame(rows, "i long, s long, e long").where("s <= e")
+    assert sorted(r["i"] for r in joins.holders(df.where("i % 2 = 1"), df, "i", "s", "e", least).collect()) == want and want
+
+
+def test_stations_alike_are_met_once(spark, monkeypatch):
+    made = []
+    met = joins._met
+    monkeypatch.setattr(joins, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    p = spark.createDataFrame([(i, 52.0, 13.0, dt.datetime(2024, 1, 1 + i % 2, 5)) for i in range(6)] + [(9, None, 13.0, None)], "id long, lat double, lon double, ts timestamp_ntz")
+    s = spark.createDataFrame([(i, 52.0 + (i == 9) * 0.001, 13.0, 500.0) for i in range(10)], "station_id long, s_lat double, s_lon double, radius_m double")
+    near = joins.nearest_k(p, s, "id", "station_id", "lat", "lon", "s_lat", "s_lon", 3, 900.0).collect()
+    assert sorted((r["id"], r["rank"], r["station_id"]) for r in near) == [(i, k + 1, k) for i in range(6) for k in range(3)]
+    hourly = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 5), 7.0)], "station_id long, station_hour timestamp_ntz, pm double")
+    got = fusion.matched_passes(p, s, hourly, [], "ts", ["ts", "id"], "lat", "lon", 500.0).collect()
+    assert sorted((r["station_id"], r["id"], r["pass_id"], r["pass_row_index"], r["pm"] or 0.0) for r in got) == sorted((k, i, 1 + i % 2, 1 + i // 2, 7.0 if k == 1 and i % 2 == 0 else 0.0) for k in range(10) for i in range(6))
+    assert [m.count() for m in made] == [2, 2]  # a place and two circles
