@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from wayfold.sources import sinks, tables
@@ -32,3 +34,13 @@ def test_logs_are_made_once(spark, tmp_path):
     assert sinks.log_files(df, str(tmp_path), "log", ["id"]) == [f"enviro_log_2023-11-14_{1_700_000_000 + i}.csv" for i in range(4)]
     assert made.value == 40 and not (tmp_path / "enviro_1700000001.csv").exists()
     assert (tmp_path / "enviro_log_2023-11-14_1700000001.csv").read_text().split() == ["id", *map(str, range(1, 40, 4))]
+
+
+def test_reports_in_several_files(spark, tmp_path):
+    for i, names in enumerate((";Ozon", ";Ozon", ";Stickoxide;Ozon")):
+        (tmp_path / f"part-{i}").write_text(f"Station;X\n{names}\n0{i + 1}.02.2024 03:00;{i},5;7\n")
+    (tmp_path / "part-9").write_text("")
+    got = tables.station_hours(spark, str(tmp_path), "s").collect()
+    assert sorted((r["station_hour_local"], r["s__ozon"], r["s__stickoxide"]) for r in got[:2]) == [(dt.datetime(2024, 2, i + 1, 3), i + 0.5, None) for i in (0, 1)]
+    assert [(r["s__ozon"], r["s__stickoxide"]) for r in got[2:]] == [(7.0, 2.5)]
+    assert sorted((r["component"], r["value"]) for r in tables.station_report(spark, str(tmp_path), "s").collect()) == [("Ozon", 0.5), ("Ozon", 1.5), ("Ozon", 7.0), ("Stickoxide", 2.5)]

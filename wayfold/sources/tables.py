@@ -12,6 +12,7 @@ import csv as csv_rows
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.parse import base_name, first_present, flexible_time, header_key, robust_number, slug, to_number
-from wayfold.sources.shared import head, plain_path, release, saved, ship_package
+from wayfold.sources.shared import file_system, head, plain_path, release, saved, ship_package
 
 # Names under which logs hold their columns, and those that aren't measurements.
 TIME_COLUMNS = ["timestamp_iso", "timestamp", "gps_time_utc", "time", "datetime"]
@@ -34,7 +35,7 @@ NOT_MEASURED = ["source_file", "source_name", "output_file", "status", "status_m
 NOT_METRICS = ["timestamp", "timestamp_iso", "gps_time_utc", "gps_lat", "gps_lon", "gps_mode", "gps_speed_m_s", "gps_track_deg", "gps_eph_m", "source_file", "source_name", "fix_id"]
 DISPLAY_TOKENS = ["speed", "distance", "score", "delta", "noise", "pm", "gas", "temp", "humid"]
 DELIMITERS = (",", ";", "\t", "|")
-HEAD, SMALL, MANY = 8192, 32768, 1000
+HEAD, SMALL, MANY, HEADS = 8192, 32768, 1000, 16
 # End of fixed values.
 
 SEGMENTS = (
@@ -284,38 +285,59 @@ def air_metrics(spark: SparkSession, path, delimiter: str | None = None) -> Data
     return _last_of_equal(_union(_required(frames, path)))
 
 
-def _report(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Component names, and the lines that begin with a date as columns c0, c1, ..."""
+def _components(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Component names of a report's file."""
     lines = [x for x in head(spark, path, 1 << 16).decode("utf-8-sig", "replace").splitlines() if x.strip()]
     cells = next(csv_rows.reader(lines[1:2], delimiter=";"), [])
-    names = [x.strip() or f"value_{i}" for i, x in enumerate(cells[1:], 1)]
+    names = tuple(x.strip() or f"value_{i}" for i, x in enumerate(cells[1:], 1))
     if not names:
         raise ValueError(f"too few columns in {path}")
-    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    return names
+
+
+def _reports(spark: SparkSession, path: str) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """Component names, and the lines that begin with a date as columns c0, c1, ...; once for files alike, if a report is a folder."""
+    fs, at = file_system(spark, path)
+    found = sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isFile() and s.getLen() and s.getPath().getName()[0] not in "._") if fs.exists(at) and fs.getFileStatus(at).isDirectory() else [path]
+    if not found:
+        raise ValueError(f"no report in {path}")
+    with ThreadPoolExecutor(HEADS) as pool:
+        alike: dict[tuple[str, ...], list[str]] = {}
+        for file, names in zip(found, pool.map(lambda f: _components(spark, f), found), strict=True):
+            alike.setdefault(names, []).append(file)
+    return [(names, _dated_lines(spark, files, len(names))) for names, files in alike.items()]
+
+
+def _dated_lines(spark: SparkSession, path, n: int) -> DataFrame:
+    schema = ", ".join(f"c{i} string" for i in range(n + 1))
     rows = spark.read.schema(schema).csv(path, sep=";", header=False, mode="PERMISSIVE", escape='"')
     rows = rows.where(F.col("c0").rlike(r"^\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}$"))
     time = F.try_to_timestamp(F.regexp_replace("c0", r"\s+", " "), F.lit("dd.MM.yyyy HH:mm")).cast("timestamp_ntz")
-    return names, rows.withColumn("station_hour_local", time).where("station_hour_local IS NOT NULL")
+    return rows.withColumn("station_hour_local", time).where("station_hour_local IS NOT NULL")
 
 
 def station_hours(spark: SparkSession, path: str, station_id: str) -> DataFrame:
     """An hourly report as a row for each hour, with a {station}__{component} column for each component.
 
     The second line that isn't blank holds the components; nameless ones are value_1, value_2, ...;
-    data are the lines that begin with a date; decimals have a comma.
+    data are the lines that begin with a date; decimals have a comma.  A folder is a report in several such files.
     """
-    names, rows = _report(spark, path)
-    plain = _header(";".join(f"{station_id}__{slug(n)}" for n in names), ";")
     number = lambda c: to_number(F.replace(F.trim(c), F.lit(","), F.lit(".")))
-    return rows.select("station_hour_local", *[number(f"c{i}").alias(n) for i, n in enumerate(plain, 1)])
+    frames = []
+    for names, rows in _reports(spark, path):
+        plain = _header(";".join(f"{station_id}__{slug(n)}" for n in names), ";")
+        frames.append(rows.select("station_hour_local", *[number(f"c{i}").alias(n) for i, n in enumerate(plain, 1)]))
+    return _union(frames)
 
 
 def station_report(spark: SparkSession, path: str, station_id: str) -> DataFrame:
     """An hourly report in long form: station_id, station_hour_local, component, value."""
-    names, rows = _report(spark, path)
-    pairs = F.array(*[F.struct(F.lit(n).alias("component"), F.col(f"c{i}").alias("text")) for i, n in enumerate(names, 1)])
-    long = rows.select("station_hour_local", F.explode(pairs).alias("p"))
-    return long.select(F.lit(station_id).alias("station_id"), "station_hour_local", "p.component", robust_number(F.col("p.text"), ",").alias("value"))
+    frames = []
+    for names, rows in _reports(spark, path):
+        pairs = F.array(*[F.struct(F.lit(n).alias("component"), F.col(f"c{i}").alias("text")) for i, n in enumerate(names, 1)])
+        long = rows.select("station_hour_local", F.explode(pairs).alias("p"))
+        frames.append(long.select(F.lit(station_id).alias("station_id"), "station_hour_local", "p.component", robust_number(F.col("p.text"), ",").alias("value")))
+    return _union(frames)
 
 
 def _from_literal(c: Column) -> Column:
