@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from wayfold.plans import scans
 from wayfold.sources import sinks, tables
 
 
@@ -44,3 +45,14 @@ def test_reports_in_several_files(spark, tmp_path):
     assert sorted((r["station_hour_local"], r["s__ozon"], r["s__stickoxide"]) for r in got[:2]) == [(dt.datetime(2024, 2, i + 1, 3), i + 0.5, None) for i in (0, 1)]
     assert [(r["s__ozon"], r["s__stickoxide"]) for r in got[2:]] == [(7.0, 2.5)]
     assert sorted((r["component"], r["value"]) for r in tables.station_report(spark, str(tmp_path), "s").collect()) == [("Ozon", 0.5), ("Ozon", 1.5), ("Ozon", 7.0), ("Stickoxide", 2.5)]
+
+
+def test_orders_run_over_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        scans._csv(spark.range(400).select((F.col("id") * 7 % 400).alias("k"), (F.col("id") * 7 % 400).alias("v")), str(tmp_path / "x"), "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "x").glob("part-*"))
+    assert len(files) > 1
+    assert [int(x) for f in files for x in f.read_text().split()[1:]] == list(range(400))

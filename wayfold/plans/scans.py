@@ -29,8 +29,8 @@ def query(sql: str | None):
 
 
 def _csv(df, path: str, order: str | None = None, **options) -> str:
-    """The rows as CSV files, with quotes doubled; one file in an order, if one is given."""
-    rows = df if order is None else df.repartition(1).sortWithinPartitions(order).drop(order)
+    """The rows as CSV files, with quotes doubled; in an order over the files by their names and within them, if one is given."""
+    rows = df if order is None else df.orderBy(order).drop(order)
     rows.write.options(header=True, escape='"', **options).csv(path)
     return path
 
