@@ -87,7 +87,8 @@ def scan_last_metrics(spark, d):
     """Times from seconds alone, of equal times the last row, columns of places left out."""
     unix = F.unix_timestamp(F.date_trunc("hour", "ts"))
     df = table(spark, d, "events").select("event_id", unix.alias("unix_time_s"), "event_type", "value", F.lit(1).alias("gps_lat"))
-    got = tables.raw_metrics(spark, _csv(df, fresh_path(spark, "last"), "event_id"))
+    logs = df.repartition("unix_time_s").sortWithinPartitions("event_id").drop("event_id")  # a time is in one log, as the last row is a log's
+    got = tables.raw_metrics(spark, _csv(logs, fresh_path(spark, "last")))
     return tables.required(got, ["ts", "event_type", "value"]).select("ts", "event_type", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
