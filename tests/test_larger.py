@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from wayfold.plans import scans
@@ -56,3 +57,14 @@ def test_orders_run_over_files(spark, tmp_path):
     files = sorted((tmp_path / "x").glob("part-*"))
     assert len(files) > 1
     assert [int(x) for f in files for x in f.read_text().split()[1:]] == list(range(400))
+
+
+def test_cells_are_in_files_of_some_rows(spark, monkeypatch):
+    paths = []
+    own = tables.timeline
+    monkeypatch.setattr(tables, "timeline", lambda s, path: paths.append(path) or own(s, path))
+    monkeypatch.setattr(scans, "CELLS", 40, raising=False)
+    n = spark.read.parquet(f"{SF_DIR}/customer.parquet").count()
+    assert scans.scan_timeline(spark, SF_DIR).count() == 3 * n
+    for path in paths[0]:
+        assert spark.read.text(path).select(F.input_file_name()).distinct().count() >= n // 40

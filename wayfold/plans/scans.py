@@ -17,6 +17,9 @@ from wayfold.sources.shared import file_system, fresh_path
 
 QUERIES, ORACLES = {}, {}
 
+#: Rows of a file whose cells may hold ends of lines, which one task reads.
+CELLS = 50_000
+
 
 def query(sql: str | None):
     def add(f):
@@ -103,8 +106,8 @@ def scan_station(spark, d):
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of a task's rows, and so of a file's
     rows = table(spark, d, "orders").select(F.concat(F.when(first, heads).otherwise(""), F.concat_ws(";", t, n, k.cast("string"), F.lit('"-1,5"'))).alias("value"))
     path = fresh_path(spark, "station")
-    heads.union(rows).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
-    return tables.station_hours(spark, _only_file(spark, path), "s1")
+    rows.write.text(path)
+    return tables.station_hours(spark, path, "s1")
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, unnest(['a', 'b']) AS part FROM customer), f AS (SELECT c_custkey AS k FROM customer)
@@ -120,7 +123,8 @@ def scan_timeline(spark, d):
     nested = c.select(F.when(F.col("json"), cell).otherwise(F.replace(cell, F.lit('"'), F.lit("'"))).alias("semanticSegments"))
     flat = c.select(F.concat(F.lit("f"), "k").alias("start_time"), F.concat(F.lit("g"), "k").alias("endTime"), F.lit("IN_BUS").alias("activity.topCandidate.type"), F.col("k").alias("activity.distanceMeters"), F.lit('[{"point": "1, 2", "time": "x"}]').alias("timelinePath"))
     top = fresh_path(spark, "timeline")
-    got = tables.timeline(spark, [_csv(nested, f"{top}/a"), _csv(flat, f"{top}/b")])
+    small = {"maxRecordsPerFile": CELLS}
+    got = tables.timeline(spark, [_csv(nested, f"{top}/a", **small), _csv(flat, f"{top}/b", **small)])
     return got.select("startTime", "endTime", "activity_topCandidate_type", "activity_distanceMeters", F.coalesce(F.size("timelinePath"), F.lit(-1)).alias("n_points"))
 
 
