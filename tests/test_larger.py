@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
+from wayfold.operators import routes, sequences
 from wayfold.plans import scans
 from wayfold.sources import sinks, tables
 
@@ -68,3 +70,17 @@ def test_cells_are_in_files_of_some_rows(spark, monkeypatch):
     assert scans.scan_timeline(spark, SF_DIR).count() == 3 * n
     for path in paths[0]:
         assert spark.read.text(path).select(F.input_file_name()).distinct().count() >= n // 40
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 20])
+def test_tasks_hold_some_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(sequences, "TASK_ROWS", rows, raising=False)
+    s = spark.range(200).select((F.col("id") % 50).alias("k"), "id", F.when(F.col("id") < 100, "walk").otherwise("bus").alias("label"), F.lit(1.0).alias("m"))
+    spans = routes.relative_spans(s, ["k"], "id", "label", "m")
+    parts = s.select("k", "id", "label", F.col("m").alias("distance_m"), F.lit(2.0).alias("speed_mps"), F.lit(0.0).alias("walk_dwell_after_s"))
+    plan = routes.scheduled(parts, ["k"], "id", F.lit(10.0))
+    times = spark.range(50).select(F.col("id").alias("k"), F.lit(5.0).alias("t"), F.lit(10.0).alias("dt"), F.lit(4.0).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    at = routes.distance_on_schedule(times, plan, ["k"], "t", "dt", "p")
+    tasks = [x.rdd.getNumPartitions() for x in (spans, plan, at)]
+    assert tasks == [11, 11, 21] if rows == 20 else max(tasks) <= 4
+    assert spans.groupBy("mode", "start_rel", "end_rel").count().count() == 2 and at.groupBy("distance_here_m").count().collect()[0]["count"] == 400
