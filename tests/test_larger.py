@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from collections import defaultdict
 
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
+from test_scale import _dijkstra
 
-from wayfold.operators import routes, sequences
+from wayfold.operators import graph, routes, sequences
 from wayfold.plans import scans
 from wayfold.sources import sinks, tables
 
@@ -84,3 +87,16 @@ def test_tasks_hold_some_rows(spark, monkeypatch, rows):
     tasks = [x.rdd.getNumPartitions() for x in (spans, plan, at)]
     assert tasks == [11, 11, 21] if rows == 20 else max(tasks) <= 4
     assert spans.groupBy("mode", "start_rel", "end_rel").count().count() == 2 and at.groupBy("distance_here_m").count().collect()[0]["count"] == 400
+
+
+def test_searches_meet_in_the_middle(spark):
+    rng, n = random.Random(3), 1200
+    rows = [(i, rng.randrange(n), 100.0 + rng.randint(0, 99)) for i in range(n) for _ in range(3)]
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(4)]
+    by = defaultdict(list)
+    for a, b, w in rows:
+        by[a].append((b, w))
+        by[b].append((a, w))
+    states = graph.explored(spark.createDataFrame(rows, "src long, dst long, weight_m double"), spark.createDataFrame(pairs, "source long, target long")).cache()
+    assert {(r["source"], r["target"]): r["distance"] for r in states.where("node = target").collect()} == {(a, b): _dijkstra(by, a)[b] for a, b in pairs}
+    assert states.count() < 0.3 * len(pairs) * n
