@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from test_scale import _dijkstra
 
 from wayfold.operators import graph, routes, sequences
+from wayfold.plans import routes as plans
 from wayfold.plans import scans
 from wayfold.sources import sinks, tables
 
@@ -100,3 +101,15 @@ def test_searches_meet_in_the_middle(spark):
     states = graph.explored(spark.createDataFrame(rows, "src long, dst long, weight_m double"), spark.createDataFrame(pairs, "source long, target long")).cache()
     assert {(r["source"], r["target"]): r["distance"] for r in states.where("node = target").collect()} == {(a, b): _dijkstra(by, a)[b] for a, b in pairs}
     assert states.count() < 0.3 * len(pairs) * n
+
+
+def test_logs_are_dealt_before_they_are_joined(spark, monkeypatch):
+    given, own = [], routes.commutes
+    monkeypatch.setattr(routes, "commutes", lambda df, *a: given.append(df) or own(df, *a))
+    monkeypatch.setattr(sequences, "TASK_ROWS", 500)
+    plans.commute_lookup(spark, SF_DIR)
+    assert given[0].rdd.getNumPartitions() > spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count() // 500 > 1
+    at = lambda m: dt.datetime(2024, 1, 1, 8, m)
+    rows = [("a", at(0), 10.0), ("a", at(2), None), ("a", at(4), 20.0), ("a", at(30), None), ("a", None, 90.0), ("b", at(1), None), ("b", at(31), None)]
+    got = own(spark.createDataFrame(rows, "log string, ts timestamp_ntz, temp double"), ["log"], "ts", "temp", ["temp"]).collect()
+    assert sorted(map(tuple, got)) == [("a", at(0), at(30), "to_uni_opnv"), ("b", at(1), at(31), "from_uni_bike")]
