@@ -11,7 +11,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 from test_scale import _dijkstra
 
-from wayfold.operators import graph, routes, sequences
+from wayfold.operators import graph, polylines, routes, sequences
 from wayfold.plans import routes as plans
 from wayfold.plans import scans
 from wayfold.sources import sinks, tables
@@ -113,3 +113,23 @@ def test_logs_are_dealt_before_they_are_joined(spark, monkeypatch):
     rows = [("a", at(0), 10.0), ("a", at(2), None), ("a", at(4), 20.0), ("a", at(30), None), ("a", None, 90.0), ("b", at(1), None), ("b", at(31), None)]
     got = own(spark.createDataFrame(rows, "log string, ts timestamp_ntz, temp double"), ["log"], "ts", "temp", ["temp"]).collect()
     assert sorted(map(tuple, got)) == [("a", at(0), at(30), "to_uni_opnv"), ("b", at(1), at(31), "from_uni_bike")]
+
+
+def test_routes_are_chosen_by_ends_and_keep_their_metres(spark, monkeypatch):
+    v = spark.createDataFrame([(c, j, 52.0 + i, 13.0 + 0.01 * j) for i, c in enumerate(("to_uni_bike", "from_uni_opnv")) for j in range(6)], "route_class string, j long, lat double, lon double")
+    known = polylines.lines(v, ["route_class"], "j", "lat", "lon").union(spark.createDataFrame([("to_uni_opnv", [])], "route_class string, line array<struct<lat:double,lon:double,cum:double>>"))
+    at = dt.datetime(2024, 1, 1)
+    trip = lambda i, kind, mode, ends, hint=None, time=None: (i, kind, mode, *ends, at, at, hint, time, [])
+    rows = [trip(0, "visit_stationary", "CYCLING", (52.0, 13.0, 52.0, 13.0)), trip(1, "t", "CYCLING", (52.0, 13.041, 52.0, 13.011)), trip(2, "t", "", (53.0, 13.0, 53.0, 13.02)),
+            trip(3, "t", "IN_BUS", (52.0, 13.0, 52.0, 13.1), "to_uni_bike"), trip(4, "t", "IN_BUS", (52.0, 13.0, 52.0, 13.1), None, "to_uni_opnv"), trip(5, "t", "CYCLING", (52.0, 13.0, 52.0, 13.01), "from_uni_bike", "from_uni_opnv")]
+    df = spark.createDataFrame(rows, "segment_id long, kind string, mode string, start_lat double, start_lon double, end_lat double, end_lon double, start_t timestamp_ntz, end_t timestamp_ntz, route_class_hint string, time_class string, points array<struct<lat:double,lon:double>>")
+    measured = []
+    own = polylines.aligned
+    monkeypatch.setattr(polylines, "aligned", lambda *a: measured.append(1) or own(*a))
+    got = routes.baseline_paths(df, known, False).orderBy("segment_id").collect()
+    assert not measured  # no line is looked at for its ends
+    assert [(r["route_class"], r["method"].rpartition(":")[2], [round(p["lon"], 3) for p in r["line"]]) for r in got] == [
+        (None, "stationary", [13.0]), ("to_uni_bike", "mode_endpoint_fallback", [13.04, 13.03, 13.02, 13.01]), ("from_uni_opnv", "mode_endpoint_fallback", [13.0, 13.01, 13.02]),
+        ("to_uni_bike", "primitive_time_hint", [13.0, 13.01, 13.02, 13.03, 13.04, 13.05]), ("to_uni_opnv", "classification_time_match", []), ("to_uni_bike", "mode_endpoint_fallback", [13.0, 13.01])]
+    step = got[3]["line"][1]["cum"]
+    assert [round(r["distance_m"] / step, 6) for r in got] == [0, 3, round(got[2]["distance_m"] / step, 6), 5, 0, 1] and got[1]["line"][0]["cum"] == 0
