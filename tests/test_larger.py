@@ -7,11 +7,11 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import SF_DIR
+from conftest import SF_DIR, shown
 from pyspark.sql import functions as F
 from test_scale import _dijkstra
 
-from wayfold.operators import graph, polylines, routes, sequences
+from wayfold.operators import graph, joins, polylines, routes, sequences
 from wayfold.plans import routes as plans
 from wayfold.plans import scans
 from wayfold.sources import sinks, tables
@@ -133,3 +133,10 @@ def test_routes_are_chosen_by_ends_and_keep_their_metres(spark, monkeypatch):
         ("to_uni_bike", "primitive_time_hint", [13.0, 13.01, 13.02, 13.03, 13.04, 13.05]), ("to_uni_opnv", "classification_time_match", []), ("to_uni_bike", "mode_endpoint_fallback", [13.0, 13.01])]
     step = got[3]["line"][1]["cum"]
     assert [round(r["distance_m"] / step, 6) for r in got] == [0, 3, round(got[2]["distance_m"] / step, 6), 5, 0, 1] and got[1]["line"][0]["cum"] == 0
+
+
+def test_long_logs_are_matched_by_ranges(spark, duck, monkeypatch):
+    split, own = [], joins.asof_nearest_split
+    monkeypatch.setattr(joins, "asof_nearest_split", lambda *a: split.append(1) or own(*a, ranges=7))
+    got = scans.match_files(spark, SF_DIR).toPandas()
+    assert split and shown(got) == shown(duck.sql(scans.ORACLES["match_files"]).df())
