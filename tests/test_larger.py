@@ -140,3 +140,20 @@ def test_long_logs_are_matched_by_ranges(spark, duck, monkeypatch):
     monkeypatch.setattr(joins, "asof_nearest_split", lambda *a: split.append(1) or own(*a, ranges=7))
     got = scans.match_files(spark, SF_DIR).toPandas()
     assert split and shown(got) == shown(duck.sql(scans.ORACLES["match_files"]).df())
+
+
+def test_logs_are_written_some_at_a_time(spark, tmp_path, monkeypatch):
+    held, own = [], sinks._matching
+    monkeypatch.setattr(sinks, "LOGS", 4, raising=False)
+    monkeypatch.setattr(sinks, "_matching", lambda *a: held.append(own(*a)) or held[-1])
+    (tmp_path / "enviro_1700000003.csv").write_text("old\n")
+    df = spark.range(80).select(F.concat(F.lit("enviro_"), (1_700_000_000 + F.col("id") % 40).cast("string"), F.lit(".csv")).alias("log"), "id")
+    names = [f"enviro_log_2023-11-14_{1_700_000_000 + i}.csv" for i in range(40)]
+    assert sinks.log_files(df, str(tmp_path), "log", ["id"]) == names
+    assert max(map(len, held)) <= 12  # a tenth of the logs, or as many as fall together
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == names
+    assert all((tmp_path / x).read_text().split() == ["id", str(i), str(i + 40)] for i, x in enumerate(names))
+    both = spark.createDataFrame([("enviro_1700000000.csv",), ("enviro_log_2023-11-14_1700000000.csv",), ("c.csv",)], "log string").withColumn("x", F.lit("new"))
+    with pytest.raises(ValueError, match="several parts"):
+        sinks.log_files(both, str(tmp_path), "log")
+    assert (tmp_path / names[0]).read_text().split() == ["id", "0", "40"] and not (tmp_path / "c.csv").exists()
