@@ -157,3 +157,21 @@ def test_logs_are_written_some_at_a_time(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="several parts"):
         sinks.log_files(both, str(tmp_path), "log")
     assert (tmp_path / names[0]).read_text().split() == ["id", "0", "40"] and not (tmp_path / "c.csv").exists()
+
+
+def test_files_are_scanned_some_at_a_time(spark, tmp_path, monkeypatch):
+    for i in range(25):
+        (tmp_path / f"l[{i:02}] ä%.csv").write_bytes(f"a;b\n{i};x\n{i};y\n".encode() if i % 5 else f"c,b\n{i},é\n".encode("latin-1"))
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "_hidden.csv").write_text("a;b\n1;2\n")
+    (tmp_path / "l.txt").write_text("a;b\n99;x\n99;y\n")
+    shown = lambda got: [(d.columns, [tuple(r) for r in d.select("source_file", *d.columns[:2]).orderBy("source_file", "file_row").collect()]) for d in got]
+    told = lambda pattern: sorted(tuple(r) for r in tables.discovered(spark, str(tmp_path), pattern=pattern).collect())
+    whole, found, some = shown(tables.scans(spark, str(tmp_path))), told("*.csv"), told("l?{00,05}*.csv")
+    assert len(whole) == 2 and len(found) == 25 and len(some) == 2
+    seen, own = [], tables._kinds
+    monkeypatch.setattr(tables, "FILES", 7, raising=False)
+    monkeypatch.setattr(tables, "_kinds", lambda s, path, *a: seen.append(path) or own(s, path, *a))
+    assert shown(tables.scans(spark, str(tmp_path))) == whole
+    assert [len(x) for x in seen] == [7, 7, 7, 6]
+    assert told("*.csv") == found and told("l?{00,05}*.csv") == some
